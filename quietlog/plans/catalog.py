@@ -35,7 +35,6 @@ noisy_log_levels: [WARN]
 required_severity_on_failure: []
 """)
 COUNTS = tr.COUNTS
-LOG, LEVEL = F.col("log"), F.col("level")
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -51,19 +50,19 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def per_line(name: str, column: Callable[[], Column], out: str, expression: str) -> None:
+def per_line(name: str, column: Callable[[Column], Column], out: str, expression: str) -> None:
     """A query that shows one feature of every log line."""
     register(name, f"SELECT file, line, {expression} AS {out} FROM ({sql.LINES})")(
-        lambda spark, sf: tb.log_lines(spark, sf).select("file", "line", column().alias(out))
+        lambda spark, sf: tb.log_lines(spark, sf).select("file", "line", column(F.col("log")).alias(out))
     )
 
 
 # ---- line features -----------------------------------------------------------------
 
-per_line("f1_ts_gate_cli", lambda: ft.has_timestamp(LOG), "dated", sql.GATE_CLI)
-per_line("f2_ts_gate_web", lambda: ft.has_timestamp(LOG, "web"), "dated", sql.GATE_WEB)
-per_line("f3_level_cli", lambda: ft.detect_level(LOG), "level", sql.LEVEL_CLI)
-per_line("f4_level_web", lambda: ft.detect_level(LOG, "web"), "level", sql.LEVEL_WEB)
+per_line("f1_ts_gate_cli", lambda log: ft.has_timestamp(log), "dated", sql.GATE_CLI)
+per_line("f2_ts_gate_web", lambda log: ft.has_timestamp(log, "web"), "dated", sql.GATE_WEB)
+per_line("f3_level_cli", lambda log: ft.detect_level(log), "level", sql.LEVEL_CLI)
+per_line("f4_level_web", lambda log: ft.detect_level(log, "web"), "level", sql.LEVEL_WEB)
 
 
 @register("f5_component", f"SELECT file, line, {sql.COMPONENT} AS plugin FROM ({sql.LINES})")
@@ -82,20 +81,20 @@ _SOURCE_FILE = f"regexp_extract(log, {sql.q(fv.SOURCE_FILE_TAG)}, 1)"
 )
 def r4(spark, sf):
     lines = tb.log_lines(spark, sf).withColumn(
-        "source_file", F.regexp_extract(LOG, tx.pattern(fv.SOURCE_FILE_TAG), 1)
+        "source_file", F.regexp_extract("log", tx.pattern(fv.SOURCE_FILE_TAG), 1)
     )
     found = ft.lookup_component(F.col("source_file"), F.lit("other"))
     return lines.select("file", "line", "source_file", found.alias("component"))
 
 
-per_line("f9_noisy", lambda: ft.is_noisy(ft.detect_level(LOG), RULES), "noisy",
+per_line("f9_noisy", lambda log: ft.is_noisy(ft.detect_level(log), RULES), "noisy",
          f"{sql.LEVEL_CLI} IN {sql.levels(RULES.noisy_log_levels)}")
-per_line("f10_sensitive", lambda: ft.is_sensitive(LOG, RULES), "sensitive", sql.sensitive(RULES))
-per_line("f11_failure", lambda: ft.has_failure(F.lower(LOG), RULES), "failure", sql.failure(RULES))
-per_line("f12_severity", lambda: ft.violates_severity(F.lower(LOG), ft.detect_level(LOG), RULES), "violates",
+per_line("f10_sensitive", lambda log: ft.is_sensitive(log, RULES), "sensitive", sql.sensitive(RULES))
+per_line("f11_failure", lambda log: ft.has_failure(F.lower(log), RULES), "failure", sql.failure(RULES))
+per_line("f12_severity", lambda log: ft.violates_severity(F.lower(log), ft.detect_level(log), RULES), "violates",
          f"({sql.failure(RULES)} AND {sql.LEVEL_CLI} NOT IN {sql.levels(RULES.required_severity_on_failure)})")
-per_line("f14_redact", lambda: ft.redact(LOG, RULES, "on"), "shown", sql.redacted(RULES))
-per_line("f14_redact_off", lambda: ft.redact(LOG, RULES), "shown", "log")
+per_line("f14_redact", lambda log: ft.redact(log, RULES, "on"), "shown", sql.redacted(RULES))
+per_line("f14_redact_off", lambda log: ft.redact(log, RULES), "shown", "log")
 
 
 @register(
@@ -159,8 +158,8 @@ def j1(spark, sf):
 
 # ---- messages ------------------------------------------------------------------------
 
-per_line("f6_normalize", lambda: normalize(tx.strip(LOG)), "key", sql.key("trim(log)"))
-per_line("f7_normalize_epoch", lambda: normalize_filewise(LOG), "key", sql.key("log", True))
+per_line("f6_normalize", lambda log: normalize(tx.strip(log)), "key", sql.key("trim(log)"))
+per_line("f7_normalize_epoch", lambda log: normalize_filewise(log), "key", sql.key("log", True))
 
 
 @register("f6_normalize_documents", f"SELECT file, ord, {sql.key('message')} AS key FROM ({sql.DOCUMENT_ENTRIES})")
@@ -494,7 +493,7 @@ def r6(spark, sf):
     """The newest analysis, looked up by its id with its stored findings."""
     path = scratch_path(spark, "history")
     lines = tb.daily_lines(spark, sf)
-    record_analysis(fnd.emit_findings(lines, RULES), _daily_summary(spark, sf), path, run_id="sf")
+    record_analysis(cut(fnd.emit_findings(lines, RULES), "findings"), _daily_summary(spark, sf), path, run_id="sf")
     table = hist.read_history(spark, path)
     newest = hist.recent_history(table, 1).first()["run_id"]
     sizes = [F.size(f"results.{x}").cast("bigint").alias(x) for x in ("noisy_logs", "sensitive_logs", "severity_violations")]
@@ -523,14 +522,19 @@ _ROW = (
 )
 _SECTION = "CASE category WHEN 'noisy' THEN 1 WHEN 'sensitive' THEN 2 ELSE 3 END"
 
+
+def _report(spark: SparkSession, sf: str, profile: str) -> DataFrame:
+    lines = tb.log_lines(spark, sf)
+    found = cut(fnd.emit_findings(lines, RULES, profile), "findings")
+    return rep.findings_report(found, fnd.summarize(found, lines.select("file").distinct()), profile)
+
+
 for _profile in ft.PROFILES:
     register(
         f"k1_report_rows_{_profile}",
         f"SELECT file, {_SECTION} AS section, line, {_ROW} AS html FROM ({sql.findings(RULES, _profile)})",
-    )(lambda spark, sf, p=_profile: rep.findings_report(
-        fnd.emit_findings(tb.log_lines(spark, sf), RULES, p),
-        fnd.summarize_lines(tb.log_lines(spark, sf), RULES, p), p,
-    ).filter(F.col("part") == 1).filter(F.col("section") > 0).select("file", "section", "line", "html"))
+    )(lambda spark, sf, p=_profile: _report(spark, sf, p).filter(
+        (F.col("part") == 1) & (F.col("section") > 0)).select("file", "section", "line", "html"))
 
 
 @register(
@@ -540,9 +544,7 @@ for _profile in ft.PROFILES:
     f"({sql.summary(RULES)})) GROUP BY file",
 )
 def k1_outline(spark, sf):
-    lines = tb.log_lines(spark, sf)
-    report = rep.findings_report(fnd.emit_findings(lines, RULES), fnd.summarize_lines(lines, RULES))
-    frame = report.filter(F.col("part") != 1)
+    frame = _report(spark, sf, "cli").filter(F.col("part") != 1)
     empty = F.count_if(F.col("html").contains("No issues found")).alias("empty_sections")
     return frame.groupBy("file").agg(F.count("*").alias("fragments"), empty)
 
@@ -583,7 +585,8 @@ _ITEMS = ", ".join(
 )
 def k5(spark, sf):
     lines = tb.daily_lines(spark, sf)
-    return rep.result_json(fnd.emit_findings(lines, RULES), fnd.summarize_lines(lines, RULES))
+    found = cut(fnd.emit_findings(lines, RULES), "findings")
+    return rep.result_json(found, fnd.summarize(found, lines.select("file").distinct()))
 
 
 @register(

@@ -12,6 +12,7 @@ from quietlog.operators import findings as fnd
 from quietlog.operators import history as hist
 from quietlog.operators import testruns as tr
 from quietlog.rules import Rules
+from quietlog.session import cut
 from quietlog.sinks import reports as rep
 from quietlog.sources import archives, lines as src
 
@@ -28,11 +29,10 @@ def analyze_files(
     rules: Rules | None = None, profile: str = "cli",
 ) -> DataFrame:
     """Findings of the log files under a path; writes one HTML report per file if asked to."""
-    rules = rules or Rules()
-    lines = src.read_log_lines(spark, path)
-    findings = analyze(lines, rules, profile)
+    findings = analyze(src.read_log_lines(spark, path), rules, profile)
     if report_path:
-        report = rep.findings_report(findings, fnd.summarize_lines(lines, rules, profile), profile)
+        findings = cut(findings, "findings")  # the checks run once, counts and report read the table
+        report = rep.findings_report(findings, fnd.summarize(findings, src.file_names(spark, path)), profile)
         rep.write_report(report, report_path, ["section", "part", "line"], by="file")
     return findings
 
@@ -43,6 +43,7 @@ def find_repeats(
     """Ranked global duplicate groups; writes the HTML report if asked to."""
     groups = dup.find_duplicates(entries)
     if report_path:
+        groups = cut(groups, "groups")
         if stats is None:
             stats = entries.select(F.lit("ok").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
         report = rep.duplicates_report(
@@ -64,6 +65,7 @@ def find_filewise_repeats(entries: DataFrame, report_path: str | None = None) ->
     """Ranked duplicates per rotation family; writes the HTML report if asked to."""
     groups = dup.find_filewise_duplicates(entries)
     if report_path:
+        groups = cut(groups, "groups")
         rep.write_filewise_report(rep.filewise_report(groups), report_path)
     return dup.order_filewise(groups)
 

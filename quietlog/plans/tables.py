@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietlog.session import spread
 from quietlog.sources.archives import explode_lines
 
 SPARK_DATES = {
@@ -100,7 +101,7 @@ def render(text: str, dates: dict[str, str]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _lines(spark: SparkSession, sf_dir: str, file: str, log: str) -> DataFrame:

@@ -6,11 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-# Rows of a lookup side that may be broadcast; every such side here has narrow rows
-# (names and numbers), so this stays far below Spark's 8 GiB broadcast limit.
-BROADCAST_ROWS = 500_000
+# Measured size up to which a lookup side is broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "quietlog", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,7 +30,7 @@ def build_session(app: str = "quietlog", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables, as the cluster names it.
+    """Folder for intermediate tables, as the cluster names it.
 
     Without the setting, a temporary folder is used on a single machine only: on a
     cluster that would lose data together with an executor.
@@ -40,7 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="quietlog-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -50,19 +49,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quietlog/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder: fixes values that a recomputation could change."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write to the shared folder and go on from there.
+
+    Fixes values that a recomputation could change, ends the lineage, and outlives any
+    executor. As a Parquet table it is compressed, prunable and of known size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def as_lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a materialised table if it is small enough, else leave the join to Spark.
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that is small but costly to work on.
 
-    ``limit`` makes the check cheap on a large table. The join result is the same
-    either way; without the hint it is a shuffle join under adaptive skew handling.
+    A columnar file cannot be cut inside a row group, so a few megabytes of text may
+    come in as one task. Inputs with enough bytes for all cores pass unchanged: at
+    scale there is no extra shuffle.
     """
-    from pyspark.sql import functions as F
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
 
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+def as_lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a materialised table if it measures small enough, else leave it to Spark.
+
+    The join result is the same either way; without the hint it is a shuffle join
+    under adaptive skew handling.
+    """
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    measured = df.agg(F.coalesce(F.sum(width + 16 * len(df.columns)), F.lit(0)).alias("bytes"))
+    return F.broadcast(df) if measured.first()["bytes"] <= max_bytes else df

@@ -78,8 +78,12 @@ def _open(content: bytes) -> tarfile.TarFile | None:
         return None
 
 
-def _rows_of(path: str, content: bytes, limit: int, skip_big: bool) -> Iterator[tuple]:
-    """Members of one file; a file that is no archive is its own only member."""
+def _rows_of(path: str, content: bytes, limit: int, max_chars: int | None) -> Iterator[tuple]:
+    """Members of one file; a file that is no archive is its own only member.
+
+    With a character budget members on the deny list or over the size limit are left
+    out, and reading stops behind the member that crosses the budget.
+    """
     archive = _open(content)
     if archive is None:
         yield path, 0, path.rsplit("/", 1)[-1], len(content), "ok", content[:limit]
@@ -91,18 +95,25 @@ def _rows_of(path: str, content: bytes, limit: int, skip_big: bool) -> Iterator[
         except (OSError, EOFError, tarfile.TarError):  # damaged: none of it counts
             yield path, 0, None, len(content), "error", None
             return
+        chars = 0
         for i, m in enumerate(regular):
-            if skip_big and m.name.lower().endswith(deny):
+            if max_chars is not None and m.name.lower().endswith(deny):
                 yield path, i, m.name, m.size, "skip_ext", None
-            elif skip_big and m.size > limit:
+                continue
+            if max_chars is not None and m.size > limit:
                 yield path, i, m.name, m.size, "big", None
-            else:
-                try:
-                    data = archive.extractfile(m).read(limit)
-                except (OSError, EOFError, tarfile.TarError):
-                    yield path, i, m.name, m.size, "error", None
-                else:
-                    yield path, i, m.name, m.size, "ok", data
+                continue
+            try:
+                data = archive.extractfile(m).read(limit)
+            except (OSError, EOFError, tarfile.TarError):
+                yield path, i, m.name, m.size, "error", None
+                continue
+            yield path, i, m.name, m.size, "ok", data
+            if max_chars is not None:
+                chars += len(data.decode("utf-8", "replace"))
+                if chars > max_chars:
+                    yield path, i, None, 0, "limit", None
+                    return
 
 
 def read_members(
@@ -110,14 +121,14 @@ def read_members(
     path: str | list[str],
     glob: str | None = None,
     limit: int = fv.MAX_MEMBER_BYTES,
-    skip_big: bool = True,
+    max_chars: int | None = fv.MAX_ARCHIVE_CHARS,
 ) -> DataFrame:
     """Regular members of tar archives (any compression, told by content) and plain files.
 
     One task per input file reads its members in order and hands them on in batches of
-    bounded size. ``skip_big`` is the global form (deny list, big members left out);
-    without it every member is cut at ``limit``. What was left out stays as a row with
-    its status, so nothing disappears silently.
+    bounded size. ``max_chars`` is the global form: deny list, big members left out,
+    character budget per archive. With None every member is read and cut at ``limit``.
+    What was left out stays as a row with its status, so nothing disappears silently.
     """
 
     def explode_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +141,7 @@ def read_members(
         rows, held = [], 0
         for batch in batches:
             for p, content in zip(batch["path"], batch["content"]):
-                for row in _rows_of(p.as_py(), content.as_py(), limit, skip_big):
+                for row in _rows_of(p.as_py(), content.as_py(), limit, max_chars):
                     rows.append(row)
                     held += len(row[-1] or b"")
                     if held >= _BATCH_BYTES:
@@ -192,16 +203,23 @@ def explode_lines(
 
 
 def line_status(df: DataFrame, text: str) -> DataFrame:
-    """``ok`` or ``skip`` (blank) for every line of a text."""
+    """``status``: ``ok`` or ``skip`` (blank) for every line of a text."""
     lines = df.select(F.explode(split_lines(F.col(text))).alias("_text"))
     return lines.select(F.when(is_blank(F.col("_text")), "skip").otherwise("ok").alias("status"))
 
 
-def _with_file_rank(spark: SparkSession, members: DataFrame, path: str | list[str]) -> DataFrame:
-    """Place of each input file in name order; only the listing is read for it."""
+def _texts(spark: SparkSession, members: DataFrame, path: str | list[str]) -> DataFrame:
+    """Decoded members with the place of their file in name order.
+
+    Only the listing is read for the ranks. The shuffle by member spreads the lines of a
+    large archive, which one task had to unpack, over all cores.
+    """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"))
-    ranked = as_lookup(row_numbers(files, [F.col("_path")], name="_rank"))
-    return members.join(ranked, F.col("archive") == F.col("_path")).drop("_path")
+    ranks = as_lookup(row_numbers(files, [F.col("_path")], name="_rank"))
+    texts = members.filter(F.col("status") == "ok").select(
+        "archive", "member_ord", "member", decode_bounded(F.col("content"), None).alias("text")
+    )
+    return texts.repartition("archive", "member_ord").join(ranks, F.col("archive") == F.col("_path"))
 
 
 def _ord() -> Column:
@@ -211,48 +229,29 @@ def _ord() -> Column:
     return (member.cast(wide) * F.lit(2**24).cast("decimal(12,0)") + F.col("pos")).cast(wide).alias("ord")
 
 
-def budgeted_members(members: DataFrame, max_chars: int = fv.MAX_ARCHIVE_CHARS) -> DataFrame:
-    """Decoded members inside the character budget of their archive.
-
-    The sums run over numbers only; the texts are joined to the verdict afterwards.
-    """
-    texts = members.filter(F.col("status") == "ok").withColumn("text", decode_bounded(F.col("content"), None))
-    sizes = texts.select("archive", "member_ord", F.length("text").cast("bigint").alias("n_chars"))
-    kept = within_budget(sizes, max_chars).select(
-        F.col("archive").alias("_archive"), F.col("member_ord").alias("_member_ord")
-    )
-    on = (F.col("archive") == F.col("_archive")) & (F.col("member_ord") == F.col("_member_ord"))
-    return texts.drop("content", "status").join(as_lookup(kept), on, "left_semi")
+_PLACE = ["_rank", "member_ord", "member"]
 
 
 def read_archive_entries(
     spark: SparkSession, path: str | list[str], max_chars: int = fv.MAX_ARCHIVE_CHARS
 ) -> DataFrame:
     """``(file, ord, message)`` of archives and plain files, with all limits of the global form."""
-    members = budgeted_members(read_members(spark, path), max_chars)
-    lines = explode_lines(members, "text", ["archive", "member_ord", "member"])
-    return _with_file_rank(spark, lines, path).select(F.col("member").alias("file"), _ord(), "message")
+    texts = _texts(spark, read_members(spark, path, max_chars=max_chars), path)
+    return explode_lines(texts, "text", _PLACE).select(F.col("member").alias("file"), _ord(), "message")
 
 
 def read_archive_stats(
     spark: SparkSession, path: str | list[str], max_chars: int = fv.MAX_ARCHIVE_CHARS
 ) -> DataFrame:
     """Read statistics: lines kept and blank, members left out by reason, archives cut short."""
-    members = read_members(spark, path)
+    members = read_members(spark, path, max_chars=max_chars)
     left_out = members.filter(F.col("status") != "ok").select("status")
-    sizes = members.filter(F.col("status") == "ok").select(
-        "archive", "member_ord", F.length(decode_bounded(F.col("content"), None)).cast("bigint").alias("n_chars")
-    )
-    totals = sizes.groupBy("archive").agg(F.sum("n_chars").alias("total"))
-    cut_short = totals.filter(F.col("total") > max_chars).select(F.lit("limit").alias("status"))
-    lines = line_status(budgeted_members(members, max_chars), "text")
-    return read_stats(lines.unionByName(left_out).unionByName(cut_short))
+    texts = members.filter(F.col("status") == "ok").select(decode_bounded(F.col("content"), None).alias("text"))
+    return read_stats(line_status(texts, "text").unionByName(left_out))
 
 
 def read_filewise_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(grp, ord, line)`` of archives and plain files: log names only, members cut, raw lines."""
-    members = read_members(spark, path, skip_big=False).filter(is_log_name(F.col("member")))
-    texts = members.withColumn("text", decode_bounded(F.col("content"), None)).drop("content")
-    lines = explode_lines(texts, "text", ["archive", "member_ord", "member"], strip_lines=False, name="line")
-    family = group_key(base_name(F.col("member"))).alias("grp")
-    return _with_file_rank(spark, lines, path).select(family, _ord(), "line")
+    members = read_members(spark, path, max_chars=None).filter(is_log_name(F.col("member")))
+    lines = explode_lines(_texts(spark, members, path), "text", _PLACE, strip_lines=False, name="line")
+    return lines.select(group_key(base_name(F.col("member"))).alias("grp"), _ord(), "line")

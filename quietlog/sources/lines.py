@@ -70,6 +70,12 @@ def read_log_lines(spark: SparkSession, path: str | list[str], glob: str | None
     )
 
 
+def file_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file)`` of every input file, from the listing alone: empty files count too."""
+    listing = spark.read.format("binaryFile").load(path)
+    return listing.select(base_name(F.col("path")).alias("file")).distinct()
+
+
 def rotation_pattern(base: str) -> str:
     """Names of a rotated set: the base name, alone or with a numeric suffix."""
     return rf"^{re.escape(base)}(\.\d+)?\z"
