@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +32,13 @@ def _physical_lines(spark: SparkSession, path: str | list[str], glob: str | None
     )
 
 
+def real_name(path: Column) -> Column:
+    """File name of a path as the text source reports it (escaped like a URI)."""
+    name = base_name(path)
+    decoded = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.when(name.contains("%"), decoded).otherwise(name)
+
+
 def number_lines(raw: DataFrame, across_files: bool = False) -> DataFrame:
     """Adds ``line``, counted from 1 per file, and ``ord`` over all files if asked for.
 
@@ -66,14 +73,14 @@ def read_log_lines(spark: SparkSession, path: str | list[str], glob: str | None
     """
     numbered = number_lines(_physical_lines(spark, path, glob))
     return numbered.select(
-        base_name(F.col("path")).alias("file"), "line", rstrip(drop_bad_bytes(F.col("value"))).alias("log")
+        real_name(F.col("path")).alias("file"), "line", rstrip(drop_bad_bytes(F.col("value"))).alias("log")
     )
 
 
 def file_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file)`` of every input file, from the listing alone: empty files count too."""
-    listing = spark.read.format("binaryFile").load(path)
-    return listing.select(base_name(F.col("path")).alias("file")).distinct()
+    """``(file)`` of every input file, empty ones too: the listing the driver holds anyway."""
+    listed = [(p,) for p in spark.read.text(path).inputFiles()]
+    return spark.createDataFrame(listed, "path string").select(real_name(F.col("path")).alias("file")).distinct()
 
 
 def rotation_pattern(base: str) -> str:
@@ -121,5 +128,5 @@ def read_entries(spark: SparkSession, base_path: str) -> DataFrame:
     return (
         number_lines(raw, across_files=True)
         .filter(~is_blank(text))
-        .select(base_name(F.col("path")).alias("file"), "ord", strip(text).alias("message"))
+        .select(real_name(F.col("path")).alias("file"), "ord", strip(text).alias("message"))
     )
