@@ -137,23 +137,26 @@ VOLATILE_TIMES = [
     r"[A-Z][a-z]{2}" + SPACE + r"+\d{1,2}",
 ]
 VOLATILE_EPOCH = r"\b\d{10,}\.\d+\b:?"
-VOLATILE_PARTS = [
+VOLATILE_TASK_IDS = [
     r"tid[:=]?\d+",
     r"pid[:=]?\d+",
     r"thread[:=]?\d+",
     r"\bTID" + SPACE + r"*\d+\b",
     r"\bPID" + SPACE + r"*\d+\b",
-    r"line[:=]?\d+",
-    r"lineno[:=]?\d+",
-    r"ln[:=]?\d+",
-    r"\b\d{4,6}(?=" + SPACE + r")",
-    r"[A-Za-z0-9_\-/]+\[\d+\]",
+]
+VOLATILE_LINE_IDS = [r"line[:=]?\d+", r"lineno[:=]?\d+", r"ln[:=]?\d+"]
+VOLATILE_NUMBER = r"\b\d{4,6}(?=" + SPACE + r")"
+VOLATILE_PROCESS = r"[A-Za-z0-9_\-/]+\[\d+\]"
+VOLATILE_TAGS = [
     r"\[[A-Z]{2,5}\]",
     r"\b[A-Za-z0-9_\-]+:",
     r"0x[0-9a-fA-F]+",
     r"\b[0-9a-fA-F]{8,}\b",
     r"\b(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|CRITICAL|FATAL|NOTICE)\b",
 ]
+VOLATILE_PARTS = [
+    *VOLATILE_TASK_IDS, *VOLATILE_LINE_IDS, VOLATILE_NUMBER, VOLATILE_PROCESS, *VOLATILE_TAGS,
+]
 
 # ---- source limits and names ---------------------------------------------------
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quietlog import fixed_values as fv
 from quietlog.functions.text import REGEX_FLAGS, pattern
-from quietlog.rules import Rules
+from quietlog.rules import Rules, required_text
 
 PROFILES = ("cli", "web")
 
@@ -122,9 +122,29 @@ def is_noisy(level: Column, rules: Rules) -> Column:
     return level.isin(rules.noisy_log_levels) if rules.noisy_log_levels else F.lit(False)
 
 
-def is_sensitive(log: Column, rules: Rules) -> Column:
-    """Whether any pattern is found. Separate tests: one big alternation is slower."""
-    return _any([log.rlike(REGEX_FLAGS + p) for p in rules.sensitive_patterns])
+def is_ascii(log: Column) -> Column:
+    return F.octet_length(log) == F.char_length(log)
+
+
+def is_sensitive(
+    log: Column, rules: Rules, lower_log: Column | None = None, ascii_only: Column | None = None
+) -> Column:
+    """Whether any pattern is found. Separate tests: one big alternation is slower.
+
+    Given the lower-cased line and whether it is plain ASCII, as columns, a pattern is
+    searched only in lines with the text it cannot do without. Other lines are always
+    searched where case is ignored, as a few letters fold to ASCII ones.
+    """
+    tests = []
+    for p in rules.sensitive_patterns:
+        test = log.rlike(REGEX_FLAGS + p)
+        needed = required_text(p)
+        if needed and not needed[1]:
+            test = log.contains(needed[0]) & test
+        elif needed and lower_log is not None and ascii_only is not None:
+            test = (~ascii_only | lower_log.contains(needed[0])) & test
+        tests.append(test)
+    return _any(tests)
 
 
 def has_failure(lower_log: Column, rules: Rules) -> Column:

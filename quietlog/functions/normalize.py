@@ -10,11 +10,31 @@ from quietlog.functions.text import pattern
 
 
 def _volatile(with_epoch: bool) -> str:
-    # the five time shapes stand under one shared look-behind: tested once per position
-    parts = [rf"(?<!\w)(?:{'|'.join(fv.VOLATILE_TIMES)})"]
-    if with_epoch:
-        parts.append(fv.VOLATILE_EPOCH)
-    return pattern("|".join(parts + fv.VOLATILE_PARTS), "(?iUd)")
+    """One alternation of all volatile parts, in their order, made cheap to fail.
+
+    Nearly every position of a line fails, so alternatives that start with the same few
+    characters stand behind one look-ahead, the time shapes behind one look-behind.
+    """
+
+    def behind(first: str, parts: list[str]) -> str:
+        return f"(?={first})(?:{'|'.join(parts)})"
+
+    # A run of name characters is scanned from its first one (or where the last hit ended)
+    # only: a scan from any later one would run into the same end.
+    name = fv.VOLATILE_PROCESS[: fv.VOLATILE_PROCESS.index("+")]
+    process = rf"(?:(?<!{name})|\G){fv.VOLATILE_PROCESS}"
+    return pattern(
+        "|".join([
+            rf"(?<!\w)(?:{'|'.join(fv.VOLATILE_TIMES)})",
+            *([fv.VOLATILE_EPOCH] if with_epoch else []),
+            behind("[tp]", fv.VOLATILE_TASK_IDS),
+            behind("l", fv.VOLATILE_LINE_IDS),
+            behind(r"\d", [fv.VOLATILE_NUMBER]),
+            process,
+            *fv.VOLATILE_TAGS,
+        ]),
+        "(?iUd)",
+    )
 
 
 def _key(message: Column, with_epoch: bool) -> Column:

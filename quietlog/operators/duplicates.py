@@ -34,10 +34,17 @@ def concat_entries(*sources: DataFrame) -> DataFrame:
 
 
 def with_key(entries: DataFrame) -> DataFrame:
+    """Adds the comparison key. Entries that have one keep it, so it can be worked out
+    once (and written, see :func:`quietlog.session.cut`) for several steps.
+    """
+    if "key" in entries.columns:
+        return entries
     return entries.withColumn("key", F.coalesce(normalize(F.col("message")), F.lit("")))
 
 
 def with_key_filewise(entries: DataFrame) -> DataFrame:
+    if "key" in entries.columns:
+        return entries
     return entries.withColumn("key", F.coalesce(normalize_filewise(F.col("line")), F.lit("")))
 
 

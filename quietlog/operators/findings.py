@@ -18,16 +18,18 @@ def gated_lines(lines: DataFrame, profile: str = "cli") -> DataFrame:
 
 
 def with_level(lines: DataFrame, profile: str = "cli") -> DataFrame:
-    """Adds ``level`` and the lower-cased line, both used by more than one check."""
+    """Adds ``level``, the lower-cased line and whether it is ASCII, for the checks to share."""
+    log = F.col("log")
     return lines.select(
-        "*", ft.detect_level(F.col("log"), profile).alias("level"), F.lower("log").alias("_lower")
+        "*", ft.detect_level(log, profile).alias("level"),
+        F.lower(log).alias("_lower"), ft.is_ascii(log).alias("_ascii"),
     )
 
 
 def _checks(rules: Rules) -> dict:
     return {
         fv.NOISY: ft.is_noisy(F.col("level"), rules),
-        fv.SENSITIVE: ft.is_sensitive(F.col("log"), rules),
+        fv.SENSITIVE: ft.is_sensitive(F.col("log"), rules, F.col("_lower"), F.col("_ascii")),
         fv.SEVERITY: ft.violates_severity(F.col("_lower"), F.col("level"), rules),
     }
 

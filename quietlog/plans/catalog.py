@@ -214,7 +214,7 @@ def a8_filewise(spark, sf):
 
 def _examples(entries: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark, sf):
-        found = entries(spark, sf)
+        found = cut(dup.with_key(entries(spark, sf)), "keyed")
         return dup.first_examples(found, dup.find_duplicates(found))
 
     return run

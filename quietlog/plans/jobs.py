@@ -41,6 +41,9 @@ def find_repeats(
     entries: DataFrame, stats: DataFrame | None = None, report_path: str | None = None
 ) -> DataFrame:
     """Ranked global duplicate groups; writes the HTML report if asked to."""
+    if report_path:
+        # groups, examples and counts all need the keys: write them once
+        entries = cut(dup.with_key(entries), "keyed")
     groups = dup.find_duplicates(entries)
     if report_path:
         groups = cut(groups, "groups")

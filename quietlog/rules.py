@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from re import _constants, _parser
 from typing import Any
 
 import yaml
@@ -51,6 +53,30 @@ def parse_rules(text: str) -> Rules:
     return validate_rules(raw)
 
 
+def required_text(regex: str) -> tuple[str, bool] | None:
+    """Plain text every match of a pattern contains, and whether its case is ignored.
+
+    Lines without that text need not be searched. This is the longest run of plain
+    characters at the top level of the pattern; None if there is none to speak of, or
+    for a pattern only Java understands.
+    """
+    try:
+        parsed = _parser.parse(regex)
+    except re.error:
+        return None
+    runs = [""]
+    for op, char in parsed:
+        if op is _constants.LITERAL:
+            runs[-1] += chr(char)
+        else:
+            runs.append("")
+    text = max(runs, key=len)
+    if len(text) < 3 or not text.isascii():
+        return None
+    ignore_case = bool(parsed.state.flags & re.IGNORECASE)
+    return (text.lower() if ignore_case else text), ignore_case
+
+
 def check_patterns(spark: SparkSession, rules: Rules) -> Rules:
     """Fail early on a pattern the JVM's regex engine does not accept."""
     compiler = spark._jvm.java.util.regex.Pattern

@@ -137,3 +137,23 @@ def test_status_and_band(spark):
     rows = df.select(status_of(F.col("code"), F.col("outcome")).alias("s"), issue_band(F.col("total")).alias("b")).collect()
     assert [r["s"] for r in rows] == ["PASSED", "FAILED", "TIMEOUT", "ERROR: no binary"]
     assert [r["b"] for r in rows] == [None, "low", "medium", "high"]
+
+
+def test_searching_only_lines_with_the_required_text_changes_nothing(spark, sf):
+    from quietlog.plans import tables as tb
+    from quietlog.rules import required_text
+
+    lines = tb.log_lines(spark, sf).select("log").unionByName(
+        tb.document_entries(spark, sf).select(F.col("message").alias("log"))
+    )
+    odd = [f"04:31:14 x pa{chr(0x17F)}{chr(0x17F)}word=abcdef", f"TO{chr(0x212A)}EN=" + ".".join(["a" * 20] * 3), f"dev{chr(0x131)}ce.x :"]
+    lines = lines.unionByName(spark.createDataFrame([(x,) for x in odd], "log string"))
+    log = F.col("log")
+    both = lines.select(
+        "log", ft.is_sensitive(log, RULES).alias("plain"),
+        ft.is_sensitive(log, RULES, F.lower(log), ft.is_ascii(log)).alias("quick"),
+    )
+    assert both.filter("plain != quick").count() == 0
+    assert {r["log"] for r in both.filter("plain").collect()} >= set(odd)
+    assert required_text("(?i)AB+cdE") == ("cde", True) and required_text("AB|cdE") is None
+    assert required_text(r"ab\Q.\E") is None and required_text("ab") is None
