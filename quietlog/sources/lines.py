@@ -66,13 +66,20 @@ def number_lines(raw: DataFrame, across_files: bool = False) -> DataFrame:
     return raw.join(starts, on, "left").select("path", *numbers, "value")
 
 
-def read_log_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+def read_log_lines(
+    spark: SparkSession, path: str | list[str], glob: str | None = None, numbered: bool = True
+) -> DataFrame:
     """``(file, line, log)`` of text files: right-stripped, bad bytes left out.
 
-    Every physical line counts for the number, blank ones too.
+    Every physical line counts for the number, blank ones too. Without numbers (``line``
+    is null), the files are read once instead of twice: enough for counts per file.
     """
-    numbered = number_lines(_physical_lines(spark, path, glob))
-    return numbered.select(
+    raw = _physical_lines(spark, path, glob)
+    if numbered:
+        raw = number_lines(raw)
+    else:
+        raw = raw.select("path", F.lit(None).cast("bigint").alias("line"), "value")
+    return raw.select(
         real_name(F.col("path")).alias("file"), "line", rstrip(drop_bad_bytes(F.col("value"))).alias("log")
     )
 

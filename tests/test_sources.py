@@ -37,6 +37,14 @@ def test_lines_count_every_physical_line(spark, tmp_path):
     assert [r["line"] for r in rows] == list(range(1, 7)) and {r["file"] for r in rows} == {"a.log"}
 
 
+def test_lines_without_numbers(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(BYTES)
+    with_numbers = src.read_log_lines(spark, str(tmp_path)).drop("line")
+    rows = src.read_log_lines(spark, str(tmp_path), numbered=False)
+    assert rows.drop("line").exceptAll(with_numbers).count() == 0 and rows.count() == 6
+    assert rows.filter("line IS NOT NULL").count() == 0
+
+
 def test_file_names_are_the_real_ones(spark, tmp_path):
     names = {"a b%20+.log", "c.log", "empty.log"}
     for n in names:
