@@ -5,13 +5,15 @@ from quietlog.operators.duplicates import (
     order_filewise, order_groups,
 )
 from quietlog.operators.findings import category, emit_findings, summarize, summarize_lines
-from quietlog.operators.history import append_history, get_analysis, history_totals, read_history, recent_history
+from quietlog.operators.history import (
+    append_history, get_analysis, history_totals, read_history, recent_history, stored_findings,
+)
 from quietlog.operators.testruns import (
     issue_totals, join_test_findings, parse_test_listing, status_counts, test_status,
 )
 from quietlog.plans.jobs import (
     analyze, analyze_files, find_filewise_repeats, find_filewise_repeats_in, find_repeats,
-    find_repeats_in, record_analysis, summarize_test_runs,
+    find_repeats_in, record_analysis, report_from_history, summarize_test_runs,
 )
 from quietlog.rules import Rules, load_rules, rules_table, save_rules, validate_rules
 from quietlog.session import build_session

@@ -56,13 +56,32 @@ def recent_history(history: DataFrame, n: int = fv.HISTORY_ROWS_SHOWN) -> DataFr
     )
 
 
+def with_results(history: DataFrame) -> DataFrame:
+    """History records with the stored result as a structure."""
+    return history.withColumn("results", F.from_json("results_json", RESULT_SCHEMA)).drop("results_json")
+
+
 def get_analysis(history: DataFrame, run_id: str) -> DataFrame:
     """The stored result of one analysis; no row if there is none of that id."""
-    found = history.filter(F.col("run_id") == run_id)
-    return found.withColumn("results", F.from_json("results_json", RESULT_SCHEMA)).drop("results_json")
+    return with_results(history.filter(F.col("run_id") == run_id))
 
 
 def history_totals(recent: DataFrame) -> DataFrame:
     """Number of records shown and the sums of their counts."""
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
     return recent.agg(F.count(F.lit(1)).alias("analyses"), *sums)
+
+
+def stored_findings(analyses: DataFrame) -> DataFrame:
+    """Findings of stored analyses as rows again, for example to write their report anew.
+
+    An analysis too large for one object has none here; its findings are in the table of
+    result lines.
+    """
+    lists = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in fv.CATEGORIES]),
+        F.array("results.noisy_logs", "results.sensitive_logs", "results.severity_violations"),
+    )
+    per_list = analyses.select(F.col("filename").alias("file"), F.explode(lists).alias("category", "_found"))
+    rows = per_list.select("file", "category", F.explode("_found").alias("_f"))
+    return rows.select("category", "file", "_f.line", "_f.plugin", "_f.reason", "_f.log")

@@ -502,6 +502,15 @@ def r6(spark, sf):
     )
 
 
+@register("r6_stored_findings", sql.findings(RULES, source=sql.DAILY))
+def r6_stored(spark, sf):
+    """Findings of all stored analyses, taken out of the history again."""
+    path = scratch_path(spark, "history")
+    found = cut(fnd.emit_findings(tb.daily_lines(spark, sf), RULES), "findings")
+    record_analysis(found, _daily_summary(spark, sf), path, run_id="sf")
+    return hist.stored_findings(hist.with_results(hist.read_history(spark, path)))
+
+
 # ---- reports -----------------------------------------------------------------------------
 
 

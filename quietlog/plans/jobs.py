@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietlog.functions.text import report_name
 from quietlog.operators import duplicates as dup
 from quietlog.operators import findings as fnd
 from quietlog.operators import history as hist
@@ -81,15 +82,23 @@ def find_filewise_repeats_in(spark: SparkSession, path: str, report_path: str |
 def summarize_test_runs(
     tests: DataFrame, lines: DataFrame, rules: Rules | None = None, report_path: str | None = None
 ) -> DataFrame:
-    """Tests with the issue counts of their logs; writes the consolidated report if asked to.
+    """Tests with the issue counts of their logs.
 
     ``tests`` is ``(test_name, return_code, status, log_file)``, the logs lie in ``lines``.
+    With a path, writes the consolidated report to ``summary`` and one report per test
+    that has log lines to ``tests``.
     """
-    counts = fnd.summarize_lines(lines, rules or Rules())
+    rules = rules or Rules()
+    counts = fnd.summarize_lines(lines, rules)
+    if report_path:
+        counts = cut(counts, "counts")
     results = tr.join_test_findings(tests, counts)
     if report_path:
         report = rep.consolidated_report(results, tr.status_counts(tests), tr.issue_totals(results), "test_name")
-        rep.write_report(report, report_path, ["part", "test_name"])
+        rep.write_report(report, f"{report_path}/summary", ["part", "test_name"])
+        named = tests.select(F.col("log_file").alias("file"), report_name(F.col("test_name")).alias("report"))
+        single = rep.findings_report(analyze(lines, rules), counts).join(named, "file")
+        rep.write_report(single, f"{report_path}/tests", ["section", "part", "line"], by="report")
     return results
 
 
@@ -102,3 +111,11 @@ def record_analysis(
         F.col("filename").alias("file"), F.col("json").alias("results_json")
     )
     hist.append_history(summaries.join(documents, "file", "left"), history_path, run_id, at)
+
+
+def report_from_history(history: DataFrame, run_id: str, report_path: str, profile: str = "web") -> None:
+    """Write the report of a stored analysis anew."""
+    analysis = hist.get_analysis(history, run_id)
+    summary = analysis.withColumnRenamed("filename", "file")
+    report = rep.findings_report(hist.stored_findings(analysis), summary, profile)
+    rep.write_report(report, report_path, ["section", "part", "line"], by="file")

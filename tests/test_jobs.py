@@ -115,7 +115,10 @@ def test_test_runs_keep_null_apart_from_zero(spark, tmp_path):
     assert got == {"S.A": (0, 0, "low"), "S.B": (4, 8, "medium"), "S.C/1": (None, None, None), "S.D": (None, None, None)}
     assert ql.status_counts(tests).first().asDict() == {"total": 4, "passed": 1, "failed": 1, "errors": 2}
     assert ql.issue_totals(results).first()["total_issues"] == 8
-    text = document(tmp_path / "out")
+    singles = {p.name for p in (tmp_path / "out" / "tests").glob("report=*")}
+    assert singles == {"report=report_S_A.html", "report=report_S_B.html"}
+    assert document(tmp_path / "out" / "tests" / "report=report_S_B.html").count("<strong style") == 8
+    text = document(tmp_path / "out" / "summary")
     assert text.count("No log data") == 2 and 'href="report_S_B.html"' in text and "ERROR: &lt;x&gt;" in text
     assert "Passed: 1 | Failed: 1 | Errors/Timeouts: 2" in text and "Total Log Quality Issues: 8" in text
 
@@ -138,6 +141,9 @@ def test_history(spark, tmp_path):
     assert result["summary"]["total_issues"] == 4 and [x["line"] for x in result["noisy_logs"]] == [1, 4]
     assert ql.get_analysis(history, recent[1]["run_id"]).first()["results"]["noisy_logs"] == []
     assert ql.get_analysis(history, "none").count() == 0
+    ql.report_from_history(history, recent[0]["run_id"], str(tmp_path / "again"))
+    text = document(tmp_path / "again" / "file=a.log")
+    assert "Total Issues Found: 4" in text and text.count("<strong style") == 4
 
 
 def test_result_objects_and_lines(spark):
