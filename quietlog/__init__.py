@@ -20,6 +20,6 @@ from quietlog.session import build_session
 from quietlog.sources.archives import (
     read_archive_entries, read_archive_stats, read_filewise_entries, read_members,
 )
-from quietlog.sources.lines import read_entries, read_log_lines, read_rotated
+from quietlog.sources.lines import read_entries, read_family_entries, read_log_lines, read_rotated
 
 __all__ = [name for name in dir() if not name.startswith("_")]

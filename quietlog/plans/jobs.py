@@ -57,12 +57,18 @@ def find_repeats(
     return dup.order_groups(groups)
 
 
-def find_repeats_in(spark: SparkSession, path: str, report_path: str | None = None) -> DataFrame:
-    """Global duplicates of a (rotated set of) log file(s) or archives, with all read limits."""
+def find_repeats_in(
+    spark: SparkSession, path: str, report_path: str | None = None, whole: bool = False
+) -> DataFrame:
+    """Global duplicates of a (rotated set of) log file(s) or archives, with all read limits.
+
+    ``whole`` reads plain files without limits and in splits.
+    """
+    if whole:
+        return find_repeats(src.read_entries(spark, path), report_path=report_path)
     paths = src.rotated_paths(spark, path)
-    return find_repeats(
-        archives.read_archive_entries(spark, paths), archives.read_archive_stats(spark, paths), report_path
-    )
+    stats = archives.read_archive_stats(spark, paths) if report_path else None
+    return find_repeats(archives.read_archive_entries(spark, paths), stats, report_path)
 
 
 def find_filewise_repeats(entries: DataFrame, report_path: str | None = None) -> DataFrame:
@@ -74,7 +80,15 @@ def find_filewise_repeats(entries: DataFrame, report_path: str | None = None) ->
     return dup.order_filewise(groups)
 
 
-def find_filewise_repeats_in(spark: SparkSession, path: str, report_path: str | None = None) -> DataFrame:
+def find_filewise_repeats_in(
+    spark: SparkSession, path: str, report_path: str | None = None, whole: bool = False
+) -> DataFrame:
+    """Duplicates per family of a (rotated set of) log file(s) or archives, members cut.
+
+    ``whole`` reads plain files without limits and in splits.
+    """
+    if whole:
+        return find_filewise_repeats(src.read_family_entries(spark, path), report_path)
     paths = src.rotated_paths(spark, path)
     return find_filewise_repeats(archives.read_filewise_entries(spark, paths), report_path)
 

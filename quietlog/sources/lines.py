@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quietlog.functions.text import base_name, drop_bad_bytes, is_blank, rstrip, strip
+from quietlog import fixed_values as fv
+from quietlog.functions.normalize import group_key
+from quietlog.functions.text import base_name, drop_bad_bytes, is_blank, pattern, rstrip, strip
 from quietlog.operators.ordering import running_total
 from quietlog.session import as_lookup, cut
 
+# Room in ``ord`` for the pieces of one physical line.
+_PIECE_BITS = 20
 _MIN_SPLITS = "spark.sql.files.minPartitionNum"
 
 
@@ -124,16 +128,33 @@ def read_rotated(spark: SparkSession, base_path: str) -> DataFrame:
     return read_log_lines(spark, rotated_paths(spark, base_path))
 
 
-def read_entries(spark: SparkSession, base_path: str) -> DataFrame:
-    """``(file, ord, message)`` of a rotated set, splittable and without a size cap.
+def _entries(spark: SparkSession, paths: list[str], name: str, stripped: bool) -> DataFrame:
+    """``(file, ord, <name>)``: non-blank lines of whole files, in encounter order.
 
-    Blank lines are left out; the rest is stripped. For archives, or to cut every file
-    at the byte limit, use :func:`quietlog.sources.archives.read_archive_entries`.
+    Physical lines are cut further at the line ends that text readers do not know (form
+    feed, U+2028 and so on); ``ord`` leaves room for the pieces of a line.
     """
-    raw = _physical_lines(spark, rotated_paths(spark, base_path))
     text = F.make_valid_utf8("value")
-    return (
-        number_lines(raw, across_files=True)
-        .filter(~is_blank(text))
-        .select(real_name(F.col("path")).alias("file"), "ord", strip(text).alias("message"))
-    )
+    pieces = F.when(text.rlike(fv.LINE_END), F.split(text, fv.LINE_END)).otherwise(F.array(text))
+    numbered = number_lines(_physical_lines(spark, paths), across_files=True)
+    lines = numbered.select("path", "ord", F.posexplode(pieces).alias("_pos", "_text")).filter(~is_blank(F.col("_text")))
+    too_many = F.raise_error(F.lit("more pieces in one physical line than ord has room for")).cast("bigint")
+    place = F.when(F.col("_pos") < 2**_PIECE_BITS, F.shiftleft("ord", _PIECE_BITS) + F.col("_pos")).otherwise(too_many)
+    shown = strip(F.col("_text")) if stripped else F.col("_text")
+    return lines.select(real_name(F.col("path")).alias("file"), place.alias("ord"), shown.alias(name))
+
+
+def read_entries(spark: SparkSession, base_path: str) -> DataFrame:
+    """``(file, ord, message)`` of a rotated set: whole texts, splittable, no size cap.
+
+    For archives, or to cut every file at the byte limit, use
+    :func:`quietlog.sources.archives.read_archive_entries`.
+    """
+    return _entries(spark, rotated_paths(spark, base_path), "message", stripped=True)
+
+
+def read_family_entries(spark: SparkSession, base_path: str) -> DataFrame:
+    """``(grp, ord, line)`` of a rotated set: raw lines of whole texts, log names only."""
+    raw = _entries(spark, rotated_paths(spark, base_path), "line", stripped=False)
+    named = raw.filter(F.col("file").rlike(pattern(fv.LOG_MEMBER_NAME)))
+    return named.select(group_key(F.col("file")).alias("grp"), "ord", "line")

@@ -40,6 +40,11 @@ def test_golden_counts(spark, sf):
     assert tuple(per_source) == (42, 13)
 
 
+def test_checks_run_once_per_line(spark, sf):
+    text = ql.analyze(tb.app_lines(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("AKIA[0-9A-Z]") == 1
+
+
 def test_findings_of_a_union_are_the_union(spark, sf):
     one, two = tb.app_lines(spark, sf), tb.device_lines(spark, sf)
     both = ql.analyze(one.unionByName(two))
@@ -67,9 +72,10 @@ def test_report_per_file(spark, tmp_path, profile):
     assert document(out / "file=empty.log").count("No issues found in this section.") == 3
 
 
-def test_duplicates_report(spark, tmp_path):
+@pytest.mark.parametrize("whole", [False, True])
+def test_duplicates_report(spark, tmp_path, whole):
     (tmp_path / "d.log").write_text("\n".join(["x <1>", "x <1>"] + [f"04:31:{i:02d} hot" for i in range(8)] + ["once", ""]))
-    ranked = ql.find_repeats_in(spark, str(tmp_path / "d.log"), str(tmp_path / "out")).orderBy("rank").collect()
+    ranked = ql.find_repeats_in(spark, str(tmp_path / "d.log"), str(tmp_path / "out"), whole=whole).orderBy("rank").collect()
     assert [(r["key"], r["cnt"]) for r in ranked] == [("hot", 8), ("x <1>", 2)]
     text = document(tmp_path / "out")
     assert "Total parsed: 11" in text and "Stats: {'ok': 11}" in text
@@ -86,10 +92,11 @@ def test_duplicates_report_without_groups(spark, tmp_path, content, expected):
     assert expected in text and "<table" not in text and "</table>" not in text
 
 
-def test_filewise_report(spark, tmp_path):
+@pytest.mark.parametrize("whole", [False, True])
+def test_filewise_report(spark, tmp_path, whole):
     (tmp_path / "d.log").write_text("b <\nb <\na\na\nc\nc\nc\n")
     (tmp_path / "d.log.1").write_text('q "&"\n')
-    ql.find_filewise_repeats_in(spark, str(tmp_path / "d.log"), str(tmp_path / "out"))
+    ql.find_filewise_repeats_in(spark, str(tmp_path / "d.log"), str(tmp_path / "out"), whole=whole)
     rows = re.findall(r"<tr><td>(\d+)</td><td>(.*?)</td></tr>", document(tmp_path / "out"))
     assert rows == [("3", "c"), ("2", "b &lt;"), ("2", "a")]
 

@@ -65,7 +65,7 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
         wrong = rows.filter(F.split("log", " ")[0].cast("bigint") != F.col("line")).count()
         assert wrong == 0 and rows.count() == 12000
         entries = src.read_entries(spark, str(tmp_path / "x.log"))
-        assert [r["ord"] for r in entries.orderBy("ord").collect()] == list(range(6000))
+        assert [r["ord"] for r in entries.orderBy("ord").collect()] == [i << 20 for i in range(6000)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
@@ -81,6 +81,18 @@ def test_rotated_set(spark, tmp_path):
     assert src.read_rotated(spark, str(tmp_path / "a.log")).count() == 12
 
 
+def test_whole_files_give_the_same_entries_as_bounded_ones(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(BYTES * 3)
+    (tmp_path / "a.log.1").write_bytes(b"x\x0c y \r\n\r\nz")
+    base, paths = str(tmp_path / "a.log"), src.rotated_paths(spark, str(tmp_path / "a.log"))
+    whole = [tuple(r) for r in src.read_entries(spark, base).orderBy("ord").select("file", "message").collect()]
+    bounded = [tuple(r) for r in arc.read_archive_entries(spark, paths).orderBy("ord").select("file", "message").collect()]
+    assert whole == bounded and len(whole) == 21 + 3
+    raw = [tuple(r) for r in src.read_family_entries(spark, base).orderBy("ord").select("grp", "line").collect()]
+    cut = [tuple(r) for r in arc.read_filewise_entries(spark, paths).orderBy("ord").select("grp", "line").collect()]
+    assert raw == cut and {g for g, _ in raw} == {"a.log"}
+
+
 def test_split_lines_equal_python(spark):
     texts = ["", "a", "a\n", "a\n\n", "\n", BYTES.decode("utf-8", "replace"), "x\x85y\x1cz ", "\r\n\r\n", "a\r"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
