@@ -8,9 +8,12 @@ from re import _constants, _parser
 from typing import Any
 
 import yaml
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quietlog import fixed_values as fv
+from quietlog.functions.text import pattern
 
 RULES_SCHEMA = "kind string, ordinal int, value string"
 
@@ -79,12 +82,18 @@ def required_text(regex: str) -> tuple[str, bool] | None:
 
 def check_patterns(spark: SparkSession, rules: Rules) -> Rules:
     """Fail early on a pattern the JVM's regex engine does not accept."""
-    compiler = spark._jvm.java.util.regex.Pattern
-    for p in rules.sensitive_patterns:
+    one = spark.range(1)
+
+    def accepted(patterns: list[str]) -> bool:
         try:
-            compiler.compile("(?Ud)" + p)
-        except Exception as e:
-            raise RulesError(f"not a valid pattern: {p}") from e
+            one.select(*[F.lit("").rlike(pattern(p)).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+        except PySparkException:
+            return False
+        return True
+
+    if rules.sensitive_patterns and not accepted(rules.sensitive_patterns):
+        refused = [p for p in rules.sensitive_patterns if not accepted([p])]
+        raise RulesError("not valid patterns: " + ", ".join(refused))
     return rules
 
 

@@ -60,13 +60,16 @@ def number_lines(raw: DataFrame, across_files: bool = False) -> DataFrame:
         placed = running_total(placed, F.col("_rows"), order, name="_ord_offset")
     starts = as_lookup(cut(placed.withColumnsRenamed({"path": "_path", "block": "_block"})))
     on = (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block"))
-    # a split that was not counted means the files changed in between: stop, do not lose lines
-    place = F.col("_seq") - F.coalesce(
-        F.col("_first"), F.raise_error(F.lit("input changed while lines were numbered")).cast("bigint")
-    )
-    numbers = [(F.col("_offset") + place + 1).alias("line")]
+    place = F.col("_seq") - F.col("_first")
+    changed = F.raise_error(F.lit("input changed while lines were numbered")).cast("bigint")
+
+    def counted(number: Column) -> Column:
+        # a split that was not counted means the files changed in between: stop, do not lose lines
+        return F.when(F.col("_first").isNull(), changed).otherwise(number)
+
+    numbers = [counted(F.col("_offset") + place + 1).alias("line")]
     if across_files:
-        numbers.append((F.col("_ord_offset") + place).alias("ord"))
+        numbers.append(counted(F.col("_ord_offset") + place).alias("ord"))
     return raw.join(starts, on, "left").select("path", *numbers, "value")
 
 

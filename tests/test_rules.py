@@ -48,8 +48,8 @@ def test_bad_files_and_patterns(spark, tmp_path):
         load_rules(spark, str(tmp_path / "empty.yml"))
     before = str(tmp_path / "kept")
     save_rules(spark, GOOD, before)
-    with pytest.raises(RulesError, match="pattern"):
-        save_rules(spark, {**GOOD, "sensitive_patterns": ["("]}, before)
+    with pytest.raises(RulesError, match=r"patterns: \($"):
+        save_rules(spark, {**GOOD, "sensitive_patterns": ["a", "("]}, before)
     assert load_rules(spark, before) == validate_rules(GOOD)  # a refused set changes nothing
 
 

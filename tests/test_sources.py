@@ -37,6 +37,15 @@ def test_lines_count_every_physical_line(spark, tmp_path):
     assert [r["line"] for r in rows] == list(range(1, 7)) and {r["file"] for r in rows} == {"a.log"}
 
 
+def test_a_split_that_was_not_counted_stops_the_job(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.log").write_text("x\n")
+    (tmp_path / "b.log").write_text("y\n")
+    real = src.cut
+    monkeypatch.setattr(src, "cut", lambda df: real(df.filter(~F.col(df.columns[0]).endswith("b.log"))))
+    with pytest.raises(Exception, match="input changed"):
+        src.read_log_lines(spark, str(tmp_path)).collect()
+
+
 def test_lines_without_numbers(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(BYTES)
     with_numbers = src.read_log_lines(spark, str(tmp_path)).drop("line")
