@@ -108,8 +108,12 @@ def group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def _estimate(bits: np.ndarray, part: list[int], total: int, t: int) -> float:
-    """Probes and candidates of one partition at threshold t, for `total` fingerprints."""
+def _estimate(bits: np.ndarray, part: list[int], total: int, t: int, bucket: int) -> float:
+    """Probes and candidates of one partition at threshold t, for `total` fingerprints.
+
+    Values that the sample shows to be frequent count with their own pairs, or with a row for
+    every point around their fingerprints where the bucket is too large to be paired.
+    """
     if t < 0:
         return 0.0
     n = max(1, len(bits))
@@ -121,23 +125,24 @@ def _estimate(bits: np.ndarray, part: list[int], total: int, t: int) -> float:
     for p in same:
         chance = chance * p + np.concatenate([[0], chance[:-1]]) * (1 - p)
     _, counts = np.unique(bits[:, part] @ (1 << np.arange(len(part), dtype=np.int64)), return_counts=True)
-    seen = (counts * (counts - 1.0)).sum() / max(1.0, n * (n - 1.0))
+    sizes = counts[counts > 1] * (total / n)
+    seen = np.where(sizes > bucket, sizes * (BITS + 1), sizes * sizes / 2).sum()
     probes = sum(_choose(len(part), k) for k in range(t + 1))
-    return total * probes + total * float(total) / 2 * max(chance.sum(), seen)
+    return total * probes + max(total * float(total) / 2 * chance.sum(), seen)
 
 
 def _choose(n: int, k: int) -> int:
     return 1 if k == 0 else _choose(n, k - 1) * (n - k + 1) // k
 
 
-def design(sample: np.ndarray, total: int, tau: int = TAU) -> Design:
+def design(sample: np.ndarray, total: int, tau: int = TAU, bucket: int = BUCKET) -> Design:
     """The cheapest partitions and thresholds for `total` fingerprints like the sample's."""
     bits = np.unpackbits(sample.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
     best: tuple[float, Design] | None = None
     for m in range(2, tau + 3):
         parts = group_bits(bits, m)
         aim = tau - m + 1
-        cost = [{t: _estimate(bits, p, total, t) for t in range(-1, tau + 1)} for p in parts]
+        cost = [{t: _estimate(bits, p, total, t, bucket) for t in range(-1, tau + 1)} for p in parts]
         # reach[s]: cheapest thresholds of the partitions so far that sum up to s
         reach: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for c in cost:
@@ -214,7 +219,7 @@ def near_duplicates(documents: DataFrame, tau: int = TAU, sample: int = SAMPLE,
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
     total = nodes.count()
     seen = nodes.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").toPandas()["fp"].to_numpy(np.int64)
-    roots = components(links(nodes.select("fp"), design(seen, total, tau), tau, bucket))
+    roots = components(links(nodes.select("fp"), design(seen, total, tau, bucket), tau, bucket))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root")
     )
