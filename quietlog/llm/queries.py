@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import chat, packing, simhash, substrings, wumanber
+from quietlog.llm import chat, packing, simhash, substrings, toxicity, wumanber
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -35,6 +35,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.grade(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_contamination": op5_contamination,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
 }

@@ -223,14 +223,21 @@ def find_repeats(documents: DataFrame, window: int = WINDOW, prefix: int = PREFI
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
+def _stretches(keep: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of every run of consecutive places."""
+    if len(keep):
+        cuts = np.flatnonzero(np.diff(keep) > 1)
+        yield from zip(keep[np.append(0, cuts + 1)].tolist(), keep[np.append(cuts, len(keep) - 1)].tolist())
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds n_words, n_removed, kept_words and kept_text in place of the spans."""
     for batch in batches:
         n_words = np.zeros(batch.num_rows, np.int64)
         n_removed = np.zeros(batch.num_rows, np.int64)
         kept_words: list[str] = []
         kept_text: list[str | None] = []
-        spans = batch.column("spans").to_pylist()
-        texts = batch.column("text")
+        spans, texts = batch.column("_spans").to_pylist(), batch.column("text")
         for piece in tokens.words(texts):
             raw = piece.data.tobytes()
             starts, ends = piece.starts.tolist(), piece.ends.tolist()
@@ -240,15 +247,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for span in spans[row] or []:
                     gone[span["start"]:span["end"]] = True
                 n_words[row], n_removed[row] = b - a, gone.sum()
-                keep = np.flatnonzero(~gone)
-                kept_words.append(b" ".join([raw[starts[i]:ends[i]] for i in (keep + a).tolist()]).decode())
-                if n_removed[row]:
-                    cuts = np.flatnonzero(np.diff(keep) > 1)
-                    firsts, lasts = keep[np.append(0, cuts + 1)] if len(keep) else [], keep[np.append(cuts, len(keep) - 1)] if len(keep) else []
-                    kept_text.append(b" ".join([raw[starts[i + a]:ends[j + a]] for i, j in zip(firsts, lasts)]).decode())
-                else:
-                    kept_text.append(texts[row].as_py())
-        names = [n for n in batch.schema.names if n != "spans"]
+                keep = np.flatnonzero(~gone) + a
+                kept_words.append(b" ".join([raw[starts[i]:ends[i]] for i in keep.tolist()]).decode())
+                kept_text.append(
+                    b" ".join([raw[starts[i]:ends[j]] for i, j in _stretches(keep)]).decode()
+                    if n_removed[row] else texts[row].as_py()
+                )
+        names = [n for n in batch.schema.names if n != "_spans"]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in names), pa.array(n_words), pa.array(n_removed), pa.array(kept_words, pa.string()),
              pa.array(kept_text, pa.string())],
@@ -256,6 +261,38 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the spans cut out of the text."""
+    for batch in batches:
+        texts, spans = batch.column("text").to_pylist(), batch.column("_spans")
+        rows = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+        (kept,) = _kept(iter([pa.RecordBatch.from_arrays(
+            [batch.column("text").take(pa.array(rows)), spans.take(pa.array(rows))], names=["text", "_spans"]
+        )]))
+        for row, text in zip(rows.tolist(), kept.column("kept_text").to_pylist()):
+            texts[row] = text
+        names = [n for n in batch.schema.names if n != "_spans"]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names
+        )
+
+
+def _with_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """`documents` with the spans found for their doc_id, or null, as _spans."""
+    found = found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    named = documents.where("doc_id is not null").join(found, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    none = F.lit(None).cast(found.schema["_spans"].dataType)
+    return named.unionByName(documents.where("doc_id is null").withColumn("_spans", none))
+
+
+def with_repeats_removed(documents: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
+                         group_leaves: int = GROUP_LEAVES) -> DataFrame:
+    """The rows of `documents` with repeated words cut out of the text (as kept_text of
+    `remove_repeats`); all other columns as they are."""
+    found = find_repeats(documents, window, prefix, group_leaves)
+    return _with_spans(documents, found).mapInArrow(_shortened, documents.schema)
+
+
 def remove_repeats(documents: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                    group_leaves: int = GROUP_LEAVES) -> DataFrame:
     """doc_id, text, n_words, n_removed, kept_words (joined by one space) and kept_text (the
@@ -267,8 +304,6 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, prefix: int = PRE
     """
     found = find_repeats(documents, window, prefix, group_leaves)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    none = F.lit(None).cast("array<struct<start: bigint, end: bigint>>")
-    joined = texts.where("doc_id is not null").join(found, "doc_id", "left").select("doc_id", "text", "spans").unionByName(
-        texts.where("doc_id is null").select("doc_id", "text", none.alias("spans"))
+    return _with_spans(texts, found).mapInArrow(
+        _kept, "doc_id long, text string, n_words long, n_removed long, kept_words string, kept_text string"
     )
-    return joined.mapInArrow(_kept, "doc_id long, text string, n_words long, n_removed long, kept_words string, kept_text string")
