@@ -181,10 +181,11 @@ def find_repeats(documents: DataFrame, window: int = WINDOW, prefix: int = PREFI
     `documents` needs doc_id and text; doc_id must not be null.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    repeated = (
+    # written, so that the join below stands between two plain exchanges and splits a hot prefix
+    repeated = cut((
         texts.select("text").mapInArrow(_count_prefixes(window, prefix), "prefix long, n long")
         .groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1").select("prefix")
-    )
+    ), "prefixes")
     leaves = texts.mapInArrow(_leaves(window, prefix), "prefix long, content long, doc_id long, start int, windows int")
     leaves = cut(leaves.join(repeated, "prefix", "left_semi"), "leaves")
 
