@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import chat, packing, simhash, substrings, toxicity, wumanber
+from quietlog.llm import chat, packing, simhash, substrings, toxicity, warc, wumanber
+from quietlog.session import cut, scratch_path
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -19,6 +20,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    back = cut(
+        warc.read_pages(spark, path).select(
+            "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
+        ),
+        "pages",
+    )
+    responses = back.where("record_type = 'response'")
+    sizes = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = back.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, "refers_to", "left")
+    return responses.unionByName(revisits)
+
+
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wumanber.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     covered = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
@@ -66,6 +82,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_warc": op3_warc,
     "op5_contamination": op5_contamination,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
@@ -74,6 +91,16 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_warc": """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+pages_32 AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER)
+      >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest FROM hashed),
+first AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS m FROM pages_32)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> m THEN m END AS refers_to FROM first""",
     "op9_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
