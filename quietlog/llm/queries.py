@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import chat, packing, simhash, substrings, toxicity, warc, wumanber
+from quietlog.llm import chat, packing, quality, simhash, substrings, toxicity, warc, wumanber
 from quietlog.session import cut, scratch_path
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -35,6 +35,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionByName(revisits)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"
+    )
+
+
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wumanber.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     covered = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
@@ -83,6 +90,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
     "op5_contamination": op5_contamination,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
