@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import chat, packing, quality, simhash, substrings, toxicity, warc, wumanber
+from quietlog.llm import brown, chat, packing, quality, simhash, substrings, toxicity, warc, wumanber
 from quietlog.session import cut, scratch_path
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -20,6 +20,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
@@ -89,6 +93,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_brown": op2_brown,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_contamination": op5_contamination,
