@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import brown, chat, packing, quality, simhash, substrings, toxicity, warc, wumanber
+from quietlog.llm import brown, chat, licenses, packing, quality, simhash, substrings, toxicity, warc, wumanber
 from quietlog.session import cut, scratch_path
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -67,6 +67,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of a tree: source / lang / thousand / hundred / name. Every fourth
+    document has the name of a licence file; it is one if it holds a notice."""
+    documents = _table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 4 == 0, F.format_string("LICENSE-%d", "doc_id")).otherwise(F.format_string("%d.txt", "doc_id"))
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100").cast("string"), name)
+    return licenses.scan(documents.select("doc_id", path.alias("path"), "text"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(
@@ -99,6 +108,7 @@ QUERIES = {
     "op5_contamination": op5_contamination,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
 }
@@ -114,6 +124,46 @@ pages_32 AS (
 first AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS m FROM pages_32)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> m THEN m END AS refers_to FROM first""",
+    "op8_licenses": r"""
+WITH templates(license, text) AS (VALUES TEMPLATE_ROWS),
+files AS (
+  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, doc_id // 1000, doc_id // 100) AS directory,
+    CASE WHEN doc_id % 4 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS name FROM documents),
+notices AS (
+  SELECT DISTINCT doc_id, unit FROM (
+    SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n')) AS unit FROM files)
+  WHERE regexp_matches(unit, '(?i)licen[cs]e|copyright|spdx-')),
+units AS (SELECT unit, count(*) AS n FROM notices GROUP BY unit),
+unit_terms AS (SELECT unit, n, term, count(*) AS tf FROM (
+  SELECT unit, n, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS term FROM units) GROUP BY unit, n, term),
+known AS (SELECT license, term, count(*) AS tf FROM (
+  SELECT license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY license, term),
+frequency AS (SELECT term, sum(n) AS df FROM (SELECT term, n FROM unit_terms UNION ALL SELECT term, 1 FROM known) GROUP BY term),
+idf AS (SELECT term, ln((1 + (SELECT coalesce(sum(n), 0) FROM units) + (SELECT count(*) FROM templates)) / (1 + df)) + 1 AS idf FROM frequency),
+uw AS (SELECT unit, term, tf * idf AS w FROM unit_terms JOIN idf USING (term)),
+tw AS (SELECT license, term, tf * idf AS w FROM known JOIN idf USING (term)),
+un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY unit),
+tn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY license),
+cosines AS (SELECT unit, license, round(sum((uw.w / un.norm) * (tw.w / tn.norm)), 6) AS cosine
+  FROM uw JOIN tw USING (term) JOIN un USING (unit) JOIN tn USING (license) GROUP BY unit, license),
+matched AS (SELECT * FROM cosines WHERE cosine >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, license) = 1),
+own AS (SELECT doc_id, license, cosine FROM notices JOIN matched USING (unit)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
+licence_files AS (SELECT directory AS holder, license, cosine, directory || '/' || name AS license_path
+  FROM own JOIN files USING (doc_id) WHERE name LIKE 'LICENSE-%'
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, directory || '/' || name) = 1),
+nearest AS (SELECT directory, l.* FROM (SELECT DISTINCT directory FROM files) f
+  JOIN licence_files l ON f.directory = l.holder OR starts_with(f.directory, l.holder || '/')
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(l.holder) DESC) = 1)
+SELECT f.doc_id, f.directory || '/' || f.name AS path, coalesce(own.license, a.license) AS license,
+  coalesce(own.cosine, a.cosine) AS cosine,
+  CASE WHEN own.license IS NOT NULL AND f.name LIKE 'LICENSE-%' THEN 'file' WHEN own.license IS NOT NULL THEN 'notice'
+    WHEN a.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS found_in,
+  CASE WHEN own.license IS NOT NULL THEN f.directory || '/' || f.name ELSE a.license_path END AS license_path
+FROM files f LEFT JOIN own USING (doc_id) LEFT JOIN nearest a ON f.directory = a.directory""".replace(
+        "TEMPLATE_ROWS", ", ".join("('{}', '{}')".format(*row) for row in licenses.TEMPLATES.items())
+    ),
     "op9_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
