@@ -114,6 +114,36 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM texts WHERE len(w) >= 20),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS k FROM starts)
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, p + i AS pos FROM again, range(20) AS r(i)),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM texts),
+marked AS (SELECT p.*, g.pos IS NOT NULL AS gone FROM places p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos),
+kept AS (SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+  string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)""",
+    "op5_contamination": r"""
+WITH lowered AS (
+  SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+texts AS (SELECT kind, id, regexp_extract_all(coalesce(t, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+items AS (SELECT id AS item_id, w, least(10, len(w)) AS m FROM texts WHERE kind = 'b' AND len(w) > 0),
+patterns AS (SELECT DISTINCT item_id, m, array_to_string(w[p:p + m - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM items)),
+sizes AS (SELECT DISTINCT m FROM patterns),
+starts AS (SELECT id AS doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM texts, sizes WHERE kind = 'd' AND len(w) >= m),
+hits AS (SELECT doc_id, p, s.m, item_id FROM (SELECT doc_id, p, m, array_to_string(w[p:p + m - 1], ' ') AS k FROM starts) s
+  JOIN patterns USING (m, k)),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS pos FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN covered ON id = covered.doc_id LEFT JOIN found ON id = found.doc_id WHERE kind = 'd'""",
     "op3_warc": """
 WITH hashed AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),

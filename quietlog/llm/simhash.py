@@ -236,8 +236,9 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """
     named = documents.where("doc_id is not null")
     groups = cut(near_duplicates(named), "groups")
-    keep = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n"))
-    kept = named.join(keep.select("_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    if not keep.where("_n > 1").isEmpty():
+    key = tokens.fresh("kept", documents.columns)
+    keep = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    kept = named.join(keep.select(key), F.col("doc_id").cast("long") == F.col(key), "left_semi")
+    if not keep.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(documents.where("doc_id is null"))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietlog.llm import tokens
+from quietlog.llm.tokens import fresh
 from quietlog.session import cut
 
 WINDOW = 20
@@ -232,13 +233,13 @@ def _stretches(keep: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds n_words, n_removed, kept_words and kept_text in place of the spans."""
+    """n_words, n_removed, kept_words and kept_text for texts and their spans."""
     for batch in batches:
         n_words = np.zeros(batch.num_rows, np.int64)
         n_removed = np.zeros(batch.num_rows, np.int64)
         kept_words: list[str] = []
         kept_text: list[str | None] = []
-        spans, texts = batch.column("_spans").to_pylist(), batch.column("text")
+        spans, texts = batch.column("spans").to_pylist(), batch.column("text")
         for piece in tokens.words(texts):
             raw = piece.data.tobytes()
             starts, ends = piece.starts.tolist(), piece.ends.tolist()
@@ -254,7 +255,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     b" ".join([raw[starts[i]:ends[j]] for i, j in _stretches(keep)]).decode()
                     if n_removed[row] else texts[row].as_py()
                 )
-        names = [n for n in batch.schema.names if n != "_spans"]
+        names = [n for n in batch.schema.names if n != "spans"]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in names), pa.array(n_words), pa.array(n_removed), pa.array(kept_words, pa.string()),
              pa.array(kept_text, pa.string())],
@@ -262,36 +263,42 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows with the spans cut out of the text."""
-    for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("_spans")
-        rows = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
-        (kept,) = _kept(iter([pa.RecordBatch.from_arrays(
-            [batch.column("text").take(pa.array(rows)), spans.take(pa.array(rows))], names=["text", "_spans"]
-        )]))
-        for row, text in zip(rows.tolist(), kept.column("kept_text").to_pylist()):
-            texts[row] = text
-        names = [n for n in batch.schema.names if n != "_spans"]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names
-        )
+def _shortened(column: str):
+    """The same rows with the spans of `column` cut out of the text, without this column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column("text").to_pylist(), batch.column(column)
+            rows = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            (kept,) = _kept(iter([pa.RecordBatch.from_arrays(
+                [batch.column("text").take(pa.array(rows)), spans.take(pa.array(rows))], names=["text", "spans"]
+            )]))
+            for row, text in zip(rows.tolist(), kept.column("kept_text").to_pylist()):
+                texts[row] = text
+            names = [n for n in batch.schema.names if n != column]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names
+            )
+
+    return run
 
 
-def _with_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """`documents` with the spans found for their doc_id, or null, as _spans."""
-    found = found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    named = documents.where("doc_id is not null").join(found, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    none = F.lit(None).cast(found.schema["_spans"].dataType)
-    return named.unionByName(documents.where("doc_id is null").withColumn("_spans", none))
+def _with_spans(documents: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """`documents` with the spans found for their doc_id, or null, as `column`."""
+    key = fresh("id", [*documents.columns, column])
+    found = found.select(F.col("doc_id").alias(key), F.col("spans").alias(column))
+    named = documents.where("doc_id is not null").join(found, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    none = F.lit(None).cast(found.schema[column].dataType)
+    return named.unionByName(documents.where("doc_id is null").withColumn(column, none))
 
 
 def with_repeats_removed(documents: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                          group_leaves: int = GROUP_LEAVES) -> DataFrame:
     """The rows of `documents` with repeated words cut out of the text (as kept_text of
     `remove_repeats`); all other columns as they are."""
+    column = fresh("spans", documents.columns)
     found = find_repeats(documents, window, prefix, group_leaves)
-    return _with_spans(documents, found).mapInArrow(_shortened, documents.schema)
+    return _with_spans(documents, found, column).mapInArrow(_shortened(column), documents.schema)
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
@@ -305,6 +312,6 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, prefix: int = PRE
     """
     found = find_repeats(documents, window, prefix, group_leaves)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(texts, found).mapInArrow(
+    return _with_spans(texts, found, "spans").mapInArrow(
         _kept, "doc_id long, text string, n_words long, n_removed long, kept_words string, kept_text string"
     )

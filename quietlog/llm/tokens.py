@@ -19,6 +19,14 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like `name` that is not taken (Spark does not tell upper from lower case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
     """Lookup table of 256 flags: True for bytes between words."""
     flags = np.zeros(256, bool)

@@ -205,7 +205,7 @@ def grade(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     Null and empty texts have no features: their grade follows from the thresholds alone.
     Repeated rows: one result each. Empty table: no rows.
     """
-    return documents.select("doc_id", "text").mapInArrow(
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _grade(model), "doc_id long, expected_severity double, grade int, rejected boolean"
     )
 
