@@ -15,11 +15,15 @@ from quietlog.plans.jobs import (
     analyze, analyze_files, find_filewise_repeats, find_filewise_repeats_in, find_repeats,
     find_repeats_in, record_analysis, report_from_history, summarize_test_runs,
 )
-from quietlog.rules import Rules, load_rules, rules_table, save_rules, validate_rules
-from quietlog.session import build_session
+from quietlog.rules import (
+    Components, Rules, load_components, load_rules, parse_components, rules_table, save_rules, validate_rules,
+)
+from quietlog.session import build_session, drop_scratch
 from quietlog.sources.archives import (
     read_archive_entries, read_archive_stats, read_filewise_entries, read_members,
 )
-from quietlog.sources.lines import read_entries, read_family_entries, read_log_lines, read_rotated
+from quietlog.sources.lines import (
+    read_entries, read_family_entries, read_line_stats, read_log_lines, read_rotated,
+)
 
 __all__ = [name for name in dir() if not name.startswith("_")]

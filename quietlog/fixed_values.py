@@ -62,8 +62,6 @@ COMPONENT_OF_FILE = {
     "PTimer.cpp": "Timer",
     "helpers.cpp": "Utilities",
     "device_files.cpp": "OCDM",
-    "secure_storage_rdk.cpp": "OCDM",
-    "oemcrypto_usage_table_rdk.cpp": "OCDM",
     "crypto_session.cpp": "OCDM",
     "MediaSession.cpp": "OCDM",
 }
@@ -74,8 +72,6 @@ COMPONENT_SUFFIXES = [
 COMPONENT_OF_MENTION = [
     (["WvCDMi_LOG", "_WvCDM", "MediaKeySession"], "OCDM"),
     (["IARM_event_send", "IARM_Init"], "IARM"),
-    (["RDKPerf"], "Performance"),
-    (["org.rdk.Network"], "Network"),
 ]
 POWER_MENTION = ("PowerManager plugin", "PowerManager")
 
@@ -98,7 +94,6 @@ SENSITIVE_PATTERNS = [
     r'(?i)"address"\s*:\s*"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"',
     r"(?i)WPEFramework\[\d+\]",
     r"(?i)PID=\d+.*TID=\d+",
-    r'(?i)Device\.DeviceInfo\.X_RDKCENTRAL-COM_RFC\.[^\s"]+',
     r"(?i)Device\.[A-Za-z0-9_.]+\s*(?:=|:)",
     r"(?i)\b(password|passwd|pwd)\s*[:=]\s*\S{6,}\b",
     r"(?i)\bauthorization\s*[:=]\s*(bearer|basic)\s+[A-Za-z0-9+/=._-]+\b",
@@ -166,6 +161,7 @@ UPLOAD_EXTENSIONS = ["txt", "log"]
 BINARY_MEMBER_SUFFIXES = [".so", ".pem", ".crt", ".der", ".bin", ".img"]
 LOG_MEMBER_NAME = r"(?i)^.*\.(log|txt|out|sh|bak)(\.\d+)?$"
 ROTATION_SUFFIX = r"\.\d+$"
+ARCHIVE_NAME = r"(?i)\.(tar|tgz|tbz2?|txz|tar\.(gz|bz2|xz))(\.\d+)?$"
 
 # ---- reports -------------------------------------------------------------------
 EXAMPLES_PER_GROUP = 5

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quietlog import fixed_values as fv
 from quietlog.functions.text import REGEX_FLAGS, pattern
-from quietlog.rules import Rules, required_text
+from quietlog.rules import Components, Rules, required_text
 
 PROFILES = ("cli", "web")
 
@@ -74,7 +74,10 @@ def detect_level(log: Column, profile: str = "cli") -> Column:
 
 def lookup_component(file_name: Column, default: Column, mapping: dict[str, str] | None = None) -> Column:
     """Component of a source file name, ``default`` where the table has none."""
-    table = F.create_map(*[F.lit(x) for kv in (mapping or fv.COMPONENT_OF_FILE).items() for x in kv])
+    mapping = fv.COMPONENT_OF_FILE if mapping is None else mapping
+    if not mapping:
+        return default
+    table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.coalesce(F.element_at(table, file_name), default)
 
 
@@ -84,12 +87,13 @@ def _short_name(file_name: Column) -> Column:
     return F.regexp_replace(stem, f"(?:{'|'.join(fv.COMPONENT_SUFFIXES)})\\z", "")
 
 
-def with_component(lines: DataFrame, name: str = "plugin") -> DataFrame:
+def with_component(lines: DataFrame, name: str = "plugin", components: Components | None = None) -> DataFrame:
     """Adds the component of each line: source file tag, module tag, error tag, mentions.
 
     An error tag yields the empty string, which is a value of its own here. The tag
     and its short form are columns of their own, so their regexes run once.
     """
+    components = components or Components()
     log, source_file, short = F.col("log"), F.col("_source_file"), F.col("_short")
     tag = F.regexp_extract(log, pattern(fv.SOURCE_FILE_TAG), 1)
     module = F.regexp_extract(log, pattern(fv.MODULE_TAG), 1)
@@ -97,13 +101,13 @@ def with_component(lines: DataFrame, name: str = "plugin") -> DataFrame:
     power_text, power = fv.POWER_MENTION
     fallback = F.when(short != "", short).otherwise(fv.UNKNOWN_COMPONENT)
     chain = (
-        F.when(source_file != "", lookup_component(source_file, fallback))
+        F.when(source_file != "", lookup_component(source_file, fallback, components.of_file))
         .when(log.contains("[mod=") & (module != ""), module)
         .when(log.contains("[ERROR:") & log.rlike(pattern(fv.ERROR_FILE_TAG)), F.lit(""))
         .when(log.contains(power_text), F.lit(power))
         .when(log.contains("WPE[") & (process != ""), process)
     )
-    for texts, component in fv.COMPONENT_OF_MENTION:
+    for texts, component in components.of_mention:
         chain = chain.when(reduce(or_, [log.contains(t) for t in texts]), F.lit(component))
     tagged = lines.withColumn("_source_file", F.when(log.contains("["), tag).otherwise(""))
     shortened = tagged.withColumn("_short", _short_name(source_file))

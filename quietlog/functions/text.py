@@ -37,8 +37,8 @@ def drop_bad_bytes(c: Column) -> Column:
     return F.when(F.is_valid_utf8(c), c).otherwise(cleaned)
 
 
-def decode_bounded(content: Column, limit: int | None = fv.MAX_MEMBER_BYTES) -> Column:
-    """First ``limit`` bytes of a binary column as text, bad bytes as U+FFFD."""
+def decode_bounded(content: Column, limit: int | None = None) -> Column:
+    """A binary column as text, bad bytes as U+FFFD; only its first ``limit`` bytes if one is given."""
     head = content if limit is None else F.substring(content, 1, limit)
     return F.make_valid_utf8(head.cast("string"))
 

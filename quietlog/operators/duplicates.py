@@ -7,6 +7,7 @@ numbers only in its buffers, grouping stays a hash aggregate with map-side combi
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,16 +18,21 @@ from quietlog import fixed_values as fv
 from quietlog.functions.normalize import normalize, normalize_filewise
 from quietlog.operators.ordering import row_numbers
 
-# Width of ``ord`` inside one source of :func:`concat_entries`.
-ORD_BITS = 56
-
-
 def concat_entries(*sources: DataFrame) -> DataFrame:
-    """Entries of several sources one after another, ``ord`` kept in that order."""
-    placed = [
-        df.withColumn("ord", F.shiftleft(F.lit(i).cast("bigint"), ORD_BITS) + F.col("ord"))
-        for i, df in enumerate(sources)
-    ]
+    """Entries of several sources one after another, ``ord`` kept in that order.
+
+    A source begins behind the largest ``ord`` measured in those before it, so sources of
+    any size and with any gaps keep their order. Numbers beyond 38 digits stop the job.
+    """
+    placed, base = [], 0
+    for i, df in enumerate(sources):
+        moved = F.col("ord").cast("decimal(38,0)") + F.lit(Decimal(base)).cast("decimal(38,0)")
+        fits = F.when(F.col("ord").isNull() | moved.isNotNull(), moved).otherwise(
+            F.raise_error(F.lit("no room for the order of the sources")).cast("decimal(38,0)"))
+        placed.append(df.withColumn("ord", fits.cast("decimal(38,0)")))
+        if i + 1 < len(sources):
+            last = df.agg(F.max("ord").alias("last")).first()["last"]
+            base += 0 if last is None else int(last) + 1
     return reduce(DataFrame.unionByName, placed)
 
 

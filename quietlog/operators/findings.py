@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietlog import fixed_values as fv
 from quietlog.functions import features as ft
-from quietlog.rules import Rules
+from quietlog.rules import Components, Rules
 
 FINDING_COLUMNS = ["category", "file", "line", "plugin", "reason", "log"]
 
@@ -39,7 +39,8 @@ def with_flags(lines: DataFrame, rules: Rules, profile: str = "cli") -> DataFram
 
 
 def emit_findings(
-    lines: DataFrame, rules: Rules, profile: str = "cli", redaction: str = "off"
+    lines: DataFrame, rules: Rules, profile: str = "cli", redaction: str = "off",
+    components: Components | None = None,
 ) -> DataFrame:
     """One row per (line, category) that applies; one narrow pass over the lines.
 
@@ -49,7 +50,7 @@ def emit_findings(
     flagged = with_flags(lines.select("file", "line", "log"), rules, profile)
     hits = F.array(*[F.when(F.col(c), F.lit(c)) for c in fv.CATEGORIES])
     exploded = flagged.select("file", "line", "log", "level", F.explode(hits).alias("category"))
-    found = ft.with_component(exploded.filter(F.col("category").isNotNull()))
+    found = ft.with_component(exploded.filter(F.col("category").isNotNull()), components=components)
     why = ft.reason(F.col("category"), F.col("level"), F.col("plugin"), rules, profile)
     shown = ft.redact(F.col("log"), rules, redaction).alias("log")
     return found.select("category", "file", "line", "plugin", why.alias("reason"), shown)

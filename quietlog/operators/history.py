@@ -1,4 +1,4 @@
-"""History of analyses: an append-only Parquet table of counts plus the stored results."""
+"""History of analyses: append-only Parquet tables, ``runs`` with counts and ``findings``."""
 
 from __future__ import annotations
 
@@ -10,41 +10,45 @@ from pyspark.sql import functions as F
 from quietlog import fixed_values as fv
 from quietlog.operators.testruns import COUNTS
 
-FINDING_LIST = "array<struct<line bigint, log string, plugin string, reason string>>"
-RESULT_SCHEMA = (
-    "filename string, summary struct<total_issues bigint, noisy_count bigint, sensitive_count bigint,"
-    f" severity_count bigint>, noisy_logs {FINDING_LIST}, sensitive_logs {FINDING_LIST},"
-    f" severity_violations {FINDING_LIST}"
-)
+FINDING = ("category", "file", "line", "plugin", "reason", "log")
 
 
 def history_rows(summaries: DataFrame, run_id: str | None = None, at: datetime | None = None) -> DataFrame:
     """History records of one run from counts per file.
 
-    Takes ``timestamp`` and ``results_json`` from the summaries if they have them. The
-    id depends on run and file only, so a retried task writes the same id again.
+    Takes ``timestamp`` from the summaries if they have it. The id depends on run and file only, so a retried task writes the same id again.
     """
     moment = at or datetime.now(timezone.utc)
     run = F.lit(run_id or moment.isoformat())
     if "timestamp" not in summaries.columns:
         summaries = summaries.withColumn("timestamp", F.lit(moment).cast("timestamp"))
-    if "results_json" not in summaries.columns:
-        summaries = summaries.withColumn("results_json", F.lit(None).cast("string"))
     stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return summaries.select(
         F.sha2(F.concat_ws("|", run, "file", stamp), 256).alias("run_id"),
-        "timestamp", F.col("file").alias("filename"), *COUNTS, "total_issues", "results_json",
+        "timestamp", F.col("file").alias("filename"), *COUNTS, "total_issues",
     )
 
 
 def append_history(
-    summaries: DataFrame, path: str, run_id: str | None = None, at: datetime | None = None
+    summaries: DataFrame, path: str, run_id: str | None = None, at: datetime | None = None,
+    findings: DataFrame | None = None,
 ) -> None:
-    history_rows(summaries, run_id, at).write.mode("append").parquet(path)
+    """Append the records to ``path/runs`` and, before them, their findings to ``path/findings``."""
+    rows = history_rows(summaries, run_id, at or datetime.now(timezone.utc))
+    if findings is not None:
+        ids = rows.select("run_id", F.col("filename").alias("file"))
+        findings.join(ids, "file").select("run_id", *FINDING).write.mode("append").parquet(f"{path}/findings")
+    rows.write.mode("append").parquet(f"{path}/runs")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/runs")
+
+
+def stored_findings(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """Findings of one stored analysis, or of all: any number, as they were recorded."""
+    rows = spark.read.parquet(f"{path}/findings")
+    return (rows if run_id is None else rows.filter(F.col("run_id") == run_id)).select(*FINDING)
 
 
 def recent_history(history: DataFrame, n: int = fv.HISTORY_ROWS_SHOWN) -> DataFrame:
@@ -56,32 +60,12 @@ def recent_history(history: DataFrame, n: int = fv.HISTORY_ROWS_SHOWN) -> DataFr
     )
 
 
-def with_results(history: DataFrame) -> DataFrame:
-    """History records with the stored result as a structure."""
-    return history.withColumn("results", F.from_json("results_json", RESULT_SCHEMA)).drop("results_json")
-
-
 def get_analysis(history: DataFrame, run_id: str) -> DataFrame:
-    """The stored result of one analysis; no row if there is none of that id."""
-    return with_results(history.filter(F.col("run_id") == run_id))
+    """The record of one analysis; no row if there is none of that id."""
+    return history.filter(F.col("run_id") == run_id)
 
 
 def history_totals(recent: DataFrame) -> DataFrame:
     """Number of records shown and the sums of their counts."""
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
     return recent.agg(F.count(F.lit(1)).alias("analyses"), *sums)
-
-
-def stored_findings(analyses: DataFrame) -> DataFrame:
-    """Findings of stored analyses as rows again, for example to write their report anew.
-
-    An analysis too large for one object has none here; its findings are in the table of
-    result lines.
-    """
-    lists = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in fv.CATEGORIES]),
-        F.array("results.noisy_logs", "results.sensitive_logs", "results.severity_violations"),
-    )
-    per_list = analyses.select(F.col("filename").alias("file"), F.explode(lists).alias("category", "_found"))
-    rows = per_list.select("file", "category", F.explode("_found").alias("_f"))
-    return rows.select("category", "file", "_f.line", "_f.plugin", "_f.reason", "_f.log")

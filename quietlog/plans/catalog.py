@@ -242,18 +242,21 @@ def r9(spark, sf):
     return dup.order_filewise(dup.find_filewise_duplicates(tb.app_filewise(spark, sf)))
 
 
-_STEP = 2**dup.ORD_BITS
+# every source begins behind the largest place in those before it
 _CONCATENATED = (
-    f"SELECT file, ord, message FROM ({sql.APP_ENTRIES}) UNION ALL "
-    f"SELECT file, {_STEP} + ord AS ord, message FROM ({sql.DEVICE_ENTRIES}) UNION ALL "
-    f"SELECT file, {2 * _STEP} + ord AS ord, message FROM ({sql.DOCUMENT_ENTRIES})"
+    f"WITH a AS ({sql.APP_ENTRIES}), b AS ({sql.DEVICE_ENTRIES}), c AS ({sql.DOCUMENT_ENTRIES}), "
+    "ends AS (SELECT (SELECT max(ord) + 1 FROM a) AS a, (SELECT max(ord) + 1 FROM b) AS b) "
+    "SELECT file, ord AS ord, message FROM a UNION ALL "
+    "SELECT file, ord + (SELECT a FROM ends), message FROM b UNION ALL "
+    "SELECT file, ord + (SELECT a + b FROM ends), message FROM c"
 )
 
 
 @register("r10_concat", sql.groups(_CONCATENATED))
 def r10(spark, sf):
     sources = (tb.app_entries(spark, sf), tb.device_entries(spark, sf), tb.document_entries(spark, sf))
-    return dup.find_duplicates(dup.concat_entries(*sources))
+    # the places of these tables fit into 64 bits
+    return dup.find_duplicates(dup.concat_entries(*sources)).withColumn("first_ord", F.col("first_ord").cast("bigint"))
 
 
 # ---- sources -------------------------------------------------------------------------
@@ -329,8 +332,8 @@ def s6(spark, sf):
     name, size = F.col("file"), F.col("size")
     return tb.rotated_names(spark, sf).select(
         "doc_id", "file",
-        (arc.has_upload_extension(name) & arc.within_upload_size(size)).alias("upload"),
-        arc.member_status(name, size).alias("status"),
+        (arc.has_upload_extension(name) & arc.within_upload_size(size, fv.MAX_UPLOAD_BYTES)).alias("upload"),
+        arc.member_status(name, size, fv.MAX_MEMBER_BYTES).alias("status"),
         arc.is_log_name(name).alias("log_name"),
     )
 
@@ -461,7 +464,7 @@ def k4(spark, sf):
     """Appended to a history table and read back."""
     path = scratch_path(spark, "history")
     hist.append_history(_daily_summary(spark, sf), path, run_id="sf")
-    return _stamped(hist.read_history(spark, path).drop("results_json"))
+    return _stamped(hist.read_history(spark, path))
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -496,10 +499,11 @@ def r6(spark, sf):
     record_analysis(cut(fnd.emit_findings(lines, RULES), "findings"), _daily_summary(spark, sf), path, run_id="sf")
     table = hist.read_history(spark, path)
     newest = hist.recent_history(table, 1).first()["run_id"]
-    sizes = [F.size(f"results.{x}").cast("bigint").alias(x) for x in ("noisy_logs", "sensitive_logs", "severity_violations")]
-    return hist.get_analysis(table, newest).select(
-        "run_id", "filename", *COUNTS, "total_issues", F.col("results.summary.total_issues").alias("stored_total"), *sizes
+    names = zip(fv.CATEGORIES, ("noisy_logs", "sensitive_logs", "severity_violations"))
+    stored = hist.stored_findings(spark, path, newest).groupBy("file").agg(
+        F.count(F.lit(1)).alias("stored_total"), *[F.count_if(F.col("category") == c).alias(n) for c, n in names]
     )
+    return hist.get_analysis(table, newest).join(stored, F.col("file") == F.col("filename")).drop("timestamp", "file")
 
 
 @register("r6_stored_findings", sql.findings(RULES, source=sql.DAILY))
@@ -508,7 +512,7 @@ def r6_stored(spark, sf):
     path = scratch_path(spark, "history")
     found = cut(fnd.emit_findings(tb.daily_lines(spark, sf), RULES), "findings")
     record_analysis(found, _daily_summary(spark, sf), path, run_id="sf")
-    return hist.stored_findings(hist.with_results(hist.read_history(spark, path)))
+    return hist.stored_findings(spark, path)
 
 
 # ---- reports -----------------------------------------------------------------------------
@@ -588,7 +592,7 @@ _ITEMS = ", ".join(
 @register(
     "k5_result_json",
     f"""WITH ff AS MATERIALIZED ({sql.findings(RULES, source=sql.DAILY)}), s AS ({sql.summary(RULES, source=sql.DAILY)})
-    SELECT file AS filename, CAST(to_json(struct_pack(filename := file, summary := struct_pack(total_issues := total_issues,
+    SELECT file AS filename, CAST(0 AS BIGINT) AS chunk, CAST(to_json(struct_pack(filename := file, summary := struct_pack(total_issues := total_issues,
     noisy_count := noisy_count, sensitive_count := sensitive_count, severity_count := severity_count), {_ITEMS})) AS VARCHAR) AS json
     FROM s""",
 )

@@ -7,37 +7,48 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.functions.text import report_name
+from quietlog.functions.text import base_name, report_name
 from quietlog.operators import duplicates as dup
 from quietlog.operators import findings as fnd
 from quietlog.operators import history as hist
 from quietlog.operators import testruns as tr
-from quietlog.rules import Rules
+from quietlog.rules import Components, Rules
 from quietlog.session import cut
 from quietlog.sinks import reports as rep
 from quietlog.sources import archives, lines as src
 
 
 def analyze(
-    lines: DataFrame, rules: Rules | None = None, profile: str = "cli", redaction: str = "off"
+    lines: DataFrame, rules: Rules | None = None, profile: str = "cli", redaction: str = "off",
+    components: Components | None = None,
 ) -> DataFrame:
     """Findings ``(category, file, line, plugin, reason, log)`` of log lines."""
-    return fnd.emit_findings(lines, rules or Rules(), profile, redaction)
+    return fnd.emit_findings(lines, rules or Rules(), profile, redaction, components)
 
 
 def analyze_files(
     spark: SparkSession, path: str, report_path: str | None = None,
-    rules: Rules | None = None, profile: str = "cli",
+    rules: Rules | None = None, profile: str = "cli", redaction: str = "off",
+    components: Components | None = None,
 ) -> DataFrame:
-    """Findings of the log files under a path; writes one HTML report per file if asked to."""
-    findings = analyze(src.read_log_lines(spark, path), rules, profile)
+    """Findings of the log files under a path; writes one HTML report per file if asked to.
+
+    A report's folder is named by the file and a hash of its path.
+    """
+    findings = analyze(src.read_log_lines(spark, path), rules, profile, redaction, components)
     if report_path:
         findings = cut(findings, "findings")  # the checks run once, counts and report read the table
         report = rep.findings_report(findings, fnd.summarize(findings, src.file_names(spark, path)), profile)
-        rep.write_report(report, report_path, ["section", "part", "line"], by="file")
+        rep.write_report(_named_by_file(report), report_path, ["section", "part", "line"], by="report")
     return findings
 
 
+def _named_by_file(report: DataFrame) -> DataFrame:
+    """Equal names in different folders stay apart."""
+    name = F.concat(base_name(F.col("file")), F.lit("-"), F.substring(F.sha2("file", 256), 1, 8))
+    return report.withColumn("report", name)
+
+
 def find_repeats(
     entries: DataFrame, stats: DataFrame | None = None, report_path: str | None = None
 ) -> DataFrame:
@@ -57,18 +68,26 @@ def find_repeats(
     return dup.order_groups(groups)
 
 
-def find_repeats_in(
-    spark: SparkSession, path: str, report_path: str | None = None, whole: bool = False
-) -> DataFrame:
-    """Global duplicates of a (rotated set of) log file(s) or archives, with all read limits.
+def _archives_below(spark: SparkSession, paths: str | list[str]) -> bool:
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", archives.ARCHIVE_GLOB).load(paths)
+    return not listed.select("path").isEmpty()
 
-    ``whole`` reads plain files without limits and in splits.
+
+def find_repeats_in(spark: SparkSession, path: str, report_path: str | None = None) -> DataFrame:
+    """Global duplicates of a (rotated set of) log file(s), a folder, or archives.
+
+    Plain files are read in splits, files with the name of an archive by the archive
+    reader; all of them whole. The lines of archives count behind those of plain files.
     """
-    if whole:
-        return find_repeats(src.read_entries(spark, path), report_path=report_path)
     paths = src.rotated_paths(spark, path)
-    stats = archives.read_archive_stats(spark, paths) if report_path else None
-    return find_repeats(archives.read_archive_entries(spark, paths), stats, report_path)
+    entries = src.read_entries(spark, path)
+    stats = src.read_line_stats(spark, paths) if report_path else None
+    if _archives_below(spark, paths):
+        entries = dup.concat_entries(entries, archives.read_archive_entries(spark, paths, glob=archives.ARCHIVE_GLOB))
+        if report_path:
+            both = stats.unionByName(archives.read_archive_stats(spark, paths, glob=archives.ARCHIVE_GLOB))
+            stats = both.groupBy("status").agg(F.sum("n").alias("n"))
+    return find_repeats(entries, stats, report_path)
 
 
 def find_filewise_repeats(entries: DataFrame, report_path: str | None = None) -> DataFrame:
@@ -80,17 +99,13 @@ def find_filewise_repeats(entries: DataFrame, report_path: str | None = None) ->
     return dup.order_filewise(groups)
 
 
-def find_filewise_repeats_in(
-    spark: SparkSession, path: str, report_path: str | None = None, whole: bool = False
-) -> DataFrame:
-    """Duplicates per family of a (rotated set of) log file(s) or archives, members cut.
-
-    ``whole`` reads plain files without limits and in splits.
-    """
-    if whole:
-        return find_filewise_repeats(src.read_family_entries(spark, path), report_path)
+def find_filewise_repeats_in(spark: SparkSession, path: str, report_path: str | None = None) -> DataFrame:
+    """Duplicates per family of a (rotated set of) log file(s), a folder, or archives, read whole."""
     paths = src.rotated_paths(spark, path)
-    return find_filewise_repeats(archives.read_filewise_entries(spark, paths), report_path)
+    entries = src.read_family_entries(spark, path)
+    if _archives_below(spark, paths):
+        entries = dup.concat_entries(entries, archives.read_filewise_entries(spark, paths, archives.ARCHIVE_GLOB))
+    return find_filewise_repeats(entries, report_path)
 
 
 def summarize_test_runs(
@@ -110,9 +125,10 @@ def summarize_test_runs(
     if report_path:
         report = rep.consolidated_report(results, tr.status_counts(tests), tr.issue_totals(results), "test_name")
         rep.write_report(report, f"{report_path}/summary", ["part", "test_name"])
-        named = tests.select(F.col("log_file").alias("file"), report_name(F.col("test_name")).alias("report"))
+        named = tests.select(F.col("log_file").alias("file"), report_name(F.col("test_name")).alias("report"), "test_name")
         single = rep.findings_report(analyze(lines, rules), counts).join(named, "file")
-        rep.write_report(single, f"{report_path}/tests", ["section", "part", "line"], by="report")
+        # tests whose safe names are equal come one after another
+        rep.write_report(single, f"{report_path}/tests", ["test_name", "section", "part", "line"], by="report")
     return results
 
 
@@ -120,16 +136,13 @@ def record_analysis(
     findings: DataFrame, summaries: DataFrame, history_path: str,
     run_id: str | None = None, at: datetime | None = None,
 ) -> None:
-    """Append one history record per file, with the full result where one object can hold it."""
-    documents = rep.result_json(findings, summaries).select(
-        F.col("filename").alias("file"), F.col("json").alias("results_json")
-    )
-    hist.append_history(summaries.join(documents, "file", "left"), history_path, run_id, at)
+    """Append one history record per file and all its findings, of any number."""
+    hist.append_history(summaries, history_path, run_id, at, findings)
 
 
-def report_from_history(history: DataFrame, run_id: str, report_path: str, profile: str = "web") -> None:
+def report_from_history(spark: SparkSession, history_path: str, run_id: str, report_path: str, profile: str = "web") -> None:
     """Write the report of a stored analysis anew."""
-    analysis = hist.get_analysis(history, run_id)
-    summary = analysis.withColumnRenamed("filename", "file")
-    report = rep.findings_report(hist.stored_findings(analysis), summary, profile)
-    rep.write_report(report, report_path, ["section", "part", "line"], by="file")
+    summary = hist.get_analysis(hist.read_history(spark, history_path), run_id).withColumnRenamed("filename", "file")
+    findings = hist.stored_findings(spark, history_path, run_id)
+    report = rep.findings_report(findings, summary, profile)
+    rep.write_report(_named_by_file(report), report_path, ["section", "part", "line"], by="report")

@@ -37,6 +37,33 @@ class Rules:
         return {kind: list(getattr(self, kind)) for kind in fv.RULE_KINDS}
 
 
+@dataclass(frozen=True)
+class Components:
+    """Names of a site's components: by source file, and by texts a line mentions (in order)."""
+
+    of_file: dict[str, str] = field(default_factory=lambda: dict(fv.COMPONENT_OF_FILE))
+    of_mention: list[tuple[list[str], str]] = field(default_factory=lambda: list(fv.COMPONENT_OF_MENTION))
+
+
+def parse_components(text: str) -> Components:
+    """Components from YAML text: ``files`` maps names, ``mentions`` lists ``texts`` and ``component``."""
+    try:
+        raw = yaml.safe_load(text) or {}
+        files = {str(k): str(v) for k, v in (raw.get("files") or {}).items()}
+        mentions = [([str(t) for t in m["texts"]], str(m["component"])) for m in raw.get("mentions") or []]
+    except (yaml.YAMLError, AttributeError, KeyError, TypeError) as e:
+        raise RulesError(f"components can't be used: {e}") from e
+    if not all(texts for texts, _ in mentions):
+        raise RulesError("a mention lists no texts")
+    return Components(files, mentions)
+
+
+def load_components(spark: SparkSession, path: str) -> Components:
+    """Components from a YAML file on any file system Spark can read."""
+    text = spark.read.text(path, wholetext=True).head()
+    return parse_components(text[0] if text else "")
+
+
 def validate_rules(raw: Any) -> Rules:
     """Check a parsed mapping; further keys are allowed and have no effect."""
     if not isinstance(raw, dict):

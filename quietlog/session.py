@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,12 +33,12 @@ def build_session(app: str = "quietlog", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, as the cluster names it.
 
-    Without the setting, a temporary folder is used on a single machine only: on a
-    cluster that would lose data together with an executor.
+    Without the setting, a temporary folder is used where driver and tasks are one
+    process (``local[...]``); on a cluster that would lose data together with an executor.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="quietlog-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -45,8 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quietlog/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the folder of this application."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/quietlog/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once their results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -60,20 +72,6 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that is small but costly to work on.
-
-    A columnar file cannot be cut inside a row group, so a few megabytes of text may
-    come in as one task. Inputs with enough bytes for all cores pass unchanged: at
-    scale there is no extra shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
-
-
 def as_lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast a materialised table if it measures small enough, else leave it to Spark.
 

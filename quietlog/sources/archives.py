@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,12 +19,16 @@ from quietlog.operators.ordering import row_numbers, running_total
 from quietlog.session import as_lookup
 
 MEMBER_SCHEMA = (
-    "archive string, member_ord bigint, member string, size bigint, status string, content binary"
+    "archive string, member_ord bigint, member string, size bigint, status string, piece int, content binary"
 )
 _MEMBER_ARROW = pa.schema([
     ("archive", pa.string()), ("member_ord", pa.int64()), ("member", pa.string()),
-    ("size", pa.int64()), ("status", pa.string()), ("content", pa.binary()),
+    ("size", pa.int64()), ("status", pa.string()), ("piece", pa.int32()), ("content", pa.binary()),
 ])
+# A member is handed on in pieces of about this size, cut behind a line feed.
+PIECE_BYTES = 8 * 1024 * 1024
+_DAMAGE = (OSError, EOFError, tarfile.TarError, zlib.error, lzma.LZMAError)
+_LINE_BITS = 24
 _BATCH_BYTES = 32 * 1024 * 1024
 
 
@@ -34,7 +40,7 @@ def has_upload_extension(name: Column) -> Column:
     return name.contains(".") & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(fv.UPLOAD_EXTENSIONS)
 
 
-def within_upload_size(size: Column, limit: int = fv.MAX_UPLOAD_BYTES) -> Column:
+def within_upload_size(size: Column, limit: int) -> Column:
     return size <= limit
 
 
@@ -51,84 +57,105 @@ def is_log_name(name: Column) -> Column:
     return base_name(name).rlike(pattern(fv.LOG_MEMBER_NAME))
 
 
-def keep_source(df: DataFrame, rule: str, name: str = "file", size: str = "size") -> DataFrame:
-    """Filter sources: ``upload`` extension and size, ``member`` deny list and size, ``log_name``."""
+def keep_source(
+    df: DataFrame, rule: str, name: str = "file", size: str = "size", limit: int | None = None
+) -> DataFrame:
+    """Filter sources: ``upload`` extension, ``member`` deny list, ``log_name``; with a limit by size too."""
     n, s = F.col(name), F.col(size)
+    small = F.lit(True) if limit is None else s <= limit
     if rule == "upload":
-        return df.filter(has_upload_extension(n) & within_upload_size(s))
+        return df.filter(has_upload_extension(n) & small)
     if rule == "member":
-        return df.filter(~is_binary_member(n) & (s <= fv.MAX_MEMBER_BYTES))
+        return df.filter(~is_binary_member(n) & small)
     if rule == "log_name":
         return df.filter(is_log_name(n))
     raise ValueError(f"unknown source rule {rule!r}")
 
 
-def member_status(member: Column, size: Column, limit: int = fv.MAX_MEMBER_BYTES) -> Column:
-    """Fate of an archive member before it is read: ``skip_ext``, ``big`` or ``ok``."""
-    return F.when(is_binary_member(member), "skip_ext").when(size > limit, "big").otherwise("ok")
+def member_status(member: Column, size: Column, limit: int | None = None) -> Column:
+    """Fate of an archive member before it is read: ``skip_ext``, ``big`` (above a given limit) or ``ok``."""
+    fate = F.when(is_binary_member(member), "skip_ext")
+    return (fate if limit is None else fate.when(size > limit, "big")).otherwise("ok")
 
 
 # ---- archive members ----------------------------------------------------------------
 
 
 def _open(content: bytes) -> tarfile.TarFile | None:
+    """The archive, or None for other content. Damage found here is raised."""
     try:
         return tarfile.open(fileobj=io.BytesIO(content), mode="r:*")
     except tarfile.TarError:
         return None
 
 
-def _rows_of(path: str, content: bytes, limit: int, max_chars: int | None) -> Iterator[tuple]:
+def _pieces(stream, size: int | None = None) -> Iterator[bytes]:
+    """A stream in pieces that end with a line feed (or the stream); a line is never cut."""
+    size = size or PIECE_BYTES
+    held: list[bytes] = []
+    while len(block := stream.read(size)) == size:
+        end = block.rfind(b"\n") + 1
+        if end:
+            yield b"".join([*held, block[:end]])
+            held = []
+        if block[end:]:
+            held.append(block[end:])
+    if rest := b"".join([*held, block]):
+        yield rest
+
+
+def _rows_of(path: str, content: bytes, limit: int | None, max_chars: int | None, deny: bool) -> Iterator[tuple]:
     """Members of one file; a file that is no archive is its own only member.
 
-    With a character budget members on the deny list or over the size limit are left
-    out, and reading stops behind the member that crosses the budget.
+    Whatever can't be read is an ``error`` row, and so is a compressed stream that does not
+    end well. A budget of characters ends the reading behind the member that crosses it.
     """
-    archive = _open(content)
-    if archive is None:
-        yield path, 0, path.rsplit("/", 1)[-1], len(content), "ok", content[:limit]
-        return
-    with archive:
-        deny = tuple(fv.BINARY_MEMBER_SUFFIXES)
-        try:
-            regular = [m for m in archive.getmembers() if m.isfile()]
-        except (OSError, EOFError, tarfile.TarError):  # damaged: none of it counts
-            yield path, 0, None, len(content), "error", None
+    try:
+        archive = _open(content)
+        if archive is None:
+            name = path.rsplit("/", 1)[-1]
+            for k, piece in enumerate(_pieces(io.BytesIO(content))):
+                yield path, 0, name, len(content), "ok", k, piece
             return
-        chars = 0
-        for i, m in enumerate(regular):
-            if max_chars is not None and m.name.lower().endswith(deny):
-                yield path, i, m.name, m.size, "skip_ext", None
-                continue
-            if max_chars is not None and m.size > limit:
-                yield path, i, m.name, m.size, "big", None
-                continue
-            try:
-                data = archive.extractfile(m).read(limit)
-            except (OSError, EOFError, tarfile.TarError):
-                yield path, i, m.name, m.size, "error", None
-                continue
-            yield path, i, m.name, m.size, "ok", data
-            if max_chars is not None:
-                chars += len(data.decode("utf-8", "replace"))
-                if chars > max_chars:
-                    yield path, i, None, 0, "limit", None
+        with archive:
+            chars = 0
+            for i, m in enumerate(m for m in archive if m.isfile()):
+                if deny and m.name.lower().endswith(tuple(fv.BINARY_MEMBER_SUFFIXES)):
+                    yield path, i, m.name, m.size, "skip_ext", 0, None
+                    continue
+                if limit is not None and m.size > limit:
+                    yield path, i, m.name, m.size, "big", 0, None
+                    continue
+                k = -1
+                for k, piece in enumerate(_pieces(archive.extractfile(m))):
+                    yield path, i, m.name, m.size, "ok", k, piece
+                    if max_chars is not None:
+                        chars += len(piece.decode("utf-8", "replace"))
+                if k < 0:
+                    yield path, i, m.name, m.size, "ok", 0, b""
+                if max_chars is not None and chars > max_chars:
+                    yield path, i, None, 0, "limit", 0, None
                     return
+            while archive.fileobj.read(1 << 20):  # to the checksum at the end of the stream
+                pass
+    except _DAMAGE:
+        yield path, -1, None, len(content), "error", 0, None
 
 
 def read_members(
     spark: SparkSession,
     path: str | list[str],
     glob: str | None = None,
-    limit: int = fv.MAX_MEMBER_BYTES,
-    max_chars: int | None = fv.MAX_ARCHIVE_CHARS,
+    limit: int | None = None,
+    max_chars: int | None = None,
+    deny: bool = True,
 ) -> DataFrame:
     """Regular members of tar archives (any compression, told by content) and plain files.
 
-    One task per input file reads its members in order and hands them on in batches of
-    bounded size. ``max_chars`` is the global form: deny list, big members left out,
-    character budget per archive. With None every member is read and cut at ``limit``.
-    What was left out stays as a row with its status, so nothing disappears silently.
+    One task per input file reads its members in order and hands them on in pieces of
+    bounded size (``piece`` from 0), whole unless limits are given: ``limit`` leaves larger members out,
+    ``max_chars`` is a budget of characters per archive, ``deny`` leaves out members with the
+    extensions of binary files. What was left out or is damaged stays as a row with its status.
     """
 
     def explode_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +168,7 @@ def read_members(
         rows, held = [], 0
         for batch in batches:
             for p, content in zip(batch["path"], batch["content"]):
-                for row in _rows_of(p.as_py(), content.as_py(), limit, max_chars):
+                for row in _rows_of(p.as_py(), content.as_py(), limit, max_chars, deny):
                     rows.append(row)
                     held += len(row[-1] or b"")
                     if held >= _BATCH_BYTES:
@@ -158,7 +185,7 @@ def read_members(
 
 def within_budget(
     members: DataFrame,
-    max_chars: int = fv.MAX_ARCHIVE_CHARS,
+    max_chars: int,
     chars: str = "n_chars",
 ) -> DataFrame:
     """Members of each archive up to and including the one that crosses the budget.
@@ -208,6 +235,13 @@ def line_status(df: DataFrame, text: str) -> DataFrame:
     return lines.select(F.when(is_blank(F.col("_text")), "skip").otherwise("ok").alias("status"))
 
 
+# Names of archives for Spark's listing, in either case.
+ARCHIVE_GLOB = "*.{" + ",".join(
+    "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ending) + number
+    for ending in ("tar", "tgz", "tbz", "tbz2", "txz", "tar.gz", "tar.bz2", "tar.xz") for number in ("", ".[0-9]*")
+) + "}"
+
+
 def _texts(spark: SparkSession, members: DataFrame, path: str | list[str]) -> DataFrame:
     """Decoded members with the place of their file in name order.
 
@@ -217,41 +251,51 @@ def _texts(spark: SparkSession, members: DataFrame, path: str | list[str]) -> Da
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"))
     ranks = as_lookup(row_numbers(files, [F.col("_path")], name="_rank"))
     texts = members.filter(F.col("status") == "ok").select(
-        "archive", "member_ord", "member", decode_bounded(F.col("content"), None).alias("text")
+        "archive", "member_ord", "member", "piece", decode_bounded(F.col("content")).alias("text")
     )
-    return texts.repartition("archive", "member_ord").join(ranks, F.col("archive") == F.col("_path"))
+    return texts.repartition("archive", "member_ord", "piece").join(ranks, F.col("archive") == F.col("_path"))
 
 
 def _ord() -> Column:
-    """Encounter order as one number: file, member, line (a bounded text has < 2**24 lines)."""
+    """Encounter order as one number: file, member, piece, line."""
     wide = "decimal(38,0)"
-    member = (F.col("_rank") - 1).cast(wide) * F.lit(2**40).cast(wide) + F.col("member_ord")
-    return (member.cast(wide) * F.lit(2**24).cast("decimal(12,0)") + F.col("pos")).cast(wide).alias("ord")
+    place = (F.col("_rank") - 1).cast(wide)
+    for part, bits in (("member_ord", 40), ("piece", _LINE_BITS), ("pos", _LINE_BITS)):
+        place = ((place * F.lit(2**bits).cast("decimal(15,0)")).cast(wide) + F.col(part)).cast(wide)
+    crowded = F.raise_error(F.lit("more lines in one piece of a text than ord has room for")).cast(wide)
+    return F.when(F.col("pos") < 2**_LINE_BITS, place).otherwise(crowded).alias("ord")
 
 
-_PLACE = ["_rank", "member_ord", "member"]
+_PLACE = ["_rank", "member_ord", "member", "piece"]
 
 
 def read_archive_entries(
-    spark: SparkSession, path: str | list[str], max_chars: int = fv.MAX_ARCHIVE_CHARS
+    spark: SparkSession, path: str | list[str], max_chars: int | None = None,
+    limit: int | None = None, glob: str | None = None,
 ) -> DataFrame:
-    """``(file, ord, message)`` of archives and plain files, with all limits of the global form."""
-    texts = _texts(spark, read_members(spark, path, max_chars=max_chars), path)
-    return explode_lines(texts, "text", _PLACE).select(F.col("member").alias("file"), _ord(), "message")
+    """``(file, ord, message)`` of archives and plain files, whole unless limits are given."""
+    members = read_members(spark, path, glob, limit, max_chars)
+    return explode_lines(_texts(spark, members, path), "text", _PLACE).select(
+        F.col("member").alias("file"), _ord(), "message"
+    )
 
 
 def read_archive_stats(
-    spark: SparkSession, path: str | list[str], max_chars: int = fv.MAX_ARCHIVE_CHARS
+    spark: SparkSession, path: str | list[str], max_chars: int | None = None,
+    limit: int | None = None, glob: str | None = None,
 ) -> DataFrame:
     """Read statistics: lines kept and blank, members left out by reason, archives cut short."""
-    members = read_members(spark, path, max_chars=max_chars)
-    left_out = members.filter(F.col("status") != "ok").select("status")
-    texts = members.filter(F.col("status") == "ok").select(decode_bounded(F.col("content"), None).alias("text"))
-    return read_stats(line_status(texts, "text").unionByName(left_out))
-
-
-def read_filewise_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(grp, ord, line)`` of archives and plain files: log names only, members cut, raw lines."""
-    members = read_members(spark, path, max_chars=None).filter(is_log_name(F.col("member")))
+    members = read_members(spark, path, glob, limit, max_chars)
+    # one pass: a piece counts its lines, a row of another status itself
+    lines = split_lines(decode_bounded(F.col("content")))
+    statuses = F.when(F.col("status") == "ok", F.transform(
+        lines, lambda x: F.when(is_blank(x), "skip").otherwise("ok")
+    )).otherwise(F.array("status"))
+    return read_stats(members.select(F.explode(statuses).alias("status")))
+
+
+def read_filewise_entries(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """``(grp, ord, line)`` of archives and plain files: log names only, whole, raw lines."""
+    members = read_members(spark, path, glob, deny=False).filter(is_log_name(F.col("member")))
     lines = explode_lines(_texts(spark, members, path), "text", _PLACE, strip_lines=False, name="line")
     return lines.select(group_key(base_name(F.col("member"))).alias("grp"), _ord(), "line")

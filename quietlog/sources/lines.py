@@ -12,20 +12,24 @@ from quietlog import fixed_values as fv
 from quietlog.functions.normalize import group_key
 from quietlog.functions.text import base_name, drop_bad_bytes, is_blank, pattern, rstrip, strip
 from quietlog.operators.ordering import running_total
-from quietlog.session import as_lookup, cut
+from quietlog.session import cut
 
 # Room in ``ord`` for the pieces of one physical line.
 _PIECE_BITS = 20
 _MIN_SPLITS = "spark.sql.files.minPartitionNum"
+# Splits whose starts are broadcast (24 bytes each); 100 TB in splits of 128 MiB are 800,000.
+_BROADCAST_SPLITS = 4_000_000
 
 
 def _physical_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Every physical line with its split and a number that grows inside the split.
 
     Line numbers need a counting pass, so both passes must cut the same splits. Only
-    the parallelism the cluster happens to have could move the cuts: it is pinned.
+    a parallelism that changes in between could move the cuts: where executors come and go
+    it is pinned in the session, unless the user has set it.
     """
-    if spark.conf.get(_MIN_SPLITS, None) is None:
+    dynamic = spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true"
+    if dynamic and spark.conf.get(_MIN_SPLITS, None) is None:
         spark.conf.set(_MIN_SPLITS, str(spark.sparkContext.defaultParallelism))
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
     return reader.text(path).select(
@@ -36,11 +40,12 @@ def _physical_lines(spark: SparkSession, path: str | list[str], glob: str | None
     )
 
 
-def real_name(path: Column) -> Column:
-    """File name of a path as the text source reports it (escaped like a URI)."""
-    name = base_name(path)
-    decoded = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-    return F.when(name.contains("%"), decoded).otherwise(name)
+def real_path(path: Column) -> Column:
+    """Path as the user knows it; the text source reports it escaped like a URI. The whole
+    path is a file's identity: hosts and folders hold files of equal names."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    plain = F.when(path.contains("%"), decoded).otherwise(path)
+    return F.regexp_replace(plain, "^file:/+", "file:///")  # listings and scans write it differently
 
 
 def number_lines(raw: DataFrame, across_files: bool = False) -> DataFrame:
@@ -58,18 +63,25 @@ def number_lines(raw: DataFrame, across_files: bool = False) -> DataFrame:
     if across_files:
         order = [F.col("path"), F.col("block")]
         placed = running_total(placed, F.col("_rows"), order, name="_ord_offset")
-    starts = as_lookup(cut(placed.withColumnsRenamed({"path": "_path", "block": "_block"})))
-    on = (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block"))
-    place = F.col("_seq") - F.col("_first")
+    starts = cut(placed.select(
+        F.xxhash64("path", "block").alias("_split"), (F.col("_offset") - F.col("_first")).alias("_start"),
+        *([(F.col("_ord_offset") - F.col("_first")).alias("_ord_start")] if across_files else []),
+    ))
+    n, distinct = starts.agg(F.count(F.lit(1)), F.count_distinct("_split")).first()
+    if n != distinct:
+        raise RuntimeError("two splits share a hash: rename a file or change the split size")
+    if n <= _BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
+    on = F.xxhash64("path", "block") == F.col("_split")
     changed = F.raise_error(F.lit("input changed while lines were numbered")).cast("bigint")
 
     def counted(number: Column) -> Column:
         # a split that was not counted means the files changed in between: stop, do not lose lines
-        return F.when(F.col("_first").isNull(), changed).otherwise(number)
+        return F.when(F.col("_start").isNull(), changed).otherwise(number)
 
-    numbers = [counted(F.col("_offset") + place + 1).alias("line")]
+    numbers = [counted(F.col("_start") + F.col("_seq") + 1).alias("line")]
     if across_files:
-        numbers.append(counted(F.col("_ord_offset") + place).alias("ord"))
+        numbers.append(counted(F.col("_ord_start") + F.col("_seq")).alias("ord"))
     return raw.join(starts, on, "left").select("path", *numbers, "value")
 
 
@@ -87,14 +99,15 @@ def read_log_lines(
     else:
         raw = raw.select("path", F.lit(None).cast("bigint").alias("line"), "value")
     return raw.select(
-        real_name(F.col("path")).alias("file"), "line", rstrip(drop_bad_bytes(F.col("value"))).alias("log")
+        real_path(F.col("path")).alias("file"), "line", rstrip(drop_bad_bytes(F.col("value"))).alias("log")
     )
 
 
 def file_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file)`` of every input file, empty ones too: the listing the driver holds anyway."""
+    """``(file)`` of every input file, empty ones too: the listing that the driver holds anyway
+    (a scan leaves empty files out)."""
     listed = [(p,) for p in spark.read.text(path).inputFiles()]
-    return spark.createDataFrame(listed, "path string").select(real_name(F.col("path")).alias("file")).distinct()
+    return spark.createDataFrame(listed, "path string").select(real_path(F.col("path")).alias("file")).distinct()
 
 
 def rotation_pattern(base: str) -> str:
@@ -131,7 +144,11 @@ def read_rotated(spark: SparkSession, base_path: str) -> DataFrame:
     return read_log_lines(spark, rotated_paths(spark, base_path))
 
 
-def _entries(spark: SparkSession, paths: list[str], name: str, stripped: bool) -> DataFrame:
+def is_archive_name(path: Column) -> Column:
+    return path.rlike(pattern(fv.ARCHIVE_NAME))
+
+
+def _entries(spark: SparkSession, paths: str | list[str], name: str, stripped: bool) -> DataFrame:
     """``(file, ord, <name>)``: non-blank lines of whole files, in encounter order.
 
     Physical lines are cut further at the line ends that text readers do not know (form
@@ -139,25 +156,38 @@ def _entries(spark: SparkSession, paths: list[str], name: str, stripped: bool) -
     """
     text = F.make_valid_utf8("value")
     pieces = F.when(text.rlike(fv.LINE_END), F.split(text, fv.LINE_END)).otherwise(F.array(text))
-    numbered = number_lines(_physical_lines(spark, paths), across_files=True)
+    # a filter on the path prunes the listing: archives are not opened
+    plain = _physical_lines(spark, paths).filter(~is_archive_name(F.col("path")))
+    numbered = number_lines(plain, across_files=True)
     lines = numbered.select("path", "ord", F.posexplode(pieces).alias("_pos", "_text")).filter(~is_blank(F.col("_text")))
     too_many = F.raise_error(F.lit("more pieces in one physical line than ord has room for")).cast("bigint")
     place = F.when(F.col("_pos") < 2**_PIECE_BITS, F.shiftleft("ord", _PIECE_BITS) + F.col("_pos")).otherwise(too_many)
     shown = strip(F.col("_text")) if stripped else F.col("_text")
-    return lines.select(real_name(F.col("path")).alias("file"), place.alias("ord"), shown.alias(name))
+    return lines.select(real_path(F.col("path")).alias("file"), place.alias("ord"), shown.alias(name))
 
 
 def read_entries(spark: SparkSession, base_path: str) -> DataFrame:
     """``(file, ord, message)`` of a rotated set: whole texts, splittable, no size cap.
 
-    For archives, or to cut every file at the byte limit, use
+    Files with the name of an archive are left to
     :func:`quietlog.sources.archives.read_archive_entries`.
     """
     return _entries(spark, rotated_paths(spark, base_path), "message", stripped=True)
 
 
+def read_line_stats(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(status, n)`` of plain files: lines kept (``ok``) and blank (``skip``), counted map-side."""
+    text = F.make_valid_utf8("value")
+    plain = _physical_lines(spark, path).filter(~is_archive_name(F.col("path")))
+    pieces = F.when(text.rlike(fv.LINE_END), F.split(text, fv.LINE_END)).otherwise(F.array(text))
+    kept = F.when(is_blank(F.col("_text")), "skip").otherwise("ok")
+    return plain.select(F.explode(pieces).alias("_text")).select(kept.alias("status")).groupBy("status").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 def read_family_entries(spark: SparkSession, base_path: str) -> DataFrame:
     """``(grp, ord, line)`` of a rotated set: raw lines of whole texts, log names only."""
     raw = _entries(spark, rotated_paths(spark, base_path), "line", stripped=False)
-    named = raw.filter(F.col("file").rlike(pattern(fv.LOG_MEMBER_NAME)))
-    return named.select(group_key(F.col("file")).alias("grp"), "ord", "line")
+    name = base_name(F.col("file"))
+    return raw.filter(name.rlike(pattern(fv.LOG_MEMBER_NAME))).select(group_key(name).alias("grp"), "ord", "line")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quietlog.functions.text import drop_bad_bytes, rstrip
 from quietlog.operators.findings import emit_findings
 from quietlog.rules import Rules
-from quietlog.sources.lines import real_name
+from quietlog.sources.lines import real_path
 
 
 def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -16,7 +16,7 @@ def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.readStream.format("text").load(path)
         .select(
-            real_name(F.col("_metadata.file_path")).alias("file"),
+            real_path(F.col("_metadata.file_path")).alias("file"),
             F.lit(None).cast("bigint").alias("line"),
             rstrip(drop_bad_bytes(F.col("value"))).alias("log"),
         )

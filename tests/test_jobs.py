@@ -3,6 +3,7 @@
 import html
 import json
 import re
+import tarfile
 from datetime import datetime, timezone
 
 import pytest
@@ -60,7 +61,7 @@ def test_report_per_file(spark, tmp_path, profile):
     (logs / "empty.log").write_text("")
     findings = ql.analyze_files(spark, str(logs), str(out), profile=profile)
     assert findings.count() == 4
-    text = document(out / "file=a.log")
+    text = document(*out.glob("report=a.log-*"))
     titles = re.findall(r"<h2>(.*?)</h2>", text)
     assert titles == ["Noisy Logs", "Sensitive / PII Logs", "Severity Violations"]
     cells = re.findall(r"<tr><td>(\d+)</td><td><strong style='color:(.*?)'>(.*?)</strong></td><td>(.*?)</td><td>(.*?)</td></tr>", text)
@@ -69,13 +70,12 @@ def test_report_per_file(spark, tmp_path, profile):
     assert html.unescape(cells[0][4]) == LOG.splitlines()[0]
     assert ("Total Issues Found: 4" in text) == (profile == "web")
     assert text.startswith("<html>") and text.rstrip().endswith("</html>")
-    assert document(out / "file=empty.log").count("No issues found in this section.") == 3
+    assert document(*out.glob("report=empty.log-*")).count("No issues found in this section.") == 3
 
 
-@pytest.mark.parametrize("whole", [False, True])
-def test_duplicates_report(spark, tmp_path, whole):
+def test_duplicates_report(spark, tmp_path):
     (tmp_path / "d.log").write_text("\n".join(["x <1>", "x <1>"] + [f"04:31:{i:02d} hot" for i in range(8)] + ["once", ""]))
-    ranked = ql.find_repeats_in(spark, str(tmp_path / "d.log"), str(tmp_path / "out"), whole=whole).orderBy("rank").collect()
+    ranked = ql.find_repeats_in(spark, str(tmp_path / "d.log"), str(tmp_path / "out")).orderBy("rank").collect()
     assert [(r["key"], r["cnt"]) for r in ranked] == [("hot", 8), ("x <1>", 2)]
     text = document(tmp_path / "out")
     assert "Total parsed: 11" in text and "Stats: {'ok': 11}" in text
@@ -92,15 +92,52 @@ def test_duplicates_report_without_groups(spark, tmp_path, content, expected):
     assert expected in text and "<table" not in text and "</table>" not in text
 
 
-@pytest.mark.parametrize("whole", [False, True])
-def test_filewise_report(spark, tmp_path, whole):
+def test_filewise_report(spark, tmp_path):
     (tmp_path / "d.log").write_text("b <\nb <\na\na\nc\nc\nc\n")
     (tmp_path / "d.log.1").write_text('q "&"\n')
-    ql.find_filewise_repeats_in(spark, str(tmp_path / "d.log"), str(tmp_path / "out"), whole=whole)
+    ql.find_filewise_repeats_in(spark, str(tmp_path / "d.log"), str(tmp_path / "out"))
     rows = re.findall(r"<tr><td>(\d+)</td><td>(.*?)</td></tr>", document(tmp_path / "out"))
     assert rows == [("3", "c"), ("2", "b &lt;"), ("2", "a")]
 
 
+def test_large_plain_files_and_archives_are_read_whole(spark, tmp_path):
+    line = "y" * 1_000_000 + "\n"
+    (tmp_path / "d.log").write_text(line * 20 + "\n")
+    (tmp_path / "d.log.1").write_text("z\n")
+    found = ql.find_repeats_in(spark, str(tmp_path / "d.log"), str(tmp_path / "out")).collect()
+    assert [r["cnt"] for r in found] == [20]
+    assert "Stats: {'ok': 21, 'skip': 1}" in document(tmp_path / "out")
+    assert [r["cnt"] for r in ql.find_filewise_repeats_in(spark, str(tmp_path / "d.log")).collect()] == [20]
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.log").write_text("same\nonce\n")
+    with tarfile.open(folder / "b.TGZ", "w:gz") as tar:
+        tar.add(tmp_path / "d.log", "d.log")
+        tar.add(folder / "a.log", "c.log")
+    found = ql.find_repeats_in(spark, str(folder)).collect()
+    assert sorted(r["cnt"] for r in found) == [2, 2, 20]
+
+
+def test_equal_safe_names_do_not_interleave(spark, tmp_path):
+    tests = spark.createDataFrame(
+        [("A.b", 0, "PASSED", "x"), ("A_b", 0, "PASSED", "y")], "test_name string, return_code int, status string, log_file string"
+    )
+    lines = spark.createDataFrame([(f, i, "04:31:14 INFO " + f) for f in "xy" for i in range(3)], "file string, line bigint, log string")
+    ql.summarize_test_runs(tests, lines, report_path=str(tmp_path / "out"))
+    text = document(*(tmp_path / "out" / "tests").glob("report=*"))
+    assert text.count("<html>") == 2 and text.rindex("INFO x") < text.index("INFO y")
+
+
+def test_components_from_a_file(spark, tmp_path):
+    (tmp_path / "c.yml").write_text("files: {Foo.cpp: Front}\nmentions:\n- {texts: [alpha, beta], component: Greek}\n")
+    own = ql.load_components(spark, str(tmp_path / "c.yml"))
+    lines = spark.createDataFrame([("f", 1, "04:31:14 INFO [Foo.cpp:1]"), ("f", 2, "04:31:14 INFO beta"), ("f", 3, "04:31:14 INFO [Bar.cpp:1]")], "file string, line bigint, log string")
+    assert [r["plugin"] for r in ql.analyze(lines, components=own).orderBy("line").collect()] == ["Front", "Greek", "Bar"]
+    for broken in ("files: 3", "mentions: [{texts: []}]", "mentions: [{texts: [], component: x}]", "a: ["):
+        with pytest.raises(ql.rules.RulesError):
+            ql.parse_components(broken)
+
+
 def test_listing(spark):
     text = "Main.\n  A\n  B  # GetParam() = 1\n\nTyped/0.  # TypeParam = int\n  C\nnote\n.\n  D\n Odd\nLast.\n  E.F\n  G.\n  H"
     rows = [("run", i, t) for i, t in enumerate(text.split("\n"))]
@@ -144,12 +181,13 @@ def test_history(spark, tmp_path):
     assert [(r["timestamp"].day, r["filename"]) for r in recent] == [(3, "a.log"), (3, "b.log"), (2, "a.log")]
     totals = ql.history_totals(ql.recent_history(history, 3)).first()
     assert totals.asDict() == {"analyses": 3, "noisy_count": 4, "sensitive_count": 2, "severity_count": 2}
-    result = ql.get_analysis(history, recent[0]["run_id"]).first()["results"]
-    assert result["summary"]["total_issues"] == 4 and [x["line"] for x in result["noisy_logs"]] == [1, 4]
-    assert ql.get_analysis(history, recent[1]["run_id"]).first()["results"]["noisy_logs"] == []
+    assert ql.get_analysis(history, recent[0]["run_id"]).first()["total_issues"] == 4
+    stored = ql.stored_findings(spark, path, recent[0]["run_id"])
+    assert [r["line"] for r in stored.filter("category = 'noisy'").orderBy("line").collect()] == [1, 4]
+    assert ql.stored_findings(spark, path, recent[1]["run_id"]).count() == 0 and ql.stored_findings(spark, path).count() == 12
     assert ql.get_analysis(history, "none").count() == 0
-    ql.report_from_history(history, recent[0]["run_id"], str(tmp_path / "again"))
-    text = document(tmp_path / "again" / "file=a.log")
+    ql.report_from_history(spark, path, recent[0]["run_id"], str(tmp_path / "again"))
+    text = document(*(tmp_path / "again").glob("report=a.log-*"))
     assert "Total Issues Found: 4" in text and text.count("<strong style") == 4
 
 
@@ -160,8 +198,11 @@ def test_result_objects_and_lines(spark):
     assert list(whole["a"]) == ["filename", "summary", "noisy_logs", "sensitive_logs", "severity_violations"]
     assert [x["line"] for x in whole["a"]["severity_violations"]] == list(range(20))
     assert whole["a"]["summary"] == {"total_issues": 40, "noisy_count": 20, "sensitive_count": 0, "severity_count": 20}
-    bounded = {r["filename"]: r["json"] for r in rep.result_json(findings, summaries, max_bytes=200).collect()}
-    assert bounded["a"] is None and bounded["b"] is not None
+    chunks = rep.result_json(findings, summaries, chunk_items=7).orderBy("filename", "chunk").collect()
+    assert [(r["filename"], r["chunk"]) for r in chunks] == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
+    parts = [json.loads(r["json"]) for r in chunks[:3]]
+    assert [x["line"] for p in parts for x in p["noisy_logs"]] == list(range(20))
+    assert all(p["summary"] == whole["a"]["summary"] for p in parts)
     assert rep.result_lines(findings).count() == 41
 
 

@@ -13,7 +13,7 @@ GOOD = {"sensitive_patterns": ["a+"], "failure_keywords": [], "noisy_log_levels"
 
 def test_defaults():
     sizes = {k: len(v) for k, v in Rules().as_dict().items()}
-    assert sizes == {"sensitive_patterns": 21, "failure_keywords": 24, "noisy_log_levels": 3, "required_severity_on_failure": 2}
+    assert sizes == {"sensitive_patterns": 20, "failure_keywords": 24, "noisy_log_levels": 3, "required_severity_on_failure": 2}
 
 
 def test_validation():
