@@ -18,8 +18,8 @@ from quietlog.operators import testruns as tr
 from quietlog.operators.ordering import row_numbers
 from quietlog.plans import oracle as sql
 from quietlog.plans import tables as tb
-from quietlog.plans.jobs import record_analysis
-from quietlog.rules import Rules, parse_rules
+from quietlog.plans.jobs import find_filewise_repeats, find_repeats_in, record_analysis
+from quietlog.rules import Rules, load_rules, parse_rules, save_rules
 from quietlog.session import cut, scratch_path
 from quietlog.sinks import reports as rep
 from quietlog.sources import archives as arc
@@ -383,6 +383,66 @@ def a4(spark, sf):
     return arc.read_stats(arc.line_status(tb.table(spark, sf, "documents").select("text"), "text"))
 
 
+@register(
+    "s3_archive_members",
+    f"""SELECT printf('%09d', doc_id // 500) AS archive, {tb.MEMBER_NAME} AS member, CAST(octet_length(encode(text)) AS BIGINT) AS size,
+    CASE WHEN doc_id % 7 = 0 THEN 'skip_ext' ELSE 'ok' END AS status, CASE WHEN doc_id % 7 <> 0 THEN md5(text) END AS content FROM documents
+    UNION ALL SELECT printf('%09d', max(doc_id // 500)) || 'z', NULL, 9, 'error', NULL FROM documents""",
+)
+def s3(spark, sf):
+    """Documents written as tar archives, one of them damaged, and read back."""
+    folder = scratch_path(spark, "archives")
+    tb.tar_files(spark, sf, folder)
+    name = F.regexp_extract("archive", r"archive=(\w+)", 1).alias("archive")
+    return arc.read_members(spark, folder).select(name, "member", "size", "status", F.md5("content").alias("content"))
+
+
+@register(
+    "a4_read_stats_archive",
+    f"""WITH lines AS ({sql.text_lines('documents', 'text', 'doc_id', 'source')}),
+    kept AS (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS last FROM lines WHERE doc_id % 7 <> 0)
+    SELECT CASE WHEN {sql.strip('raw')} = '' THEN 'skip' ELSE 'ok' END AS status, count(*) AS n FROM kept
+    WHERE NOT (pos = last AND raw = '') GROUP BY 1
+    UNION ALL SELECT 'skip_ext', count(*) FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'error', 1""",
+)
+def a4_archive(spark, sf):
+    folder = scratch_path(spark, "archives")
+    tb.tar_files(spark, sf, folder)
+    return arc.read_archive_stats(spark, folder)
+
+
+def _text_files(spark: SparkSession, sf: str) -> str:
+    """Folder with the documents as text files, one per source."""
+    folder = scratch_path(spark, "texts")
+    docs = tb.table(spark, sf, "documents").select("source", "doc_id", "text")
+    by_source = docs.repartition("source").sortWithinPartitions("source", "doc_id")
+    by_source.select("source", "text").write.partitionBy("source").text(folder)
+    return folder
+
+
+@register("j2_find_repeats", f"SELECT key, cnt FROM ({sql.groups(sql.DOCUMENT_ENTRIES)})")
+def j2(spark, sf):
+    """The job as a user runs it, over text files."""
+    return find_repeats_in(spark, _text_files(spark, sf)).select("key", "cnt")
+
+
+@register("j3_find_filewise_repeats", sql.filewise_groups(
+    f"SELECT grp || '.log' AS grp, ord, line FROM ({sql.DOCUMENT_FILEWISE})"))
+def j3(spark, sf):
+    """The job over archives whose members are rotated logs, one family per source."""
+    folder = scratch_path(spark, "archives")
+    tb.tar_files(spark, sf, folder, tb.ROTATED_MEMBER)
+    return find_filewise_repeats(arc.read_filewise_entries(spark, folder)).select("grp", "cnt", "line")
+
+
+@register("j6_rules", sql.findings(CUSTOM_RULES).replace("level NOT IN ()", "true"))
+def j6(spark, sf):
+    """A rule set stored, loaded again and used."""
+    path = scratch_path(spark, "rules")
+    save_rules(spark, CUSTOM_RULES.as_dict(), path)
+    return fnd.emit_findings(tb.log_lines(spark, sf), load_rules(spark, path))
+
+
 # ---- test runs -------------------------------------------------------------------------
 
 

@@ -6,6 +6,10 @@ text is used in Spark and, with other date functions, in the comparison SQL.
 
 from __future__ import annotations
 
+import io
+import tarfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +97,11 @@ ROTATED_NAME = """concat(source, '.log', CASE CAST(doc_id % 6 AS INT) WHEN 0 THE
  WHEN 2 THEN '.old' WHEN 3 THEN 'x' WHEN 4 THEN '.so' ELSE '.10.TXT' END)"""
 
 
+# Every seventh member has the extension of a binary file.
+MEMBER_NAME = "concat('d/', doc_id, CASE WHEN doc_id % 7 = 0 THEN '.so' ELSE '.log' END)"
+ROTATED_MEMBER = "concat(source, '.log.', doc_id)"
+
+
 def render(text: str, dates: dict[str, str]) -> str:
     for token, call in dates.items():
         text = text.replace(token, call)
@@ -213,6 +222,32 @@ def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tar_files(spark: SparkSession, sf_dir: str, folder: str, member: str = MEMBER_NAME) -> None:
+    """Writes the documents as members of tar archives, 500 ids each, and one stump of an archive.
+
+    Archives in name order and their members are in the order of ids. Spark's text writer puts one
+    archive into one file; its line end behind the end mark of an archive is not read.
+    """
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.expr(member).alias("member"), F.format_string("%09d", F.expr("doc_id div 500")).alias("archive")
+    )
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for _, name, text in sorted(zip(rows["doc_id"], rows["member"], rows["text"])):
+                info = tarfile.TarInfo(name)
+                info.size = len(text.encode())
+                tar.addfile(info, io.BytesIO(text.encode()))
+        return pd.DataFrame({"archive": [rows["archive"].iloc[0]], "value": [out.getvalue()]})
+
+    archives = docs.groupBy("archive").applyInPandas(build, "archive string, value binary")
+    stump = docs.select(F.concat(F.max("archive"), F.lit("z")).alias("archive"), F.unhex(F.lit("1F8B080000000000")).alias("value"))
+    for part, mode in ((archives, "overwrite"), (stump, "append")):
+        part.select("archive", F.col("value").cast("string").alias("value")).write.mode(mode).option(
+            "maxRecordsPerFile", 1).partitionBy("archive").text(folder)
+
+
 def rotated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, file, size)``: a rotated log name and a size per document."""
     return table(spark, sf_dir, "documents").select(

@@ -131,9 +131,12 @@ def rotated_paths(spark: SparkSession, base_path: str) -> list[str]:
     """
     folder, base = split_base_path(base_path)
     glob = "".join(f"[{c}]" if c in "*?[{" else c for c in base) + "*"
+    # names of folders below are no columns; a set lies in one folder
+    place = "" if folder == "." else re.sub(r"^\w+:/*", "/", folder.rstrip("/"))
     listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
         .select("path", base_name(F.col("path")).alias("file"))
+        .filter(F.regexp_replace("path", "/[^/]*$", "").endswith(place))
     )
     rows = keep_rotated(listing, base).select("path").orderBy("path").collect()
     return [r["path"] for r in rows] or [base_path]
