@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from re import _constants, _parser
 from typing import Any
 
 import yaml
@@ -83,27 +82,74 @@ def parse_rules(text: str) -> Rules:
     return validate_rules(raw)
 
 
+def _skip_class(regex: str, at: int) -> int:
+    """Place behind the character class that opens at ``at``."""
+    at += 2 if regex[at + 1:at + 2] == "^" else 1
+    at += regex[at:at + 1] == "]"
+    while regex[at] != "]":
+        at += 2 if regex[at] == "\\" else 1
+    return at + 1
+
+
+def _skip_group(regex: str, at: int) -> int:
+    """Place behind the group that opens at ``at``."""
+    depth = 0
+    while True:
+        char = regex[at]
+        if char == "[":
+            at = _skip_class(regex, at)
+            continue
+        depth += (char == "(") - (char == ")")
+        at += 2 if char == "\\" else 1
+        if not depth:
+            return at
+
+
+def _plain_runs(regex: str) -> list[str]:
+    """Runs of plain characters that stand in every match, at the top level of a pattern."""
+    runs, at = [""], 0
+    while at < len(regex):
+        char, plain = regex[at], None
+        if char == "|":
+            return [""]
+        if char == "(":
+            at = _skip_group(regex, at)
+        elif char == "[":
+            at = _skip_class(regex, at)
+        elif char == "\\":
+            plain = regex[at + 1] if not regex[at + 1].isalnum() else None
+            at += 2
+        else:
+            plain = char if char not in ".^$" else None
+            at += 1
+        quantifier = re.match(r"([?*+]|\{\d+(?:,\d*)?\})[?+]?", regex[at:])
+        if plain is None or quantifier and quantifier[1] != "+":
+            runs.append("")
+        else:
+            runs[-1] += plain
+            if quantifier:
+                runs.append("")
+        at += quantifier.end() if quantifier else 0
+    return runs
+
+
 def required_text(regex: str) -> tuple[str, bool] | None:
     """Plain text every match of a pattern contains, and whether its case is ignored.
 
     Lines without that text need not be searched. This is the longest run of plain
-    characters at the top level of the pattern; None if there is none to speak of, or
-    for a pattern only Java understands.
+    characters at the top level of the pattern; None if there is none to speak of. Flags
+    other than a leading ``(?i)`` and quoted parts are not looked into.
     """
+    ignore_case = regex.startswith("(?i)")
+    body = regex.removeprefix("(?i)")
+    if re.search(r"\(\?[a-zA-Z]*(-[a-zA-Z]+)?\)|\\[QpPxu0ck]", body):
+        return None
     try:
-        parsed = _parser.parse(regex)
-    except re.error:
+        text = max(_plain_runs(body), key=len)
+    except IndexError:  # not a valid pattern
         return None
-    runs = [""]
-    for op, char in parsed:
-        if op is _constants.LITERAL:
-            runs[-1] += chr(char)
-        else:
-            runs.append("")
-    text = max(runs, key=len)
     if len(text) < 3 or not text.isascii():
         return None
-    ignore_case = bool(parsed.state.flags & re.IGNORECASE)
     return (text.lower() if ignore_case else text), ignore_case
 
 

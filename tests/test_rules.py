@@ -5,7 +5,8 @@ import yaml
 
 from quietlog import fixed_values as fv
 from quietlog.rules import (
-    Rules, RulesError, load_rules, parse_rules, rules_from_table, rules_table, save_rules, validate_rules,
+    Rules, RulesError, load_rules, parse_rules, required_text, rules_from_table, rules_table, save_rules,
+    validate_rules,
 )
 
 GOOD = {"sensitive_patterns": ["a+"], "failure_keywords": [], "noisy_log_levels": ["INFO"], "required_severity_on_failure": ["ERROR"], "note": 1}
@@ -55,3 +56,18 @@ def test_bad_files_and_patterns(spark, tmp_path):
 
 def test_every_kind_has_a_default():
     assert list(Rules().as_dict()) == fv.RULE_KINDS
+
+
+@pytest.mark.parametrize("regex, expected", [
+    ("abcd", ("abcd", False)), ("(?i)Abc:+x", ("abc:", True)), (r"\bab\b", None), ("abc|abd", None), ("ab(cde|f)ghij", ("ghij", False)),
+    (r"x[abc\]]defg?h", ("def", False)), (r"a\.b\[c", ("a.b[c", False)), ("abcd{2,3}", ("abc", False)), ("abcd*", ("abc", False)),
+    ("ab+cde", ("cde", False)), ("[]ab]cdef", ("cdef", False)), ("(a(b)[)]c)defg", ("defg", False)), ("(?i:abc)def", ("def", False)),
+    ("abc(", None), (r"\Qab.c\E", None), ("(?x) a b c d", None), ("", None), ("äöüß", None),
+])
+def test_text_a_pattern_cannot_do_without(regex, expected):
+    assert required_text(regex) == expected
+
+
+def test_default_patterns_mostly_have_such_a_text():
+    found = [required_text(p) for p in Rules().sensitive_patterns]
+    assert sum(v is not None for v in found) >= 12
