@@ -17,7 +17,7 @@ A word is removed if a window of `WINDOW` words around it also starts earlier in
    repeats. A prefix with more leaves than a group may hold is extended to the whole window,
    where partial aggregation takes the place of the group.
 
-Texts are shuffled once, by doc_id.
+Texts are shuffled by doc_id twice: to fetch the words of the leaves that go on, and to cut the repeats.
 """
 
 from __future__ import annotations
