@@ -33,7 +33,7 @@ BITS = 64
 SHINGLE = 3
 SEED = 42
 TAU = 2
-# Fingerprints from which bit correlations and numbers of candidates are estimated.
+# About so many fingerprints, chosen by hash, tell bit correlations and numbers of candidates.
 SAMPLE = 20_000
 BUCKET = 64
 
@@ -218,7 +218,8 @@ def near_duplicates(documents: DataFrame, tau: int = TAU, sample: int = SAMPLE,
     prints = cut(fingerprints(documents), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
     total = nodes.count()
-    seen = nodes.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").toPandas()["fp"].to_numpy(np.int64)
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, total))))
+    seen = np.sort(nodes.where(chosen).select("fp").toArrow().column("fp").to_numpy().astype(np.int64))
     roots = components(links(nodes.select("fp"), design(seen, total, tau, bucket), tau, bucket))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Labelled documents the model is fitted on (those with the smallest hash of their id).
+# Labelled documents the model is fitted on: about so many, those with a small hash of their id.
 SAMPLE = 10_000
 # Features kept at most: those whose shares of toxic and clean documents differ most, by
 # MIN_Z standard errors or more (chance alone reaches that for none of a million features).
@@ -147,13 +147,14 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_feature
     Null labels and labels without a document don't count; of repeated labels the
     greatest counts. Without any toxic or any clean document all texts are grade 0.
     """
-    chosen_labels = (
+    known = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    # bounded by `sample` rows
+    share = min(1.0, sample / max(1, known.count()))
+    chosen_labels = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * share)))
+    # about `sample` rows
     picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen_labels), "doc_id")
     frequency = (
         picked.mapInArrow(_document_frequencies, "feature string, clean long, toxic long")
