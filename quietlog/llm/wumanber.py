@@ -171,15 +171,22 @@ def digest(items: list[str] | None) -> str:
     return hashlib.sha256(",".join(items or []).encode()).hexdigest()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark window, with all their columns."""
+def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `documents` that hold no benchmark window, with all their columns.
+
+    Rows are judged by their own text, whatever their id. A benchmark above `block_bytes` is searched block by
+    block over the rows that are left.
+    """
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > BLOCK_BYTES:
-        found = find_contamination(documents, benchmark)
-        bad = found.where(F.size("items") > 0).select("doc_id").distinct()
-        return documents.join(bad, F.col("doc_id").eqNullSafe(bad["doc_id"]), "left_anti")
-    tables = build_tables(benchmark.select("item_id", "text").toLocalIterator())
-    return documents.mapInArrow(_keep_clean(tables), documents.schema)
+    blocks = max(1, -(-size // block_bytes))
+    out = documents
+    for block in range(blocks):
+        part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        tables = build_tables(part.select("item_id", "text").toLocalIterator())
+        out = out.mapInArrow(_keep_clean(tables), documents.schema)
+        if block + 1 < blocks:
+            out = cut(out, "clean")
+    return out
 
 
 def _keep_clean(tables: list[SearchTable]):

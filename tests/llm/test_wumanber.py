@@ -65,3 +65,13 @@ def test_empty_tables_and_stage(spark, documents):
     assert wumanber.decontaminate(df, benchmark(spark, [])).count() == 3
     assert wumanber.decontaminate(documents([]), items).count() == 0
     assert wumanber.find_contamination(documents([]), items).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_the_stage_judges_rows_at_every_size(spark, documents, block_bytes):
+    items = benchmark(spark, [(1, "one two three"), (2, "four five six"), (3, "seven eight nine"), (4, None)])
+    rows = [(1, "x one two three"), (1, "clean"), (None, "four five six"), (None, "clean too"), (None, None), (2, "SEVEN eight, nine"), (3, "one two")]
+    df = documents(rows, clash=True)
+    out = wumanber.decontaminate(df, items, block_bytes=block_bytes)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, "clean"), (None, "clean too"), (None, None), (3, "one two")], key=str)
