@@ -16,7 +16,7 @@ rows per fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -229,14 +229,14 @@ def near_duplicates(documents: DataFrame, tau: int = TAU, sample: int = SAMPLE,
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
+def deduplicate(documents: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """One document of each group of near-duplicates: the one whose doc_id is the smallest.
 
-    All columns are kept. Of rows that repeat this doc_id any one stays. Empty texts are a
+    `find` tells the groups (doc_id, component_id). All columns are kept. Of rows that repeat this doc_id any one stays. Empty texts are a
     group like any other. Rows without doc_id can't be told apart and all stay.
     """
     named = documents.where("doc_id is not null")
-    groups = cut(near_duplicates(named), "groups")
+    groups = cut(find(named), "groups")
     key = tokens.fresh("kept", documents.columns)
     keep = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n"))
     kept = named.join(keep.select(key), F.col("doc_id").cast("long") == F.col(key), "left_semi")
