@@ -412,10 +412,11 @@ def a4_archive(spark, sf):
 
 
 def _text_files(spark: SparkSession, sf: str) -> str:
-    """Folder with the documents as text files, one per source."""
+    """Folder with the documents as text files, a folder per source; its rows are spread over all tasks."""
     folder = scratch_path(spark, "texts")
     docs = tb.table(spark, sf, "documents").select("source", "doc_id", "text")
-    by_source = docs.repartition("source").sortWithinPartitions("source", "doc_id")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    by_source = docs.repartition("source", salt).sortWithinPartitions("source", "doc_id")
     by_source.select("source", "text").write.partitionBy("source").text(folder)
     return folder
 

@@ -38,3 +38,15 @@ def test_query(spark, duck, name):
     def order(row):
         return [str(x) for x in row]
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=order) == sorted(expected.fetchall(), key=order)
+
+
+def test_text_files_spread_a_hot_source_over_tasks(spark, tmp_path):
+    rows = [(i if i % 9 else None, "hot" if i % 3 else "cold", f"line {i}") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = catalog._text_files(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{folder}/source=hot/part-*")) > 1
+    assert sorted((r["source"], r["value"]) for r in spark.read.text(folder).collect()) == sorted(r[1:] for r in rows)
