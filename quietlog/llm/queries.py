@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quietlog.llm import brown, chat, licenses, packing, quality, simhash, substrings, toxicity, warc, wumanber
 from quietlog.session import cut, scratch_path
 
+# Most pages are longer, so that their records come in segments.
+OP3_SEGMENT_BYTES = 4 << 10
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -26,7 +28,7 @@ def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
-    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    warc.write_archives(_table(spark, sf_dir, "pages"), path, segment_bytes=OP3_SEGMENT_BYTES)
     back = cut(
         warc.read_pages(spark, path).select(
             "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
@@ -34,8 +36,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pages",
     )
     responses = back.where("record_type = 'response'")
-    sizes = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = back.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, "refers_to", "left")
+    sizes = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = back.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, "payload_digest", "left")
     return responses.unionByName(revisits)
 
 

@@ -16,7 +16,7 @@ rows per fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,12 +62,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for _, offsets, data in tokens.pieces(batch.column("text")):
             raw = data.tobytes()
             out += [fingerprint(raw[a:b].lower().split()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(out, pa.int64())], names=["doc_id", "text_key", "fp"]
+        )
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp): signed 64-bit fingerprint of the lower-cased (A-Z) words. Null text: 0."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_key, fp): signed 64-bit fingerprint of the lower-cased (A-Z) words, and a
+    hash that tells texts of one doc_id apart. Null text: fingerprint 0."""
+    return documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
+    ).mapInArrow(_fingerprints, "doc_id long, text_key long, fp long")
 
 
 @dataclass(frozen=True)
@@ -208,6 +213,20 @@ def links(nodes: DataFrame, plan: Design, tau: int = TAU, bucket: int = BUCKET)
     return found.unionByName(tied)
 
 
+def _grouped(documents: DataFrame, tau: int, sample: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of all rows; fp, first_doc, first, root of every distinct fingerprint)."""
+    prints = cut(fingerprints(documents), "fingerprints")
+    nodes = cut(
+        prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "text_key")).alias("first")), "nodes"
+    )
+    total = nodes.count()
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, total))))
+    seen = np.sort(nodes.where(chosen).select("fp").toArrow().column("fp").to_numpy().astype(np.int64))
+    roots = components(links(nodes.select("fp"), design(seen, total, tau, bucket), tau, bucket))
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left")
+    return prints, named.select("fp", "first_doc", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, tau: int = TAU, sample: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id of its group).
 
@@ -215,31 +234,31 @@ def near_duplicates(documents: DataFrame, tau: int = TAU, sample: int = SAMPLE,
     stay. A null doc_id belongs to the group of its fingerprint and is never its id unless
     all are null. Empty table: no rows.
     """
-    prints = cut(fingerprints(documents), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
-    total = nodes.count()
-    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, total))))
-    seen = np.sort(nodes.where(chosen).select("fp").toArrow().column("fp").to_numpy().astype(np.int64))
-    roots = components(links(nodes.select("fp"), design(seen, total, tau, bucket), tau, bucket))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_doc", F.coalesce("root", "fp").alias("root")
-    )
+    prints, named = _grouped(documents, tau, sample, bucket)
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     groups = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(documents: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+def deduplicate(documents: DataFrame, tau: int = TAU, sample: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
     """One document of each group of near-duplicates: the one whose doc_id is the smallest.
 
-    `find` tells the groups (doc_id, component_id). All columns are kept. Of rows that repeat this doc_id any one stays. Empty texts are a
-    group like any other. Rows without doc_id can't be told apart and all stay.
+    All columns are kept. Texts that share a doc_id are told apart by a hash of the text: in different
+    groups both stay, in one group the smaller hash stays; of equal rows any one stays. Empty
+    texts are a group like any other. Rows without doc_id can't be told apart and all stay.
     """
     named = documents.where("doc_id is not null")
-    groups = cut(find(named), "groups")
-    key = tokens.fresh("kept", documents.columns)
-    keep = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n"))
-    kept = named.join(keep.select(key), F.col("doc_id").cast("long") == F.col(key), "left_semi")
-    if not keep.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(documents.where("doc_id is null"))
+    prints, nodes = _grouped(named, tau, sample, bucket)
+    id_column = tokens.fresh("kept_id", documents.columns)
+    key = tokens.fresh("kept_text", [*documents.columns, id_column])
+    keep = cut(nodes.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias(id_column), F.col("first.text_key").alias(key)
+    ), "kept")
+    kept = named.withColumn(key, F.xxhash64("text")).join(
+        keep.withColumnRenamed(key, "text_key"),
+        (F.col("doc_id").cast("long") == F.col(id_column)) & (F.col(key) == F.col("text_key")), "left_semi",
+    )
+    repeated = prints.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", key])
+    return kept.drop(key).unionByName(documents.where("doc_id is null"))

@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from quietlog.llm import tokens
 from quietlog.llm.tokens import fresh
-from quietlog.session import cut
+from quietlog.session import as_lookup, cut
 
 WINDOW = 20
 PREFIX = 8
 # Leaves per subtree group; a leaf is at most (2 * WINDOW - PREFIX) words of 8 bytes.
 GROUP_LEAVES = 20_000
+# Nodes with more leaves are looked up instead of joined by shuffle.
+HOT_LEAVES = 4_096
 
 
 def _runs(piece: tokens.Texts, window: int, prefix: int):
@@ -80,16 +82,17 @@ def _leaves(window: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            text_keys = batch.column("text_key").to_numpy(zero_copy_only=False)
             for piece in tokens.words(batch.column("text")):
                 text, start, count, grams, words = _runs(piece, window, prefix)
                 content = tokens.span_hashes(words, start, start + count + window - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(grams.view(np.int64)), pa.array(content.view(np.int64)),
-                        pa.array(doc_ids[piece.rows][text].astype(np.int64)),
+                        pa.array(doc_ids[piece.rows][text].astype(np.int64)), pa.array(text_keys[piece.rows][text].astype(np.int64)),
                         pa.array((start - piece.first[text]).astype(np.int32)), pa.array(count.astype(np.int32)),
                     ],
-                    names=["prefix", "content", "doc_id", "start", "windows"],
+                    names=["prefix", "content", "doc_id", "text_key", "start", "windows"],
                 )
 
     return run
@@ -101,7 +104,7 @@ def _suffixes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("wanted").to_pylist()
-            doc_ids = batch.column("doc_id").to_pylist()
+            doc_ids, text_keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
             for piece in tokens.words(batch.column("text")):
                 words = piece.hashes()
                 rows = []
@@ -110,14 +113,14 @@ def _suffixes(window: int):
                     for leaf in wanted[row]:
                         at = base + leaf["start"]
                         rows.append((
-                            leaf["prefix"], doc_ids[row], leaf["start"], leaf["windows"], leaf["leaves"],
+                            leaf["prefix"], doc_ids[row], text_keys[row], leaf["start"], leaf["windows"], leaf["leaves"],
                             words[at:at + leaf["windows"] + window - 1].tobytes(),
                         ))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 columns = list(zip(*rows)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, kinds)],
-                    names=["prefix", "doc_id", "start", "windows", "leaves", "words"],
+                    names=["prefix", "doc_id", "text_key", "start", "windows", "leaves", "words"],
                 )
 
     return run
@@ -142,7 +145,11 @@ def repeated_windows(prefixes: np.ndarray, doc_ids: np.ndarray, starts: np.ndarr
     order = np.lexsort((place, doc_ids[leaf], *suffixes.T[::-1], prefixes[leaf]))
     below, above = suffixes[order[1:]], suffixes[order[:-1]]
     common = np.cumprod(below == above, axis=1).sum(axis=1) * (prefixes[leaf[order[1:]]] == prefixes[leaf[order[:-1]]])
-    again = order[1:][common >= window]  # sorted: the first suffix of a node is its earliest
+    same = np.append(False, common >= window)
+    # sorted: the first suffix of a node is its earliest; texts of one id may share that place
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    later = (doc_ids[leaf[order]] != doc_ids[leaf[first]]) | (place[order] != place[first])
+    again = order[same & later]
     return leaf[again], place[again]
 
 
@@ -153,7 +160,7 @@ def _subtrees(window: int):
             group["prefix"].to_numpy(), group["doc_id"].to_numpy(), group["start"].to_numpy(), words, window
         )
         return pd.DataFrame({
-            "doc_id": group["doc_id"].to_numpy()[leaf], "start": place.astype(np.int64), "end": (place + window).astype(np.int64),
+            "doc_id": group["doc_id"].to_numpy()[leaf], "text_key": group["text_key"].to_numpy()[leaf], "start": place.astype(np.int64), "end": (place + window).astype(np.int64),
         })
 
     return run
@@ -162,14 +169,16 @@ def _subtrees(window: int):
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, doc_id, start in zip(*(batch.column(c).to_pylist() for c in ("words", "doc_id", "start"))):
+            for prefix, words, doc_id, text_key, start in zip(
+                *(batch.column(c).to_pylist() for c in ("prefix", "words", "doc_id", "text_key", "start"))
+            ):
                 words = np.frombuffer(words, np.uint64)
                 n = len(words) - window + 1
                 hashes = tokens.span_hashes(words, np.arange(n), np.arange(n) + window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array([doc_id] * n, pa.int64()),
-                     pa.array(np.arange(start, start + n, dtype=np.int64))],
-                    names=["window", "doc_id", "start"],
+                    [pa.array([prefix] * n, pa.int64()), pa.array(hashes.view(np.int64)), pa.array([doc_id] * n, pa.int64()),
+                     pa.array([text_key] * n, pa.int64()), pa.array(np.arange(start, start + n, dtype=np.int64))],
+                    names=["prefix", "window", "doc_id", "text_key", "start"],
                 )
 
     return run
@@ -177,52 +186,68 @@ def _windows(window: int):
 
 def find_repeats(documents: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                  group_leaves: int = GROUP_LEAVES) -> DataFrame:
-    """(doc_id, spans): array of (start, end) word places to remove, for documents that have some.
+    """(doc_id, text_key, spans): array of (start, end) word places to remove, for texts that have some.
 
-    `documents` needs doc_id and text; doc_id must not be null.
+    `documents` needs doc_id and text; doc_id must not be null. text_key tells texts of one
+    doc_id apart; equal rows share one result.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    texts = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
+    ).where("doc_id is not null")
     # written, so that the join below stands between two plain exchanges and splits a hot prefix
     repeated = cut((
         texts.select("text").mapInArrow(_count_prefixes(window, prefix), "prefix long, n long")
         .groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1").select("prefix")
     ), "prefixes")
-    leaves = texts.mapInArrow(_leaves(window, prefix), "prefix long, content long, doc_id long, start int, windows int")
+    leaves = texts.mapInArrow(
+        _leaves(window, prefix), "prefix long, content long, doc_id long, text_key long, start int, windows int"
+    )
     leaves = cut(leaves.join(repeated, "prefix", "left_semi"), "leaves")
 
     nodes = cut(
-        leaves.groupBy("prefix", "content").agg(F.min(F.struct("doc_id", "start")).alias("earliest"), F.first("windows").alias("windows")),
+        leaves.groupBy("prefix", "content").agg(F.min(F.struct("doc_id", "start")).alias("earliest"), F.count(F.lit(1)).alias("n")),
         "nodes",
     )
-    whole = leaves.join(nodes.select("prefix", "content", "earliest"), ["prefix", "content"]).where(
-        F.struct("doc_id", "start") > F.col("earliest")
-    ).select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("windows") + window - 1).cast("long").alias("end"))
+    # nodes with very many leaves are few: looked up, so that none of them is one task
+    hot = as_lookup(cut(nodes.where(F.col("n") > HOT_LEAVES).select("prefix", "content", "earliest"), "hot"))
+    usual = nodes.where((F.col("n") > 1) & (F.col("n") <= HOT_LEAVES)).select("prefix", "content", "earliest")
+    met = leaves.join(hot, ["prefix", "content"]).unionByName(
+        leaves.join(hot, ["prefix", "content"], "left_anti").join(usual, ["prefix", "content"])
+    )
+    whole = met.where(F.struct("doc_id", "start") > F.col("earliest")).select(
+        "doc_id", "text_key", F.col("start").cast("long").alias("start"),
+        (F.col("start") + F.col("windows") + window - 1).cast("long").alias("end"),
+    )
 
     mixed = nodes.groupBy("prefix").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1")
+    # a node's earliest leaf; texts of one doc_id may tie for it
     wanted = (
-        nodes.join(mixed, "prefix")
-        .select("earliest.doc_id", F.struct("prefix", "earliest.start", "windows", "leaves").alias("leaf"))
-        .groupBy("doc_id").agg(F.collect_list("leaf").alias("wanted"))
+        nodes.join(mixed, "prefix").select("prefix", "content", "earliest.doc_id", "earliest.start", "leaves")
+        .join(leaves, ["prefix", "content", "doc_id", "start"])
+        .select("doc_id", "text_key", F.struct("prefix", "start", "windows", "leaves").alias("leaf"))
+        .groupBy("doc_id", "text_key").agg(F.collect_set("leaf").alias("wanted"))
     )
     suffixes = cut(
-        texts.join(wanted, "doc_id").mapInArrow(
-            _suffixes(window), "prefix long, doc_id long, start int, windows int, leaves long, words binary"
+        texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).mapInArrow(
+            _suffixes(window), "prefix long, doc_id long, text_key long, start int, windows int, leaves long, words binary"
         ),
         "suffixes",
     )
     groups = max(1, -(-suffixes.count() // group_leaves))
     small = suffixes.where(F.col("leaves") <= group_leaves).withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
-    partly = small.groupBy("group").applyInPandas(_subtrees(window), "doc_id long, start long, end long")
+    partly = small.groupBy("group").applyInPandas(_subtrees(window), "doc_id long, text_key long, start long, end long")
 
-    spread = suffixes.where(F.col("leaves") > group_leaves).select("words", "doc_id", "start").mapInArrow(
-        _windows(window), "window long, doc_id long, start long"
+    spread = suffixes.where(F.col("leaves") > group_leaves).select("prefix", "words", "doc_id", "text_key", "start").mapInArrow(
+        _windows(window), "prefix long, window long, doc_id long, text_key long, start long"
     )
-    earliest = spread.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    extended = spread.join(earliest, "window").where(F.struct("doc_id", "start") > F.col("earliest")).select(
-        "doc_id", "start", (F.col("start") + window).alias("end")
+    earliest = spread.groupBy("prefix", "window").agg(
+        F.min(F.struct("doc_id", "start")).alias("earliest"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1")
+    extended = spread.join(earliest, ["prefix", "window"]).where(F.struct("doc_id", "start") > F.col("earliest")).select(
+        "doc_id", "text_key", "start", (F.col("start") + window).alias("end")
     )
     found = whole.unionByName(partly).unionByName(extended)
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    return found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 def _stretches(keep: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -284,10 +309,12 @@ def _shortened(column: str):
 
 
 def _with_spans(documents: DataFrame, found: DataFrame, column: str) -> DataFrame:
-    """`documents` with the spans found for their doc_id, or null, as `column`."""
+    """`documents` with the spans found for their doc_id and text, or null, as `column`."""
     key = fresh("id", [*documents.columns, column])
-    found = found.select(F.col("doc_id").alias(key), F.col("spans").alias(column))
-    named = documents.where("doc_id is not null").join(found, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    text_key = fresh("text_key", [*documents.columns, column, key])
+    found = found.select(F.col("doc_id").alias(key), F.col("text_key").alias(text_key), F.col("spans").alias(column))
+    same = (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(text_key))
+    named = documents.where("doc_id is not null").join(found, same, "left").drop(key, text_key)
     none = F.lit(None).cast(found.schema[column].dataType)
     return named.unionByName(documents.where("doc_id is null").withColumn(column, none))
 
@@ -307,7 +334,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, prefix: int = PRE
     kept stretches with their own white space, joined by one space; untouched texts as they are).
 
     Null text: no words, nothing removed. Rows that repeat a doc_id are texts of one
-    document: where starts are equal, neither is earlier. Rows without doc_id are not compared and
+    document, judged text by text: where starts are equal, neither is earlier. Rows without doc_id are not compared and
     stay as they are. Texts below a window: nothing removed. Empty table: no rows.
     """
     found = find_repeats(documents, window, prefix, group_leaves)

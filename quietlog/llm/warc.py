@@ -30,8 +30,10 @@ from quietlog.session import cut
 
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 8 << 10
-# Bounds a file to RECORDS_PER_FILE * (SEGMENT_BYTES and a header).
-RECORDS_PER_FILE = 400
+# Bounds an archive file: about so many bytes before compression, and headers.
+FILE_BYTES = 25 << 20
+# Records are handed on in batches of about so many bytes.
+BATCH_BYTES = 4 << 20
 END = b"\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _DATE = "1970-01-01T00:00:00Z"
@@ -118,12 +120,21 @@ def _to_records(segment_bytes: int):
         # the attempt's number keeps rows that repeat a page apart; only one attempt's file stays
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for row in batch.to_pylist():
+            out, size = [], 0
+            for page_id, url, html, digest, first, is_response in zip(
+                *(batch.column(c) for c in ("page_id", "url", "html", "digest", "first", "is_response"))
+            ):
                 number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(page_records(
-                    row["page_id"], row["url"], (row["html"] or "").encode(), row["digest"], row["first"], row["is_response"],
-                    f"page:{row['page_id']}:{task}:{number}", segment_bytes,
-                ), pa.binary())], names=["value"])
+                page_id, payload = page_id.as_py(), (html.as_py() or "").encode()
+                out += page_records(
+                    page_id, url.as_py(), payload, digest.as_py(), first.as_py(), is_response.as_py(),
+                    f"page:{page_id}:{task}:{number}", segment_bytes,
+                )
+                size += len(payload)
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     return run
 
@@ -149,7 +160,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     records = marked.mapInArrow(_to_records(segment_bytes), "value binary")
     (
         records.select(F.col("value").cast("string").alias("value")).write
-        .option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        .option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // segment_bytes)).text(path)
     )
 
 

@@ -53,6 +53,18 @@ def test_op2(spark, sf, rows):
     assert sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)
 
 
+def test_op3_reassembles_segments_and_measures_revisits_by_payload(spark, sf, tmp_path):
+    """Most pages come in segments; a page_id that repeats with another payload does not change a revisit's size."""
+    path = str(tmp_path / "archives")
+    queries.warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet"), path, segment_bytes=queries.OP3_SEGMENT_BYTES)
+    assert queries.warc.read_records(spark, path).where("kind = 'continuation'").count() > 0
+    spark.createDataFrame([(1, "u", "aa"), (1, "u", "bbbb"), (2, "u", "aa")], "page_id long, url string, html string").write.parquet(
+        f"{tmp_path}/t/pages.parquet"
+    )
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in queries.op3_warc(spark, f"{tmp_path}/t").collect())
+    assert got == [(1, 2, "response"), (1, 4, "response"), (2, 2, "revisit")]
+
+
 def test_op4(spark, sf, rows, duck):
     got = {r["doc_id"]: r for r in queries.op4_quality(spark, sf).collect()}
     for i, text, _ in rows:

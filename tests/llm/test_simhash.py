@@ -91,3 +91,9 @@ def test_stage_keeps_one_row_per_group(documents):
     assert simhash.deduplicate(documents([])).count() == 0
     ids = simhash.near_duplicates(documents([(None, "x"), (2, "x")])).select(F.max("component_id")).first()[0]
     assert ids == 2
+
+
+def test_stage_keeps_different_texts_of_one_id(documents):
+    rows = [(3, "alpha beta gamma delta"), (3, "totally different words here"), (3, "alpha beta gamma delta"), (4, "ALPHA beta gamma delta")]
+    out = sorted((r["doc_id"], r["text"]) for r in simhash.deduplicate(documents(rows)).collect())
+    assert out == [(3, "alpha beta gamma delta"), (3, "totally different words here")]

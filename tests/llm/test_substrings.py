@@ -23,6 +23,25 @@ def brute(texts, window=20):
     return out
 
 
+def brute_rows(rows, window=20):
+    """[(doc_id, n_removed)] where ids and rows may repeat."""
+    first = {}
+    for i, text in rows:
+        words = WORD.findall(text or "")
+        for at in range(len(words) - window + 1):
+            key = tuple(words[at:at + window])
+            first[key] = min(first.get(key, (i, at)), (i, at))
+    out = []
+    for i, text in rows:
+        words = WORD.findall(text or "")
+        gone = [False] * len(words)
+        for at in range(len(words) - window + 1):
+            if first[tuple(words[at:at + window])] < (i, at):
+                gone[at:at + window] = [True] * window
+        out.append((i, text, sum(gone)))
+    return sorted(out)
+
+
 def result(df, **kwargs):
     return {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_words"]) for r in substrings.remove_repeats(df, **kwargs).collect()}
 
@@ -56,6 +75,26 @@ def test_missing_ids_repeated_rows_and_empty_tables(documents):
     assert substrings.with_repeats_removed(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("group_leaves", [20_000, 3])
+def test_repeated_rows_against_brute_force(documents, rng, group_leaves):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:40])), (1, " ".join(words[:40])), (2, " ".join([*words[5:35], *"abcdefghij"]))]
+    rows += [(7, " ".join(words)), (7, " ".join([f"v{i}" for i in range(30)] + words[:25]))]
+    for i in range(150):
+        text = " ".join(rng.choice("ab") for _ in range(rng.randrange(60)))
+        rows += [(rng.randrange(60, 90), text)] * rng.choice([1, 1, 2, 5])
+    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in substrings.remove_repeats(documents(rows), group_leaves=group_leaves).collect()]
+    assert sorted(got) == brute_rows(rows)
+
+
+def test_hot_nodes_are_looked_up(documents, rng, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_LEAVES", 3)
+    passage = " ".join("w%d" % rng.randrange(10**6) for _ in range(60))
+    rows = [(i, f"{passage} {' '.join(rng.choice('ab') for _ in range(40))}") for i in range(30)]
+    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in substrings.remove_repeats(documents(rows)).collect()]
+    assert sorted(got) == brute_rows(rows)
+
+
 def test_stage_form_keeps_columns_and_white_space(documents):
     text = "\n".join(map(str, range(40)))
     df = documents({1: text, 2: "start here\n" + text + "  the end", 3: "a\n b"}, clash=True)
