@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import jaccard, packing, simhash, substrings, toxicity, wumanber
+from quietlog.llm import packing, simhash, substrings, toxicity, wumanber
 from quietlog.session import scratch_path
 
 
@@ -16,9 +16,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8 or more) the document with the
-    smallest doc_id stays."""
-    return simhash.deduplicate(docs, jaccard.near_duplicates)
+    """Of each group of near-duplicates (SimHash of 3-word shingles, 2 differing bits at most) the document
+    with the smallest doc_id stays."""
+    return simhash.deduplicate(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
