@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlog.llm import brown, chat, licenses, packing, quality, simhash, substrings, toxicity, warc, wumanber
+from quietlog.llm import alignment, brown, chat, licenses, merkle, packing, quality, simhash, substrings, toxicity, trees, warc, wumanber
 from quietlog.session import cut, scratch_path
 
 # Most pages are longer, so that their records come in segments.
@@ -102,6 +102,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf per row, also for rows that repeat or have nulls (see `merkle.build`); a row without doc_id is
+    never tampered with. Empty table: no rows."""
+    documents = _table(spark, sf_dir, "documents")
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    picked = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.fold(merkle.build(documents, F.when(picked, merkle.leaf(changed))))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result per row, also for rows that repeat; null, empty and unfaithful texts have zeros and an empty digest."""
+    return alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score per row, also for null and empty texts; a row without doc_id is neither learnt from nor held out.
+    Rows that repeat a doc_id are learnt from once. Empty tables: no rows, or scores of 0.5 without labels."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = trees.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_brown": op2_brown,
@@ -113,6 +135,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
+    "op12_alignment": op12_alignment,
+    "op13_quality_trees": op13_quality_trees,
 }
 
 ORACLE: dict[str, str] = {
@@ -211,4 +236,41 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(r)) AS BIGINT) AS formatted_chars
 FROM rendered GROUP BY conv_id""",
+    "op11_merkle": """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+      || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS before,
+    n_chars, coalesce(octet_length(encode(text)) || ':' || text, '-') AS after, lang,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(before || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || after) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(before || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || after) END AS changed
+  FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+up(lang, lvl, pos, h, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM up WHERE n > 1 GROUP BY lang, lvl, pos // 2),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS many FROM up WHERE n = 1),
+top(lvl, pos, h, n) AS (
+  SELECT 0, place, subroot, many FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM top WHERE n > 1 GROUP BY lvl, pos // 2),
+climb(doc_id, lang, leaf, start, lvl, pos, n, value, proof) AS (
+  SELECT doc_id, lang, leaf, pos, 0, pos, n, coalesce(changed, leaf), '' FROM placed
+  UNION ALL
+  SELECT doc_id, c.lang, leaf, start, c.lvl + 1, c.pos // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.pos % 2 = 0 THEN value || coalesce(s.h, '') ELSE s.h || value END), proof || coalesce(s.h, '')
+  FROM climb c LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM c.lang AND s.lvl = c.lvl AND s.pos = xor(c.pos, 1) WHERE c.n > 1),
+over(doc_id, leaf, subroot, lvl, pos, n, value, proof) AS (
+  SELECT doc_id, leaf, subroot, 0, place, many, value, proof FROM climb c JOIN subroots r ON r.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, subroot, o.lvl + 1, o.pos // 2, (o.n + 1) // 2,
+    sha256(CASE WHEN o.pos % 2 = 0 THEN value || coalesce(s.h, '') ELSE s.h || value END), proof || coalesce(s.h, '')
+  FROM over o LEFT JOIN top s ON s.lvl = o.lvl AND s.pos = xor(o.pos, 1) WHERE o.n > 1),
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, value AS folded_root, value = root AS verified FROM over, root WHERE n = 1""",
 }

@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from quietlog.llm import queries, toxicity
-from tests.llm import test_brown, test_packing, test_quality, test_simhash, test_substrings, test_wumanber
+from tests.llm import test_alignment, test_brown, test_packing, test_quality, test_simhash, test_substrings, test_wumanber
 
 
 @pytest.fixture(scope="module")
@@ -22,13 +22,16 @@ def duck(sf):
     return con
 
 
+encoders = test_alignment.encoders
+
+
 @pytest.fixture(scope="module")
 def rows(duck):
     return duck.sql("SELECT doc_id, text, lang FROM documents").fetchall()
 
 
 def test_every_operator_is_registered():
-    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.ORACLE) <= set(entry.oracle_sql())
 
@@ -111,6 +114,21 @@ def test_op10(spark, sf, rows):
     assert got == {i: (f"{p:016x}", smallest[i]) for i, p in prints.items()}
 
 
+def test_op12(spark, sf, rows, encoders):
+    got = [(r["doc_id"], *(r[c] for c in test_alignment.COLUMNS)) for r in queries.op12_alignment(spark, sf).collect()]
+    expected = test_alignment.brute([t for _, t, _ in rows], encoders)
+    assert sorted(got) == sorted((i, *e) for (i, _, _), e in zip(rows, expected))
+
+
+def test_op13(spark, sf, rows, duck):
+    got = {r["doc_id"]: r for r in queries.op13_quality_trees(spark, sf).collect()}
+    assert set(got) == {i for i, _, _ in rows}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for i, r in got.items())
+    labels = duck.sql("SELECT doc_id, quality FROM labels").fetchall()
+    held = {q: [got[i]["score"] for i, quality in labels if quality == q and got[i]["held_out"]] for q in (0, 1)}
+    assert held[0] and max(held[0]) < min(held[1])
+
+
 def test_stages_of_the_pipeline(spark, sf, tmp_path, duck):
     """Every stage on what the one before it wrote, against brute force."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
