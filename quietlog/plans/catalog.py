@@ -394,7 +394,11 @@ def s3(spark, sf):
     folder = scratch_path(spark, "archives")
     tb.tar_files(spark, sf, folder)
     name = F.regexp_extract("archive", r"archive=(\w+)", 1).alias("archive")
-    return arc.read_members(spark, folder).select(name, "member", "size", "status", F.md5("content").alias("content"))
+    members = arc.read_members(spark, folder).groupBy(name, "member_ord", "member", "size", "status")
+    # a member that lies across two splits comes in two pieces
+    pieces = F.array_sort(F.collect_list(F.struct("piece", "content")))
+    content = F.aggregate(pieces, F.lit(b"").cast("binary"), lambda whole, p: F.concat(whole, p["content"]))
+    return members.agg(F.md5(content).alias("content")).drop("member_ord")
 
 
 @register(

@@ -16,7 +16,8 @@ from quietlog import fixed_values as fv
 from quietlog.functions.normalize import group_key
 from quietlog.functions.text import base_name, decode_bounded, is_blank, pattern, strip
 from quietlog.operators.ordering import row_numbers, running_total
-from quietlog.session import as_lookup
+from quietlog.session import as_lookup, cut
+from quietlog.sources import tarsplits
 
 MEMBER_SCHEMA = (
     "archive string, member_ord bigint, member string, size bigint, status string, piece int, content binary"
@@ -142,21 +143,19 @@ def _rows_of(path: str, content: bytes, limit: int | None, max_chars: int | None
         yield path, -1, None, len(content), "error", 0, None
 
 
-def read_members(
-    spark: SparkSession,
-    path: str | list[str],
-    glob: str | None = None,
-    limit: int | None = None,
-    max_chars: int | None = None,
-    deny: bool = True,
-) -> DataFrame:
-    """Regular members of tar archives (any compression, told by content) and plain files.
+def _listing(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
+    """(path, file): names of the input files and the hash by which scans know them; contents are not read."""
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path).select("path", F.xxhash64("_metadata.file_path").alias("file"))
 
-    One task per input file reads its members in order and hands them on in pieces of
-    bounded size (``piece`` from 0), whole unless limits are given: ``limit`` leaves larger members out,
-    ``max_chars`` is a budget of characters per archive, ``deny`` leaves out members with the
-    extensions of binary files. What was left out or is damaged stays as a row with its status.
-    """
+
+def _read_whole(
+    spark: SparkSession, paths: list[str], limit: int | None, max_chars: int | None, deny: bool, spread: bool
+) -> DataFrame:
+    """Members of files that are read by one task each. With `spread` a shuffle by piece hands
+    them to all cores."""
 
     def explode_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -177,10 +176,50 @@ def read_members(
         if rows:
             yield pack(rows)
 
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", "content").mapInArrow(explode_archives, MEMBER_SCHEMA)
+    whole = spark.read.format("binaryFile").load(paths).select("path", "content")
+    members = whole.mapInArrow(explode_archives, MEMBER_SCHEMA)
+    return members.repartition("archive", "member_ord", "piece") if spread else members
+
+
+def read_members(
+    spark: SparkSession,
+    path: str | list[str],
+    glob: str | None = None,
+    limit: int | None = None,
+    max_chars: int | None = None,
+    deny: bool = True,
+    spread: bool = False,
+) -> DataFrame:
+    """Regular members of tar archives (any compression, told by content) and plain files.
+
+    Uncompressed archives and plain files are read in splits, so that one archive of any size is the work
+    of many tasks (see `tarsplits`). A compressed stream can be entered at its first byte only:
+    such a file is one task. So is everything where `max_chars`, a budget of characters per archive, ends the
+    reading early. Members come in pieces of bounded size that grow in number (``piece``),
+    whole unless limits are given: ``limit`` leaves larger members out, ``deny`` those with the
+    extensions of binary files. What was left out or is damaged stays as a row with its
+    status. ``spread`` hands the members of a file with one task to all tasks, by a shuffle.
+    """
+    listing = _listing(spark, path, glob)
+    # Spark's listing of the files is on the driver anyway
+    packed = F.col("path").rlike(tarsplits.COMPRESSED_NAME) if max_chars is None else F.lit(True)
+    names = listing.select("path", packed.alias("packed")).collect()
+    whole, split = [r["path"] for r in names if r["packed"]], [r["path"] for r in names if not r["packed"]]
+    parts = []
+    if split:
+        states = tarsplits.index_files(spark, split)
+        archives = cut(listing.select("file", F.col("path").alias("archive")), "names")
+        odd = states.where("kind = 'other'").select("file").distinct().join(archives, "file").collect()
+        whole += [r["archive"] for r in odd]
+        denied = tuple(fv.BINARY_MEMBER_SUFFIXES) if deny else ()
+        parts.append(tarsplits.read_splits(
+            spark, split, states, archives, PIECE_BYTES, limit, denied, MEMBER_SCHEMA, _BATCH_BYTES
+        ))
+    if whole:
+        parts.append(_read_whole(spark, whole, limit, max_chars, deny, spread))
+    if not parts:
+        return spark.createDataFrame([], MEMBER_SCHEMA)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def within_budget(
@@ -245,15 +284,14 @@ ARCHIVE_GLOB = "*.{" + ",".join(
 def _texts(spark: SparkSession, members: DataFrame, path: str | list[str]) -> DataFrame:
     """Decoded members with the place of their file in name order.
 
-    Only the listing is read for the ranks. The shuffle by member spreads the lines of a
-    large archive, which one task had to unpack, over all cores.
+    Only the listing is read for the ranks.
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"))
     ranks = as_lookup(row_numbers(files, [F.col("_path")], name="_rank"))
     texts = members.filter(F.col("status") == "ok").select(
         "archive", "member_ord", "member", "piece", decode_bounded(F.col("content")).alias("text")
     )
-    return texts.repartition("archive", "member_ord", "piece").join(ranks, F.col("archive") == F.col("_path"))
+    return texts.join(ranks, F.col("archive") == F.col("_path"))
 
 
 def _ord() -> Column:
@@ -274,7 +312,7 @@ def read_archive_entries(
     limit: int | None = None, glob: str | None = None,
 ) -> DataFrame:
     """``(file, ord, message)`` of archives and plain files, whole unless limits are given."""
-    members = read_members(spark, path, glob, limit, max_chars)
+    members = read_members(spark, path, glob, limit, max_chars, spread=True)
     return explode_lines(_texts(spark, members, path), "text", _PLACE).select(
         F.col("member").alias("file"), _ord(), "message"
     )
@@ -296,6 +334,6 @@ def read_archive_stats(
 
 def read_filewise_entries(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """``(grp, ord, line)`` of archives and plain files: log names only, whole, raw lines."""
-    members = read_members(spark, path, glob, deny=False).filter(is_log_name(F.col("member")))
+    members = read_members(spark, path, glob, deny=False, spread=True).filter(is_log_name(F.col("member")))
     lines = explode_lines(_texts(spark, members, path), "text", _PLACE, strip_lines=False, name="line")
     return lines.select(group_key(base_name(F.col("member"))).alias("grp"), _ord(), "line")

@@ -21,16 +21,21 @@ _MIN_SPLITS = "spark.sql.files.minPartitionNum"
 _BROADCAST_SPLITS = 4_000_000
 
 
-def _physical_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Every physical line with its split and a number that grows inside the split.
+def pin_splits(spark: SparkSession) -> None:
+    """Let two passes over the same files cut the same splits.
 
-    Line numbers need a counting pass, so both passes must cut the same splits. Only
-    a parallelism that changes in between could move the cuts: where executors come and go
-    it is pinned in the session, unless the user has set it.
+    Only a parallelism that changes in between could move the cuts: where executors come and
+    go it is pinned in the session, unless the user has set it.
     """
     dynamic = spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true"
     if dynamic and spark.conf.get(_MIN_SPLITS, None) is None:
         spark.conf.set(_MIN_SPLITS, str(spark.sparkContext.defaultParallelism))
+
+
+def _physical_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """Every physical line with its split and a number that grows inside the split; line
+    numbers need a counting pass over the same splits."""
+    pin_splits(spark)
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
     return reader.text(path).select(
         F.col("_metadata.file_path").alias("path"),
