@@ -113,6 +113,25 @@ FAILURE_KEYWORDS = [
 ]
 NOISY_LOG_LEVELS = ["DEBUG", "TRACE", "INFO"]
 REQUIRED_SEVERITY_ON_FAILURE = ["ERROR", "WARN"]
+# Accepted in a rules file; applied on request only.
+IGNORE_PATTERNS = [
+    "success.*true",
+    "heartbeat.*message",
+    "timer.*succeeded",
+    "response.*success",
+    "maintenance.*started",
+    "notify.*change",
+]
+COMPONENT_RULES = {
+    "NetworkManager": {
+        "frequent_operations": ["getIPSettings", "doPing", "isConnectedToInternet"],
+        "acceptable_frequency": 15,
+    },
+    "MaintenanceManager": {"critical_states": ["MAINTENANCE_ERROR", "MAINTENANCE_FAILED"]},
+    "SystemServices": {"warning_events": ["FIRMWARE_UPDATE_STATE", "IARM_BUS_SYSMGR"]},
+    "AuthService": {"sensitive_operations": ["GetExperience", "readBytesFromPathParts"]},
+    "ThermalController": {"thresholds": {"temperature_warn": 65, "temperature_critical": 80}},
+}
 
 # ---- finding texts ------------------------------------------------------------
 NOISY, SENSITIVE, SEVERITY = "noisy", "sensitive", "severity"

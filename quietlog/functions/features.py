@@ -45,6 +45,36 @@ def has_timestamp(log: Column, profile: str = "cli") -> Column:
     return log.rlike(pattern(gate))
 
 
+_STAMP = (
+    rf"^{fv.SPACE}*(?:({fv.DATE})(?:{fv.SPACE}+|T)|((?:{fv.MONTH_NAMES}){fv.SPACE}+\d{{1,2}}){fv.SPACE}+|(\d{{6}})-)?"
+    rf"({fv.CLOCK})(?:\.(\d{{1,6}}))?"
+)
+
+
+def event_micros(log: Column, day: str = "1970-01-01", year: int = 1972) -> Column:
+    """Time at the start of a line in microseconds since 1970, by its own clock; null without one.
+
+    All shapes of :func:`has_timestamp` are read. A shape without a date gets ``day``, one without
+    a year gets ``year`` (a leap year, so that every day exists); two-digit years are of this century.
+    """
+    def part(n: int) -> Column:
+        return F.regexp_extract(log, pattern(_STAMP), n)
+
+    date, month_day, compact, clock, fraction = (part(n) for n in range(1, 6))
+    spaced = F.concat(F.lit(f"{year} "), F.regexp_replace(month_day, pattern(f"{fv.SPACE}+"), " "))
+    days = (
+        F.when(date != "", F.try_to_date(date, "yyyy-MM-dd"))
+        .when(month_day != "", F.try_to_date(spaced, "yyyy MMM d"))
+        .when(compact != "", F.try_to_date(F.concat(F.lit("20"), compact), "yyyyMMdd"))
+        .otherwise(F.lit(day).cast("date"))
+    )
+    seconds = sum(
+        (F.substring(clock, at, 2).cast("bigint") * unit for at, unit in ((1, 3600), (4, 60), (7, 1))), F.lit(0).cast("bigint")
+    )
+    micros = (F.unix_date(days).cast("bigint") * 86400 + seconds) * 1000000 + F.rpad(fraction, 6, "0").cast("bigint")
+    return F.when(clock != "", micros)
+
+
 # ---- level ----------------------------------------------------------------------
 
 
@@ -151,6 +181,18 @@ def is_sensitive(
     return _any(tests)
 
 
+def ignored_by(log: Column, patterns: list[str]) -> Column:
+    """The first of the patterns that is found in the line, null if none is."""
+    chain = F.lit(None).cast("string")
+    for p in reversed(patterns):
+        needed = required_text(p)
+        test = log.rlike(REGEX_FLAGS + p)
+        if needed and not needed[1]:
+            test = log.contains(needed[0]) & test
+        chain = F.when(test, F.lit(p)).otherwise(chain)
+    return chain
+
+
 def has_failure(lower_log: Column, rules: Rules) -> Column:
     """Whether a failure keyword occurs; takes the line already lower-cased."""
     return _any([lower_log.contains(k) for k in rules.failure_keywords])

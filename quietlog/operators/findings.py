@@ -56,6 +56,22 @@ def emit_findings(
     return found.select("category", "file", "line", "plugin", why.alias("reason"), shown)
 
 
+def with_ignored(findings: DataFrame, rules: Rules) -> DataFrame:
+    """Adds ``ignored_by``: the first ignore pattern of the rules found in the finding's line, or null."""
+    return findings.withColumn("ignored_by", ft.ignored_by(F.col("log"), rules.ignore_patterns))
+
+
+def without_ignored(findings: DataFrame, rules: Rules) -> DataFrame:
+    """Findings in lines that no ignore pattern of the rules matches; one narrow filter."""
+    return findings.filter(ft.ignored_by(F.col("log"), rules.ignore_patterns).isNull())
+
+
+def count_ignored(findings: DataFrame, rules: Rules) -> DataFrame:
+    """``(category, ignored_by, n)``: findings that the ignore patterns suppress, counted map-side."""
+    marked = with_ignored(findings, rules).filter(F.col("ignored_by").isNotNull())
+    return marked.groupBy("category", "ignored_by").agg(F.count(F.lit(1)).alias("n"))
+
+
 def category(findings: DataFrame, name: str) -> DataFrame:
     """The list of one category."""
     return findings.filter(F.col("category") == name).select("file", "line", "plugin", "reason", "log")

@@ -11,6 +11,7 @@ from quietlog import fixed_values as fv
 from quietlog.functions import features as ft
 from quietlog.functions import text as tx
 from quietlog.functions.normalize import group_key, normalize, normalize_filewise
+from quietlog.operators import component_rules as comp
 from quietlog.operators import duplicates as dup
 from quietlog.operators import findings as fnd
 from quietlog.operators import history as hist
@@ -18,8 +19,8 @@ from quietlog.operators import testruns as tr
 from quietlog.operators.ordering import row_numbers
 from quietlog.plans import oracle as sql
 from quietlog.plans import tables as tb
-from quietlog.plans.jobs import find_filewise_repeats, find_repeats_in, record_analysis
-from quietlog.rules import Rules, load_rules, parse_rules, save_rules
+from quietlog.plans.jobs import analyze, find_filewise_repeats, find_repeats_in, record_analysis
+from quietlog.rules import Rules, component_rules_table, declared_rules, load_rules, parse_rules, save_rules
 from quietlog.session import cut, scratch_path
 from quietlog.sinks import reports as rep
 from quietlog.sources import archives as arc
@@ -28,6 +29,7 @@ from quietlog.sources import lines as src
 Query = Callable[[SparkSession, str], DataFrame]
 
 RULES = Rules()
+DECLARED_RULES = declared_rules()
 CUSTOM_RULES = parse_rules(r"""
 sensitive_patterns: ['\bpid=\d+', 'user\s*:']
 failure_keywords: [slow, exception]
@@ -156,6 +158,34 @@ def j1(spark, sf):
     return fnd.emit_findings(tb.log_lines(spark, sf), RULES).groupBy("plugin", "category").agg(F.count("*").alias("n"))
 
 
+# ---- rules per component, ignore patterns -----------------------------------------------
+
+
+def _ruled(operator: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf: operator(tb.component_lines(spark, sf), component_rules_table(spark, DECLARED_RULES), "web")
+
+
+register("c1_component_mentions", sql.mentions(DECLARED_RULES))(_ruled(comp.mention_findings))
+register("c2_component_thresholds", sql.thresholds(DECLARED_RULES))(_ruled(comp.threshold_findings))
+register("c3_component_frequencies", sql.frequencies(DECLARED_RULES))(_ruled(comp.frequency_findings))
+per_line("c4_event_micros", ft.event_micros, "at_micros", f"CASE WHEN {sql._stamp(4)} <> '' THEN {sql.EVENT_MICROS} END")
+
+_IGNORABLE = sql.findings(DECLARED_RULES, source=f"{sql.COMPONENT_EVENTS} UNION ALL {sql.APP}")
+
+
+def _ignorable(spark: SparkSession, sf: str) -> DataFrame:
+    return tb.component_lines(spark, sf).unionByName(tb.app_lines(spark, sf))
+
+
+register("c5_without_ignored", f"SELECT * FROM ({_IGNORABLE}) WHERE {sql.ignored(DECLARED_RULES)} IS NULL")(
+    lambda spark, sf: analyze(_ignorable(spark, sf), DECLARED_RULES, ignore=True))
+register(
+    "c5_count_ignored",
+    f"SELECT category, ignored_by, count(*) AS n FROM (SELECT *, {sql.ignored(DECLARED_RULES)} AS ignored_by FROM ({_IGNORABLE})) "
+    "WHERE ignored_by IS NOT NULL GROUP BY category, ignored_by",
+)(lambda spark, sf: fnd.count_ignored(fnd.emit_findings(_ignorable(spark, sf), DECLARED_RULES), DECLARED_RULES))
+
+
 # ---- messages ------------------------------------------------------------------------
 
 per_line("f6_normalize", lambda log: normalize(tx.strip(log)), "key", sql.key("trim(log)"))

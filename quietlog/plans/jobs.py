@@ -7,12 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietlog.functions.features import redact
 from quietlog.functions.text import base_name, report_name
+from quietlog.operators import component_rules as comp
 from quietlog.operators import duplicates as dup
 from quietlog.operators import findings as fnd
 from quietlog.operators import history as hist
 from quietlog.operators import testruns as tr
-from quietlog.rules import Components, Rules
+from quietlog.rules import Components, Rules, component_rules_table, declared_rules
 from quietlog.session import cut
 from quietlog.sinks import reports as rep
 from quietlog.sources import archives, lines as src
@@ -20,10 +22,32 @@ from quietlog.sources import archives, lines as src
 
 def analyze(
     lines: DataFrame, rules: Rules | None = None, profile: str = "cli", redaction: str = "off",
-    components: Components | None = None,
+    components: Components | None = None, ignore: bool = False,
+) -> DataFrame:
+    """Findings ``(category, file, line, plugin, reason, log)`` of log lines.
+
+    ``ignore`` leaves out findings in lines that an ignore pattern of the rules matches.
+    """
+    rules = rules or Rules()
+    # lines are shown as they are while patterns are searched, redacted afterwards
+    found = fnd.emit_findings(lines, rules, profile, "off" if ignore else redaction, components)
+    if not ignore:
+        return found
+    return fnd.without_ignored(found, rules).withColumn("log", redact(F.col("log"), rules, redaction))
+
+
+def analyze_components(
+    lines: DataFrame, rules: Rules | None = None, profile: str = "cli", components: Components | None = None
 ) -> DataFrame:
-    """Findings ``(category, file, line, plugin, reason, log)`` of log lines."""
-    return fnd.emit_findings(lines, rules or Rules(), profile, redaction, components)
+    """Findings of the rules per component: states, events, operations, readings out of bounds
+    and operations that come too often."""
+    rules = rules or declared_rules()
+    table = component_rules_table(lines.sparkSession, rules)
+    return (
+        comp.mention_findings(lines, table, profile, components)
+        .unionByName(comp.threshold_findings(lines, table, profile, components).drop("value"))
+        .unionByName(comp.frequency_findings(lines, table, profile, components).drop("at_micros", "n", "within"))
+    )
 
 
 def analyze_files(

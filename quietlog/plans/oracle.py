@@ -33,6 +33,7 @@ def _events(log: str, file: str) -> str:
 
 APP = _events(tb.APP_LOG, tb.APP_FILE)
 DEVICE = _events(tb.DEVICE_LOG, tb.DEVICE_FILE)
+COMPONENT_EVENTS = _events(tb.COMPONENT_LOG, tb.DEVICE_FILE)
 LINES = f"{APP} UNION ALL {DEVICE}"
 DAILY = _events(tb.APP_LOG, tb.render("concat('app', user_id % 5, '-', @day@, '.log')", tb.SQL_DATES))
 
@@ -264,3 +265,63 @@ def history(rules: Rules) -> str:
 
 def recent(rules: Rules) -> str:
     return f"SELECT * FROM ({history(rules)}) ORDER BY timestamp DESC, filename, run_id LIMIT {fv.HISTORY_ROWS_SHOWN}"
+
+
+# ---- rules per component -----------------------------------------------------------
+
+_RULED = f"SELECT *, {COMPONENT} AS plugin FROM ({COMPONENT_EVENTS}) WHERE {GATE_WEB}"
+
+
+def mentions(rules: Rules) -> str:
+    """Texts of a component in its lines."""
+    title = {"critical_state": "Critical state: ", "warning_event": "Warning event: ", "sensitive_operation": "Sensitive operation: "}
+    rows = ", ".join(f"({q(r.component)}, {q(r.kind)}, {q(title[r.kind] + r.name)}, {q(r.name)})" for r in rules.component_rules if r.kind in title)
+    return (
+        f"SELECT kind AS category, file, line, plugin, reason, log FROM ({_RULED}) "
+        f"JOIN (VALUES {rows}) r(component, kind, reason, name) ON plugin = component AND contains(log, name)"
+    )
+
+
+def thresholds(rules: Rules) -> str:
+    """Readings of a component in the range of a grade."""
+    rows = ", ".join(
+        f"({q(r.component)}, {q(r.name)}, {q(r.grade)}, {r.low!r}, {'CAST(''inf'' AS DOUBLE)' if r.high == float('inf') else repr(r.high)})"
+        .replace("CAST(inf", "CAST('inf'") for r in rules.component_rules if r.kind == "threshold"
+    )
+    reading = r"\b([A-Za-z][A-Za-z_]*)[ \t]*(?:[=:]|is|of|at)?[ \t]*(-?\d+(?:\.\d+)?)"
+    return f"""WITH read AS (SELECT *, lower(unnest(regexp_extract_all(log, {q(reading)}, 1))) AS name,
+      CAST(unnest(regexp_extract_all(log, {q(reading)}, 2)) AS DOUBLE) AS value FROM ({_RULED}))
+      SELECT 'threshold' AS category, file, line, plugin, concat(upper(grade[1]), lower(grade[2:]), ' threshold reached: ', r.name, ' ', value,
+      ' (from ', low, ')') AS reason, log, value FROM read JOIN (SELECT component, name, grade, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high
+      FROM (VALUES {rows}) v(component, name, grade, low, high)) r ON plugin = component AND read.name = r.name AND value >= low AND value < high"""
+
+
+_STAMP = rf"^\s*(?:({fv.DATE})(?:\s+|T)|((?:{fv.MONTH_NAMES})\s+\d{{1,2}})\s+|(\d{{6}})-)?({fv.CLOCK})(?:\.(\d{{1,6}}))?"
+
+
+def _stamp(n: int) -> str:
+    return f"regexp_extract(log, {q(_STAMP)}, {n})"
+
+
+EVENT_MICROS = f"""(epoch_us(CAST(CASE WHEN {_stamp(1)} <> '' THEN CAST({_stamp(1)} AS DATE)
+  WHEN {_stamp(2)} <> '' THEN CAST(strptime('1972 ' || {_stamp(2)}, '%Y %b %d') AS DATE)
+  WHEN {_stamp(3)} <> '' THEN CAST(strptime('20' || {_stamp(3)}, '%Y%m%d') AS DATE) ELSE DATE '1970-01-01' END AS TIMESTAMP))
+  + (CAST({_stamp(4)}[1:2] AS BIGINT) * 3600 + CAST({_stamp(4)}[4:5] AS BIGINT) * 60 + CAST({_stamp(4)}[7:8] AS BIGINT)) * 1000000
+  + CAST(rpad({_stamp(5)}, 6, '0') AS BIGINT))"""
+
+
+def frequencies(rules: Rules) -> str:
+    """Operations of a component that came again too soon, by a self join on time."""
+    rows = ", ".join(f"({q(r.component)}, {q(r.name)}, {r.seconds!r})" for r in rules.component_rules if r.kind == "frequent_operation")
+    return f"""WITH seen AS (SELECT file, plugin, name, CAST(seconds AS DOUBLE) AS seconds, {EVENT_MICROS} AS at_micros, line, log FROM ({_RULED})
+      JOIN (VALUES {rows}) r(component, name, seconds) ON plugin = component AND contains(log, name)),
+      instants AS (SELECT file, plugin, name, seconds, at_micros, count(*) AS n, min(line) AS line, arg_min(log, line) AS log FROM seen GROUP BY ALL),
+      counted AS (SELECT a.*, (SELECT CAST(sum(b.n) AS BIGINT) FROM instants b WHERE b.file = a.file AND b.plugin = a.plugin AND b.name = a.name
+        AND b.at_micros <= a.at_micros AND b.at_micros > a.at_micros - seconds * 1000000) AS within FROM instants a)
+      SELECT 'frequent_operation' AS category, file, line, plugin, concat('Frequent operation: ', name, ' came ', within, ' times within ',
+      seconds, ' s') AS reason, log, at_micros, n, within FROM counted WHERE within > 1"""
+
+
+def ignored(rules: Rules, column: str = "log") -> str:
+    """The first ignore pattern found in a line."""
+    return "CASE " + " ".join(f"WHEN {found(column, p)} THEN {q(p)}" for p in rules.ignore_patterns) + " END"

@@ -89,6 +89,25 @@ DEVICE_LOG = """CASE CAST(event_id % 42 AS INT)
  WHEN 40 THEN concat(@clock@, ' [a] WARN could not load [ThermalMfrImpl.h:9]')
  ELSE concat(@clock@, ' TRACE [LinchPinClient.cpp:', user_id, '] [main] sync 1234 id=', event_id % 6) END"""
 
+# Lines of components with rules of their own: operations, states, events, readings.
+COMPONENT_LOG = """CASE CAST(event_id % 16 AS INT)
+ WHEN 0 THEN concat(@clock@, ' INFO [NetworkManagerImplementation.cpp:', event_id % 400, '] doPing host')
+ WHEN 1 THEN concat(@micro@, ' INFO [NetworkManagerJsonRpc.cpp:7] getIPSettings and doPing')
+ WHEN 2 THEN concat(@clock@, ' [mod=NetworkManager, lvl=INFO] isConnectedToInternet ', event_type)
+ WHEN 3 THEN concat(@full@, ' INFO [NetworkManagerConnectivity.cpp:7] getIPSettings')
+ WHEN 4 THEN concat(@iso@, ' INFO [NetworkManagerJsonRpc.cpp:7] getIPSettings')
+ WHEN 5 THEN concat(@compact@, ' INFO [NetworkManagerJsonRpc.cpp:7] doPing')
+ WHEN 6 THEN concat(@month@, ' INFO [NetworkManagerJsonRpc.cpp:7] doPing')
+ WHEN 7 THEN concat(@clock@, ' [MaintenanceManager.cpp:5] state MAINTENANCE_ERROR after MAINTENANCE_FAILED')
+ WHEN 8 THEN concat(@clock@, ' [SystemServices.cpp:5] event FIRMWARE_UPDATE_STATE ', event_type)
+ WHEN 9 THEN concat(@clock@, ' [AuthServiceImplementation.cpp:5] GetExperience and readBytesFromPathParts')
+ WHEN 10 THEN concat(@clock@, ' [ThermalController.cpp:7] temperature: ', event_id % 61 + 40, '.5 fan=', event_id % 3)
+ WHEN 11 THEN concat(@clock@, ' [ThermalMfrImpl.h:9] Temperature ', event_id % 50 + 50, ' of limit 90, temperature is ', user_id)
+ WHEN 12 THEN concat(@clock@, ' [Bar.cpp:7] temperature: 99 MAINTENANCE_ERROR doPing')
+ WHEN 13 THEN concat(@clock@, ' INFO heartbeat error message of ', event_type)
+ WHEN 14 THEN concat(@clock@, ' DEBUG timer failed, then succeeded; response: success')
+ ELSE concat('undated [NetworkManagerJsonRpc.cpp:7] doPing temperature: 99 ', event_type) END"""
+
 APP_FILE = "concat('app', user_id % 5, '.log')"
 DEVICE_FILE = "concat('dev', user_id % 3, '.log')"
 TEST_NAME = "concat('Suite', user_id % 3, '.Case', user_id)"
@@ -131,6 +150,11 @@ def device_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir, DEVICE_FILE, DEVICE_LOG)
 
 
+def component_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per event of a component that has rules of its own, or of one that has none."""
+    return _lines(spark, sf_dir, DEVICE_FILE, COMPONENT_LOG)
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return app_lines(spark, sf_dir).unionByName(device_lines(spark, sf_dir))
 

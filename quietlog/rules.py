@@ -21,9 +21,63 @@ class RulesError(ValueError):
     """A rule set that cannot be used."""
 
 
+@dataclass(frozen=True)
+class ComponentRule:
+    """One rule for the lines of one component.
+
+    ``kind`` is critical_state, warning_event or sensitive_operation (a text that counts where it stands),
+    frequent_operation (a text that may not come again within ``seconds``) or threshold (a
+    reading called ``name`` in [low, high) has the grade).
+    """
+
+    component: str
+    kind: str
+    name: str
+    grade: str | None = None
+    low: float | None = None
+    high: float | None = None
+    seconds: float | None = None
+
+
+COMPONENT_RULE_SCHEMA = (
+    "component string, kind string, name string, grade string, low double, high double, seconds double"
+)
+_LISTED_KINDS = {
+    "critical_states": "critical_state", "warning_events": "warning_event",
+    "sensitive_operations": "sensitive_operation", "frequent_operations": "frequent_operation",
+}
+
+
+def parse_component_rules(raw: Any) -> list[ComponentRule]:
+    """Rules per component from a parsed mapping; keys that are not known have no effect.
+
+    Thresholds are named ``<reading>_<grade>``; a grade holds from its bound up to the next
+    greater one of the same reading.
+    """
+    out = []
+    try:
+        for component, given in (raw or {}).items():
+            for key, kind in _LISTED_KINDS.items():
+                seconds = float(given["acceptable_frequency"]) if kind == "frequent_operation" and given.get(key) else None
+                out += [ComponentRule(str(component), kind, str(v), seconds=seconds) for v in given.get(key) or []]
+            bounds: dict[str, list[tuple[float, str]]] = {}
+            for name, bound in (given.get("thresholds") or {}).items():
+                reading, _, grade = str(name).rpartition("_")
+                bounds.setdefault(reading, []).append((float(bound), grade))
+            for reading, grades in bounds.items():
+                lows = sorted(grades)
+                highs = [*[low for low, _ in lows[1:]], float("inf")]
+                out += [
+                    ComponentRule(str(component), "threshold", reading, grade, low, high) for (low, grade), high in zip(lows, highs)
+                ]
+    except (AttributeError, KeyError, TypeError, ValueError) as e:
+        raise RulesError(f"component rules can't be used: {e!r}") from e
+    return out
+
+
 @dataclass(frozen=True)
 class Rules:
-    """The four lists that drive the three line checks."""
+    """The four lists that drive the three line checks, and what is applied on request only."""
 
     sensitive_patterns: list[str] = field(default_factory=lambda: list(fv.SENSITIVE_PATTERNS))
     failure_keywords: list[str] = field(default_factory=lambda: list(fv.FAILURE_KEYWORDS))
@@ -31,11 +85,18 @@ class Rules:
     required_severity_on_failure: list[str] = field(
         default_factory=lambda: list(fv.REQUIRED_SEVERITY_ON_FAILURE)
     )
+    ignore_patterns: list[str] = field(default_factory=list)
+    component_rules: list[ComponentRule] = field(default_factory=list)
 
     def as_dict(self) -> dict[str, list[str]]:
         return {kind: list(getattr(self, kind)) for kind in fv.RULE_KINDS}
 
 
+def declared_rules() -> Rules:
+    """The default lists together with the ignore patterns and component rules declared beside them."""
+    return Rules(ignore_patterns=list(fv.IGNORE_PATTERNS), component_rules=parse_component_rules(fv.COMPONENT_RULES))
+
+
 @dataclass(frozen=True)
 class Components:
     """Names of a site's components: by source file, and by texts a line mentions (in order)."""
@@ -64,13 +125,18 @@ def load_components(spark: SparkSession, path: str) -> Components:
 
 
 def validate_rules(raw: Any) -> Rules:
-    """Check a parsed mapping; further keys are allowed and have no effect."""
+    """Check a parsed mapping; ``ignore_patterns`` and ``component_rules`` may be missing, further
+    keys are allowed and have no effect."""
     if not isinstance(raw, dict):
         raise RulesError("rules are empty or not a mapping")
     missing = [kind for kind in fv.RULE_KINDS if raw.get(kind) is None]
     if missing:
         raise RulesError("rules lack required keys: " + ", ".join(missing))
-    return Rules(**{kind: [str(v) for v in raw[kind]] for kind in fv.RULE_KINDS})
+    return Rules(
+        **{kind: [str(v) for v in raw[kind]] for kind in fv.RULE_KINDS},
+        ignore_patterns=[str(v) for v in raw.get("ignore_patterns") or []],
+        component_rules=parse_component_rules(raw.get("component_rules")),
+    )
 
 
 def parse_rules(text: str) -> Rules:
@@ -164,8 +230,9 @@ def check_patterns(spark: SparkSession, rules: Rules) -> Rules:
             return False
         return True
 
-    if rules.sensitive_patterns and not accepted(rules.sensitive_patterns):
-        refused = [p for p in rules.sensitive_patterns if not accepted([p])]
+    patterns = [*rules.sensitive_patterns, *rules.ignore_patterns]
+    if patterns and not accepted(patterns):
+        refused = [p for p in patterns if not accepted([p])]
         raise RulesError("not valid patterns: " + ", ".join(refused))
     return rules
 
@@ -185,6 +252,12 @@ def rules_table(spark: SparkSession, rules: Rules) -> DataFrame:
     return spark.createDataFrame(rows, RULES_SCHEMA)
 
 
+def component_rules_table(spark: SparkSession, rules: Rules) -> DataFrame:
+    """The component rules as rows, for the operators that join them."""
+    rows = [(r.component, r.kind, r.name, r.grade, r.low, r.high, r.seconds) for r in rules.component_rules]
+    return spark.createDataFrame(rows, COMPONENT_RULE_SCHEMA)
+
+
 def rules_from_table(table: DataFrame) -> Rules:
     """Inverse of :func:`rules_table`; a kind without rows is an empty list."""
     values: dict[str, list[str]] = {kind: [] for kind in fv.RULE_KINDS}
