@@ -9,16 +9,20 @@ from quietlog import fixed_values as fv
 from quietlog.functions.text import pattern
 
 
-def _volatile(with_epoch: bool) -> str:
+def _volatile(with_epoch: bool, digits: bool = True, colon: bool = True) -> str:
     """One alternation of all volatile parts, in their order, made cheap to fail.
 
     Nearly every position of a line fails, so alternatives that start with the same few
-    characters stand behind one look-ahead, the time shapes behind one look-behind.
+    characters stand behind one look-ahead, the time shapes behind one look-behind. Parts that need a
+    digit or a colon are left out for texts that have none.
     """
 
     def behind(first: str, parts: list[str]) -> str:
         return f"(?={first})(?:{'|'.join(parts)})"
 
+    tags = [t for t in fv.VOLATILE_TAGS if (colon or not t.endswith(":")) and (digits or not t.startswith("0x"))]
+    if not digits:
+        return pattern("|".join(tags), "(?iUd)")
     # A run of name characters is scanned from its first one (or where the last hit ended)
     # only: a scan from any later one would run into the same end.
     name = fv.VOLATILE_PROCESS[: fv.VOLATILE_PROCESS.index("+")]
@@ -31,15 +35,27 @@ def _volatile(with_epoch: bool) -> str:
             behind("l", fv.VOLATILE_LINE_IDS),
             behind(r"\d", [fv.VOLATILE_NUMBER]),
             process,
-            *fv.VOLATILE_TAGS,
+            *tags,
         ]),
         "(?iUd)",
     )
 
 
+# A run of white space that is not just one blank.
+_RUN = f"{fv.SPACE}{{2,}}|(?! ){fv.SPACE}"
+
+
 def _key(message: Column, with_epoch: bool) -> Column:
-    stable = F.regexp_replace(message, _volatile(with_epoch), " ")
-    return F.lower(F.trim(F.regexp_replace(stable, pattern(f"{fv.SPACE}+"), " ")))
+    """The key; a text is searched only for the parts whose digits or colon it has."""
+    digits, colon = message.rlike(pattern(r"\d")), message.contains(":")
+
+    def blanked(has_digits: bool, has_colon: bool) -> Column:
+        return F.regexp_replace(message, _volatile(with_epoch, has_digits, has_colon), " ")
+
+    with_digits = F.when(colon, blanked(True, True)).otherwise(blanked(True, False))
+    without = F.when(colon, blanked(False, True)).otherwise(blanked(False, False))
+    stable = F.when(digits, with_digits).otherwise(without)
+    return F.lower(F.trim(F.regexp_replace(stable, pattern(_RUN), " ")))
 
 
 def normalize(message: Column) -> Column:

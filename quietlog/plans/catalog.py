@@ -19,12 +19,13 @@ from quietlog.operators import testruns as tr
 from quietlog.operators.ordering import row_numbers
 from quietlog.plans import oracle as sql
 from quietlog.plans import tables as tb
-from quietlog.plans.jobs import analyze, find_filewise_repeats, find_repeats_in, record_analysis
+from quietlog.plans.jobs import analyze, find_filewise_repeats, find_repeats_in, record_analysis, summarize_test_runs
 from quietlog.rules import Rules, component_rules_table, declared_rules, load_rules, parse_rules, save_rules
 from quietlog.session import cut, scratch_path
 from quietlog.sinks import reports as rep
 from quietlog.sources import archives as arc
 from quietlog.sources import lines as src
+from quietlog.streaming import duplicates_stream as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,7 +105,8 @@ per_line("f14_redact_off", lambda log: ft.redact(log, RULES), "shown", "log")
     f"SELECT doc_id, pos, {sql.sensitive(RULES, 'message', unicode_edges=True)} AS sensitive FROM ({sql.DOCUMENTS})",
 )
 def f10_documents(spark, sf):
-    lines = arc.explode_lines(tb.table(spark, sf, "documents").select("doc_id", "text"), "text", ["doc_id"])
+    documents = tb.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    lines = arc.explode_lines(documents, "text", ["doc_id"])
     return lines.select("doc_id", "pos", ft.is_sensitive(F.col("message"), RULES).alias("sensitive"))
 
 
@@ -291,7 +293,7 @@ def r10(spark, sf):
 
 # ---- sources -------------------------------------------------------------------------
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 12
 
 
 @register(
@@ -307,7 +309,7 @@ def s1(spark, sf):
     )
     by_chunk = lines.repartition("chunk").sortWithinPartitions("chunk", "event_id")
     by_chunk.select("chunk", "log").write.partitionBy("chunk").text(folder)
-    numbered = src.number_lines(src._physical_lines(spark, folder))
+    numbered = src.number_lines(src.physical_lines(spark, folder))
     chunk = F.element_at(F.split("path", "/"), -2)
     return numbered.select(chunk.alias("chunk"), "line", tx.rstrip(tx.drop_bad_bytes(F.col("value"))).alias("log"))
 
@@ -445,6 +447,9 @@ def a4_archive(spark, sf):
     return arc.read_archive_stats(spark, folder)
 
 
+_STREAM_FILES = 16
+
+
 def _text_files(spark: SparkSession, sf: str) -> str:
     """Folder with the documents as text files, a folder per source; its rows are spread over all tasks."""
     folder = scratch_path(spark, "texts")
@@ -470,6 +475,17 @@ def j3(spark, sf):
     return find_filewise_repeats(arc.read_filewise_entries(spark, folder)).select("grp", "cnt", "line")
 
 
+@register("a2_dups_stream", f"SELECT key, cnt FROM ({sql.groups(sql.APP_ENTRIES)})")
+def a2_stream(spark, sf):
+    """Duplicates of a folder read as a stream, a few files per micro-batch."""
+    folder, out, state = (scratch_path(spark, name) for name in ("stream-in", "stream-out", "stream-state"))
+    tb.app_lines(spark, sf).select("log").repartition(_STREAM_FILES).write.text(folder)
+    stream = streaming.stream_entries(spark, folder, files_per_batch=_STREAM_FILES // 4)
+    query = streaming.write_running(stream, out, state, available_now=True)
+    query.awaitTermination()
+    return streaming.read_running(spark, out)
+
+
 @register("j6_rules", sql.findings(CUSTOM_RULES).replace("level NOT IN ()", "true"))
 def j6(spark, sf):
     """A rule set stored, loaded again and used."""
@@ -524,6 +540,28 @@ register(
     + f" FROM ({sql.results(RULES)})",
 )(lambda spark, sf: tr.issue_totals(_results(spark, sf)))
 
+
+
+@register(
+    "j4_test_runs",
+    f"""SELECT r.*, 1 AS summary_rows, CASE WHEN total_issues IS NULL THEN 0 ELSE total_issues END AS report_rows,
+    CASE WHEN total_issues IS NULL THEN 0 ELSE 1 END AS reports FROM ({sql.results(RULES)}) r""",
+)
+def j4(spark, sf):
+    """The job with its reports, which are read back: rows per test in the summary and in the test's own report."""
+    path = scratch_path(spark, "test-runs")
+    results = summarize_test_runs(_tests(spark, sf), tb.test_lines(spark, sf), RULES, path)
+    row = r"^<tr class=.[a-z]+.><td>([^<]*)</td>"
+    listed = spark.read.text(f"{path}/summary").select(F.regexp_extract("value", row, 1).alias("test_name"))
+    listed = listed.where("test_name <> ''").groupBy("test_name").agg(F.count(F.lit(1)).cast("int").alias("summary_rows"))
+    own = spark.read.text(f"{path}/tests").groupBy("report").agg(
+        F.count_if(F.col("value").startswith("<tr><td>")).alias("report_rows"),
+        F.count_if(F.col("value").contains("</body>")).cast("int").alias("reports"),
+    )
+    both = results.join(listed, "test_name").withColumn("report", tx.report_name(F.col("test_name"))).join(own, "report", "left")
+    return both.drop("report").fillna(0, ["report_rows", "reports"])
+
+
 _SEEN = "CASE WHEN total_issues IS NULL THEN '<td>-</td>' ELSE concat('<td>', {c}, '</td>') END"
 
 

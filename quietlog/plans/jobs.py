@@ -15,7 +15,7 @@ from quietlog.operators import findings as fnd
 from quietlog.operators import history as hist
 from quietlog.operators import testruns as tr
 from quietlog.rules import Components, Rules, component_rules_table, declared_rules
-from quietlog.session import cut
+from quietlog.session import as_lookup, cut
 from quietlog.sinks import reports as rep
 from quietlog.sources import archives, lines as src
 
@@ -150,7 +150,8 @@ def summarize_test_runs(
         report = rep.consolidated_report(results, tr.status_counts(tests), tr.issue_totals(results), "test_name")
         rep.write_report(report, f"{report_path}/summary", ["part", "test_name"])
         named = tests.select(F.col("log_file").alias("file"), report_name(F.col("test_name")).alias("report"), "test_name")
-        single = rep.findings_report(analyze(lines, rules), counts).join(named, "file")
+        # a log with any share of all lines stays spread over its tasks
+        single = rep.findings_report(analyze(lines, rules), counts).join(as_lookup(cut(named, "reports")), "file")
         # tests whose safe names are equal come one after another
         rep.write_report(single, f"{report_path}/tests", ["test_name", "section", "part", "line"], by="report")
     return results

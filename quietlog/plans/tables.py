@@ -187,7 +187,8 @@ def text_entries(
     spark: SparkSession, sf_dir: str, name: str, text: str, ids: list[str], file: str, strip: bool = True
 ) -> DataFrame:
     """``(file, ord, message)`` of the lines of a text column; ``ids`` number the texts."""
-    df = table(spark, sf_dir, name).select(*ids, F.col(file).alias("file"), text)
+    # the given tables are one row group each: dealt out, so that the lines are the work of all tasks
+    df = table(spark, sf_dir, name).select(*ids, F.col(file).alias("file"), text).repartition(*ids)
     lines = explode_lines(df, text, [*ids, "file"], strip_lines=strip)
     if len(ids) == 1:
         place = F.shiftleft(F.col(ids[0]), 24) + F.col("pos")

@@ -14,8 +14,6 @@ from quietlog.functions.text import base_name, drop_bad_bytes, is_blank, pattern
 from quietlog.operators.ordering import running_total
 from quietlog.session import cut
 
-# Room in ``ord`` for the pieces of one physical line.
-_PIECE_BITS = 20
 _MIN_SPLITS = "spark.sql.files.minPartitionNum"
 # Splits whose starts are broadcast (24 bytes each); 100 TB in splits of 128 MiB are 800,000.
 _BROADCAST_SPLITS = 4_000_000
@@ -32,7 +30,7 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set(_MIN_SPLITS, str(spark.sparkContext.defaultParallelism))
 
 
-def _physical_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+def physical_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Every physical line with its split and a number that grows inside the split; line
     numbers need a counting pass over the same splits."""
     pin_splits(spark)
@@ -53,28 +51,45 @@ def real_path(path: Column) -> Column:
     return F.regexp_replace(plain, "^file:/+", "file:///")  # listings and scans write it differently
 
 
-def number_lines(raw: DataFrame, across_files: bool = False) -> DataFrame:
-    """Adds ``line``, counted from 1 per file, and ``ord`` over all files if asked for.
+def number_lines(raw: DataFrame, pieces: Column | None = None) -> DataFrame:
+    """Adds ``line``, counted from 1 per file.
 
     One extra pass counts the rows of each split (no text is read back into memory or
     shuffled); line = lines in earlier splits + place inside the split. A file may be
     cut into any number of splits, and no file is ever gathered in one task.
+
+    With ``pieces``, the number of pieces into which a line is cut further, ``ord`` is added: the place of a
+    line's first piece among the pieces of all files, without gaps. Two sums make it up: the
+    pieces of earlier splits, and the lines before in the split. Only splits with a line of more
+    than one piece (form feeds and other rare line ends) need the latter to be summed up in
+    order, which is a window of the size of a split over these splits alone.
     """
-    splits = cut(
-        raw.groupBy("path", "block").agg(F.min("_seq").alias("_first"), F.count("*").alias("_rows"))
-    )
+    counts = [F.min("_seq").alias("_first"), F.count("*").alias("_rows")]
+    if pieces is not None:
+        counts += [F.sum(pieces.cast("bigint")).alias("_pieces"), (F.max(pieces) > 1).alias("_crowded")]
+    splits = cut(raw.groupBy("path", "block").agg(*counts))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = splits.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    if across_files:
-        order = [F.col("path"), F.col("block")]
-        placed = running_total(placed, F.col("_rows"), order, name="_ord_offset")
+    if pieces is not None:
+        placed = running_total(placed, F.col("_pieces"), [F.col("path"), F.col("block")], name="_ord_offset")
     starts = cut(placed.select(
         F.xxhash64("path", "block").alias("_split"), (F.col("_offset") - F.col("_first")).alias("_start"),
-        *([(F.col("_ord_offset") - F.col("_first")).alias("_ord_start")] if across_files else []),
+        *([(F.col("_ord_offset") - F.col("_first")).alias("_ord_start"), "_crowded"] if pieces is not None else []),
     ))
     n, distinct = starts.agg(F.count(F.lit(1)), F.count_distinct("_split")).first()
     if n != distinct:
         raise RuntimeError("two splits share a hash: rename a file or change the split size")
+    numbered = _with_starts(raw, starts, n)
+    columns = ["path", "line", *(["ord"] if pieces is not None else []), "value"]
+    if pieces is None or starts.filter("_crowded").isEmpty():
+        return numbered.select(*columns)
+    before = Window.partitionBy("_split").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    crowded = numbered.filter("_crowded").withColumn("ord", F.col("ord") + F.coalesce(F.sum(pieces - 1).over(before), F.lit(0)))
+    return numbered.filter("not _crowded").select(*columns).unionByName(crowded.select(*columns))
+
+
+def _with_starts(raw: DataFrame, starts: DataFrame, n: int) -> DataFrame:
+    """``raw`` with ``line``, and ``ord`` as far as the start of its split tells it."""
     if n <= _BROADCAST_SPLITS:
         starts = F.broadcast(starts)
     on = F.xxhash64("path", "block") == F.col("_split")
@@ -84,10 +99,12 @@ def number_lines(raw: DataFrame, across_files: bool = False) -> DataFrame:
         # a split that was not counted means the files changed in between: stop, do not lose lines
         return F.when(F.col("_start").isNull(), changed).otherwise(number)
 
-    numbers = [counted(F.col("_start") + F.col("_seq") + 1).alias("line")]
-    if across_files:
-        numbers.append(counted(F.col("_ord_start") + F.col("_seq")).alias("ord"))
-    return raw.join(starts, on, "left").select("path", *numbers, "value")
+    numbered = raw.join(starts, on, "left").withColumn("line", counted(F.col("_start") + F.col("_seq") + 1))
+    if "_ord_start" not in starts.columns:
+        return numbered
+    return numbered.withColumn("ord", counted(F.col("_ord_start") + F.col("_seq"))).withColumn(
+        "_crowded", F.coalesce("_crowded", F.lit(False))
+    )
 
 
 def read_log_lines(
@@ -98,7 +115,7 @@ def read_log_lines(
     Every physical line counts for the number, blank ones too. Without numbers (``line``
     is null), the files are read once instead of twice: enough for counts per file.
     """
-    raw = _physical_lines(spark, path, glob)
+    raw = physical_lines(spark, path, glob)
     if numbered:
         raw = number_lines(raw)
     else:
@@ -160,18 +177,16 @@ def _entries(spark: SparkSession, paths: str | list[str], name: str, stripped: b
     """``(file, ord, <name>)``: non-blank lines of whole files, in encounter order.
 
     Physical lines are cut further at the line ends that text readers do not know (form
-    feed, U+2028 and so on); ``ord`` leaves room for the pieces of a line.
+    feed, U+2028 and so on); ``ord`` counts pieces and has no gaps.
     """
     text = F.make_valid_utf8("value")
     pieces = F.when(text.rlike(fv.LINE_END), F.split(text, fv.LINE_END)).otherwise(F.array(text))
     # a filter on the path prunes the listing: archives are not opened
-    plain = _physical_lines(spark, paths).filter(~is_archive_name(F.col("path")))
-    numbered = number_lines(plain, across_files=True)
+    plain = physical_lines(spark, paths).filter(~is_archive_name(F.col("path")))
+    numbered = number_lines(plain, F.size(pieces))
     lines = numbered.select("path", "ord", F.posexplode(pieces).alias("_pos", "_text")).filter(~is_blank(F.col("_text")))
-    too_many = F.raise_error(F.lit("more pieces in one physical line than ord has room for")).cast("bigint")
-    place = F.when(F.col("_pos") < 2**_PIECE_BITS, F.shiftleft("ord", _PIECE_BITS) + F.col("_pos")).otherwise(too_many)
     shown = strip(F.col("_text")) if stripped else F.col("_text")
-    return lines.select(real_path(F.col("path")).alias("file"), place.alias("ord"), shown.alias(name))
+    return lines.select(real_path(F.col("path")).alias("file"), (F.col("ord") + F.col("_pos")).alias("ord"), shown.alias(name))
 
 
 def read_entries(spark: SparkSession, base_path: str) -> DataFrame:
@@ -186,7 +201,7 @@ def read_entries(spark: SparkSession, base_path: str) -> DataFrame:
 def read_line_stats(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(status, n)`` of plain files: lines kept (``ok``) and blank (``skip``), counted map-side."""
     text = F.make_valid_utf8("value")
-    plain = _physical_lines(spark, path).filter(~is_archive_name(F.col("path")))
+    plain = physical_lines(spark, path).filter(~is_archive_name(F.col("path")))
     pieces = F.when(text.rlike(fv.LINE_END), F.split(text, fv.LINE_END)).otherwise(F.array(text))
     kept = F.when(is_blank(F.col("_text")), "skip").otherwise("ok")
     return plain.select(F.explode(pieces).alias("_text")).select(kept.alias("status")).groupBy("status").agg(

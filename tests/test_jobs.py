@@ -2,6 +2,7 @@
 
 import html
 import json
+import os
 import re
 import tarfile
 from datetime import datetime, timezone
@@ -10,9 +11,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import quietlog as ql
+from quietlog.operators import duplicates as dup
+from quietlog.operators import findings as fnd
+from quietlog.operators import history as hist
 from quietlog.operators import testruns as tr
 from quietlog.plans import tables as tb
+from quietlog.plans.jobs import analyze, record_analysis, summarize_test_runs
+from quietlog.rules import Rules
 from quietlog.sinks import reports as rep
+from quietlog.streaming import duplicates_stream as dstream
 from quietlog.streaming.findings_stream import stream_findings
 
 LOG = """04:31:14 INFO [FooService.cpp:1] <up> & "running"
@@ -219,3 +226,62 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "sink")).drop("line")
     batch = ql.analyze_files(spark, str(logs)).drop("line")
     assert got.exceptAll(batch).count() == 0 and got.count() == batch.count() == 4
+
+
+def test_streamed_duplicates_equal_the_whole(spark, tmp_path):
+    logs, whole = tmp_path / "logs", []
+    logs.mkdir()
+    for i in range(6):
+        lines = [f"{h:02}:00:0{k % 10}.{i} INFO poll {k % 3} pid={k}" for h in (1, 2) for k in range(20)] + [f"only {chr(97 + i)} x", "", "same\x0csame"]
+        (logs / f"{i}.log").write_text("\n".join(lines) + "\n")
+        whole += [x.strip() for line in lines for x in line.split("\x0c") if x.strip()]
+    entries = spark.createDataFrame([("f", i, m) for i, m in enumerate(whole)], "file string, ord bigint, message string")
+    expected = {r["key"]: r["cnt"] for r in dup.find_duplicates(entries).collect()}
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    stream = dstream.stream_entries(spark, str(logs), files_per_batch=2)
+    dstream.write_running(stream, out, state, available_now=True).awaitTermination()
+    assert {r["key"]: r["cnt"] for r in dstream.read_running(spark, out).collect()} == expected
+    assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
+    # new files are added to the counts that are kept
+    (logs / "new.log").write_text("same\nsame\n")
+    dstream.write_running(dstream.stream_entries(spark, str(logs)), out, state, available_now=True).awaitTermination()
+    assert {r["key"]: r["cnt"] for r in dstream.read_running(spark, out).collect()} == {**expected, "same": expected["same"] + 2}
+
+
+def test_streamed_spans_are_closed_by_the_watermark(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for i in range(4):  # a file per hour, in the order of their names and ages
+        (logs / f"{i}.log").write_text("".join(f"2024-01-01 0{i}:{m:02}:00 INFO tick\n" for m in range(0, 60, 10)))
+        os.utime(logs / f"{i}.log", (1_700_000_000 + i, 1_700_000_000 + i))
+    (logs / "5.log").write_text("2024-01-01 00:59:00 INFO tick\n2024-01-01 09:00:00 INFO tick\n")  # too late for the first span
+    spans = dstream.windowed_duplicates(dstream.stream_entries(spark, str(logs), files_per_batch=1))
+    query = spans.writeStream.outputMode("append").format("memory").queryName("spans").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = {r["opens"].hour: (r["cnt"], r["first_at"].minute) for r in spark.sql("SELECT * FROM spans").collect()}
+    assert rows == {h: (6, 0) for h in range(4)}
+
+
+def test_lookup_of_one_run_reads_one_folder(spark, tmp_path, capsys):
+    path = str(tmp_path / "history")
+    lines = spark.createDataFrame(
+        [(f"{i % 40}.log", i, f"01:02:03 INFO line {i}") for i in range(400)], "file string, line bigint, log string")
+    found = analyze(lines)
+    record_analysis(found, fnd.summarize_lines(lines, Rules()), path, run_id="r")
+    run = hist.read_history(spark, path).orderBy("filename").first()
+    one = hist.stored_findings(spark, path, run["run_id"])
+    assert {r["file"] for r in one.collect()} == {run["filename"]} and one.count() == 10
+    one.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(bucket" in plan and f"EqualTo(run_id,{run['run_id']})" in plan
+    assert hist.stored_findings(spark, path).count() == 400
+
+
+def test_reports_of_tests_that_share_a_log(spark, tmp_path):
+    lines = spark.createDataFrame([("a.log", i, f"01:02:03 INFO {i}") for i in range(30)], "file string, line bigint, log string")
+    tests = spark.createDataFrame(
+        [("S.a", 0, "PASSED", "a.log"), ("S.b", 1, "FAILED", "a.log"), ("S.c", 0, "PASSED", None)],
+        "test_name string, return_code int, status string, log_file string")
+    summarize_test_runs(tests, lines, report_path=str(tmp_path / "r"))
+    own = spark.read.text(f"{tmp_path}/r/tests").groupBy("report").agg(F.count_if(F.col("value").startswith("<tr><td>")).alias("n"))
+    assert {r["report"]: r["n"] for r in own.collect()} == {"report_S_a.html": 30, "report_S_b.html": 30}

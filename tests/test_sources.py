@@ -85,7 +85,7 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
         wrong = rows.filter(F.split("log", " ")[0].cast("bigint") != F.col("line")).count()
         assert wrong == 0 and rows.count() == 12000
         entries = src.read_entries(spark, str(tmp_path / "x.log"))
-        assert [r["ord"] for r in entries.orderBy("ord").collect()] == [i << 20 for i in range(6000)]
+        assert [r["ord"] for r in entries.orderBy("ord").collect()] == list(range(6000))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
@@ -227,3 +227,20 @@ def test_source_filters(spark):
     assert kept("log_name") == ["a.LOG", "a.txt.1", "c.log", "d/e.sh.3"]
     with pytest.raises(ValueError):
         kept("other")
+
+
+def test_order_of_lines_has_no_gaps_and_no_limit_of_pieces(spark, tmp_path):
+    """A physical line of more than a million pieces, in a split of its own, between plain ones."""
+    many = "p\x0c" * (1 << 20) + "end"
+    (tmp_path / "a.log").write_text("one\ntwo\x0cthree\n" + many + "\nafter\n")
+    (tmp_path / "a.log.1").write_text("x\n\ny\n" * 3000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        rows = src.read_entries(spark, str(tmp_path / "a.log"))
+        counted = rows.groupBy("file").agg(F.min("ord"), F.max("ord"), F.count_distinct("ord"), F.count("*")).collect()
+        head = [r["message"] for r in rows.filter("ord < 5 or message in ('end', 'after')").orderBy("ord").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    pieces = 1 + 2 + (1 << 20) + 1 + 1
+    assert sorted(tuple(r)[1:] for r in counted) == [(0, pieces - 1, pieces, pieces), (pieces, pieces + 8999 - 0, 6000, 6000)]
+    assert head == ["one", "two", "three", "p", "p", "end", "after"]
