@@ -44,7 +44,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "certified", F.array_join("rejected_by", ",").alias("rejected_by"),
     )
 
 
@@ -153,6 +154,43 @@ kept AS (SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_remove
   string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)""",
+    "op4_quality": r"""
+WITH texts AS (SELECT doc_id, coalesce(CAST(lang AS VARCHAR), '') AS stratum, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+numbered AS (SELECT *, row_number() OVER () AS row, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+windows AS (SELECT row, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS k FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS p FROM numbered)),
+again AS (SELECT row, unnest(range(p, p + 3)) AS p FROM windows QUALIFY count(*) OVER (PARTITION BY row, k) > 1),
+repeats AS (SELECT row, count(DISTINCT p) AS n FROM again GROUP BY row),
+counts AS (SELECT row, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+  length(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks FROM numbered LEFT JOIN repeats USING (row)),
+bins AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  [least(1000, 1000 * n_symbols // greatest(1, word_chars)), least(1000, 1000 * n_dup_lines // greatest(1, n_lines)),
+   least(1000, 1000 * n_repeat_words // greatest(1, n_words)), least(1000, 1000 * n_upper // greatest(1, word_chars)),
+   least(1000, 1000 * n_marks // greatest(1, n_words)), least(1000, 100 * word_chars // greatest(1, n_words) // 2),
+   1000 - least(1000, 100 * word_chars // greatest(1, n_words) // 2)] AS b FROM counts),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) > 0),
+held AS (SELECT row, stratum, b, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: CAST(ascii(c) AS BIGINT))), lambda r, x: list_reduce(list_prepend(xor(r, x), range(8)),
+    lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 3 = 0 AS curve FROM bins JOIN good USING (doc_id) WHERE NOT base_failed),
+sizes AS (SELECT stratum, count(*) FILTER (WHERE curve) AS n_curve, count(*) FILTER (WHERE NOT curve) AS n_holdout FROM held GROUP BY stratum),
+spread AS (SELECT row, stratum, curve, unnest(range(1, 8)) AS rule, unnest(b) AS bin FROM held),
+good_bins AS (SELECT stratum, rule, list(bin) AS seen, max(bin) AS last, quantile_disc(bin, 0.5) AS middle FROM spread WHERE curve GROUP BY stratum, rule),
+tails AS (SELECT row, min(CASE WHEN bin > last THEN -((bin - last) * 8 // greatest(4, last - middle)) ELSE len(list_filter(seen, lambda x: x >= bin)) END) AS tail
+  FROM spread JOIN good_bins USING (stratum, rule) WHERE NOT curve GROUP BY row),
+terms AS (SELECT n, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))
+  OVER (PARTITION BY n ORDER BY i) AS below FROM (SELECT n, unnest(range(0, n + 1)) AS i FROM (SELECT DISTINCT n_holdout AS n FROM sizes))),
+limits AS (SELECT stratum, n_curve, n_holdout, coalesce((SELECT max(i) FROM terms WHERE n = n_holdout AND below <= 0.05 / (SELECT count(*) FROM sizes)), -1) AS allowed FROM sizes),
+stops AS (SELECT stratum, min(tail) AS stop FROM (SELECT stratum, tail, row_number() OVER (PARTITION BY stratum ORDER BY tail ROWS UNBOUNDED PRECEDING) AS k,
+  count(*) OVER (PARTITION BY stratum ORDER BY tail) AS rejected FROM held JOIN tails USING (row)) JOIN limits USING (stratum) WHERE rejected > allowed GROUP BY stratum),
+least_tail AS (SELECT stratum, coalesce(stop, n_curve) AS k FROM limits LEFT JOIN stops USING (stratum) WHERE allowed >= 0 AND n_curve > 0),
+ruled AS (SELECT x.row, k, rule, CASE WHEN bin > last THEN -((bin - last) * 8 // greatest(4, last - middle)) ELSE len(list_filter(seen, lambda y: y >= bin)) END AS tail
+  FROM (SELECT row, stratum, unnest(range(1, 8)) AS rule, unnest(b) AS bin FROM bins) x JOIN least_tail USING (stratum) JOIN good_bins USING (stratum, rule)),
+verdicts AS (SELECT row, coalesce(string_agg(['symbols', 'duplicate_lines', 'repeated_words', 'capitals', 'marks', 'long_words', 'short_words'][rule], ',' ORDER BY rule)
+  FILTER (WHERE tail < k), '') AS rejected_by FROM ruled GROUP BY row)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, v.row IS NOT NULL AS certified, coalesce(rejected_by, '') AS rejected_by,
+  NOT base_failed AND coalesce(rejected_by, '') = '' AS kept FROM bins LEFT JOIN verdicts v USING (row)""",
     "op5_contamination": r"""
 WITH lowered AS (
   SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents

@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from quietlog.llm import queries, toxicity
-from tests.llm import test_alignment, test_brown, test_packing, test_quality, test_simhash, test_substrings, test_wumanber
+from tests.llm import test_alignment, test_brown, test_packing, test_simhash, test_substrings, test_wumanber
 
 
 @pytest.fixture(scope="module")
@@ -68,17 +68,6 @@ def test_op3_reassembles_segments_and_measures_revisits_by_payload(spark, sf, tm
     assert got == [(1, 2, "response"), (1, 4, "response"), (2, 2, "revisit")]
 
 
-def test_op4(spark, sf, rows, duck):
-    got = {r["doc_id"]: r for r in queries.op4_quality(spark, sf).collect()}
-    for i, text, _ in rows:
-        counts, r = test_quality.brute(text), got[i]
-        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts
-        assert r["base_failed"] == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
-        assert r["kept"] == (not r["base_failed"] and not r["rejected_by"])
-    good = [i for i, in duck.sql("SELECT doc_id FROM labels WHERE quality = 1").fetchall() if not got[i]["base_failed"]]
-    assert sum(not got[i]["kept"] for i in good) <= 0.05 * len(good)
-
-
 def test_op6(spark, sf, rows):
     packed = queries.op6_packing(spark, sf).collect()
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(i for i, _, _ in rows)
