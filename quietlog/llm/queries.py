@@ -220,30 +220,30 @@ first AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS m FROM pa
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> m THEN m END AS refers_to FROM first""",
     "op8_licenses": r"""
-WITH templates(license, text) AS (VALUES TEMPLATE_ROWS),
+WITH templates AS (SELECT * FROM (VALUES TEMPLATE_ROWS) v(template, license, version, text)),
 files AS (
   SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, doc_id // 1000, doc_id // 100) AS directory,
     CASE WHEN doc_id % 4 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS name FROM documents),
-notices AS (
-  SELECT DISTINCT doc_id, unit FROM (
-    SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n')) AS unit FROM files)
-  WHERE regexp_matches(unit, '(?i)licen[cs]e|copyright|spdx-')),
-units AS (SELECT unit, count(*) AS n FROM notices GROUP BY unit),
-unit_terms AS (SELECT unit, n, term, count(*) AS tf FROM (
-  SELECT unit, n, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS term FROM units) GROUP BY unit, n, term),
-known AS (SELECT license, term, count(*) AS tf FROM (
-  SELECT license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY license, term),
-frequency AS (SELECT term, sum(n) AS df FROM (SELECT term, n FROM unit_terms UNION ALL SELECT term, 1 FROM known) GROUP BY term),
-idf AS (SELECT term, ln((1 + (SELECT coalesce(sum(n), 0) FROM units) + (SELECT count(*) FROM templates)) / (1 + df)) + 1 AS idf FROM frequency),
-uw AS (SELECT unit, term, tf * idf AS w FROM unit_terms JOIN idf USING (term)),
-tw AS (SELECT license, term, tf * idf AS w FROM known JOIN idf USING (term)),
+units AS (
+  SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(list_concat(CASE WHEN name LIKE 'LICENSE-%' THEN [text] ELSE [] END,
+    [regexp_extract(text, '^(?:[ \t]*(?://|/\*|\*|#|--|;|%|<!--)[^\n]*(?:\n|$))+')], string_split_regex(text, '\n(?:[^A-Za-z0-9\n]*\n)+'),
+    string_split_regex(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n'))) AS unit FROM files)),
+known AS (SELECT template, license, version, term, count(*) AS tf FROM (
+  SELECT *, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t NOT IN (STOP_WORDS))) AS term FROM templates) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM templates)) / count(*)) AS idf FROM known GROUP BY term),
+shared AS (SELECT DISTINCT unit FROM units WHERE len(list_intersect(regexp_extract_all(lower(unit), '[a-z0-9]+'), (SELECT list(term) FROM idf))) > 0),
+unit_terms AS (SELECT unit, term, count(*) AS tf FROM (
+  SELECT unit, unnest(list_filter(regexp_extract_all(lower(unit), '[a-z0-9]+'), lambda t: t NOT IN (STOP_WORDS))) AS term FROM shared) GROUP BY unit, term),
+uw AS (SELECT unit, term, (1 + ln(tf)) * coalesce(idf, ln(1 + (SELECT count(*) FROM templates))) AS w FROM unit_terms LEFT JOIN idf USING (term)),
+tw AS (SELECT template, license, version, term, (1 + ln(tf)) * idf AS w FROM known JOIN idf USING (term)),
 un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY unit),
-tn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY license),
-cosines AS (SELECT unit, license, round(sum((uw.w / un.norm) * (tw.w / tn.norm)), 6) AS cosine
-  FROM uw JOIN tw USING (term) JOIN un USING (unit) JOIN tn USING (license) GROUP BY unit, license),
-matched AS (SELECT * FROM cosines WHERE cosine >= 0.6
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
+cosines AS (SELECT unit, template, license, version, round(sum(uw.w * (tw.w / tn.norm)) / any_value(un.norm), 6) AS cosine
+  FROM uw JOIN tw USING (term) JOIN un USING (unit) JOIN tn USING (template) GROUP BY unit, template, license, version HAVING count(*) >= 2),
+matched AS (SELECT * FROM cosines WHERE cosine >= 0.6 AND (version IS NULL
+    OR list_contains(list_transform(regexp_extract_all(unit, '[0-9]+(?:\.[0-9]+)*'), lambda n: regexp_replace(n, '(?:\.0)+$', '')), version))
   QUALIFY row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, license) = 1),
-own AS (SELECT doc_id, license, cosine FROM notices JOIN matched USING (unit)
+own AS (SELECT doc_id, license, cosine FROM units JOIN matched USING (unit)
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
 licence_files AS (SELECT directory AS holder, license, cosine, directory || '/' || name AS license_path
   FROM own JOIN files USING (doc_id) WHERE name LIKE 'LICENSE-%'
@@ -257,8 +257,11 @@ SELECT f.doc_id, f.directory || '/' || f.name AS path, coalesce(own.license, a.l
     WHEN a.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS found_in,
   CASE WHEN own.license IS NOT NULL THEN f.directory || '/' || f.name ELSE a.license_path END AS license_path
 FROM files f LEFT JOIN own USING (doc_id) LEFT JOIN nearest a ON f.directory = a.directory""".replace(
-        "TEMPLATE_ROWS", ", ".join("('{}', '{}')".format(*row) for row in licenses.TEMPLATES.items())
-    ),
+        "TEMPLATE_ROWS", ", ".join(
+            "({}, '{}', {}, '{}')".format(i, name, f"'{version}'" if version else "NULL", text.replace("'", "''"))
+            for i, (name, version, text) in enumerate(licenses.TEMPLATES)
+        )
+    ).replace("STOP_WORDS", ", ".join(f"'{word}'" for word in licenses.STOP_WORDS)),
     "op9_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
