@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pytest
 
@@ -58,3 +61,42 @@ def test_ordinal_gradient_reaches_the_likelihood_of_the_data():
 def test_grades_split_toxic_documents_at_their_median():
     got = toxicity.severity_grades(np.array([True, True, False, True]), np.array([5, 1, 9, 2]))
     assert got.tolist() == [2, 1, 0, 1]
+
+
+def test_grades_against_brute_force(spark, documents, rng):
+    """The formula worked out text by text, from the weights and thresholds alone."""
+    words = ["ab", "abcd", "abcdefgh", "Éa", "x1", "zz", "toxicword"]
+    model = toxicity.OrdinalModel({"abcd": 0.7, "abcd-": -0.2, "abcde-": 1.1, "éa": 0.4, "zz": -0.9, "toxic-": 2.0}, [0.5, 1.75])
+    texts = {i: " ".join(rng.choices(words, k=rng.randrange(40))) for i in range(80)} | {900: None, 901: "", 902: "abcdefgh " * 9000}
+    for r in toxicity.grade(documents(texts, clash=True), model).collect():
+        counts = {}
+        for w in re.findall(r"\w+", (texts[r["doc_id"]] or "").lower()):
+            for f in {w, *(w[:n] + "-" for n in (4, 5, 6, 7) if len(w) > n)} & set(model.weights):
+                counts[f] = counts.get(f, 0) + 1
+        score = sum(model.weights[f] * math.log(1 + n) for f, n in counts.items())
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r["expected_severity"] == pytest.approx(sum(above)) and r["grade"] == sum(p > 0.5 for p in above)
+        assert r["rejected"] == (above[0] > 0.5)
+
+
+def test_fitted_parameters_are_those_of_the_greatest_likelihood():
+    """No step in any direction raises the penalised likelihood by much."""
+    r = np.random.default_rng(8)
+    x = r.poisson(1.0, (400, 3)).astype(float)
+    score = x @ [1.5, -1.0, 0.0] + r.logistic(size=400)
+    grades = (score > 0.3).astype(int) + (score > 2.0)
+    rows = [{j: v for j, v in enumerate(row) if v} for row in x]
+    w, theta = toxicity.fit_ordinal(rows, grades, 3, l2=1e-4, steps=3000)
+
+    def likelihood(w, theta):
+        cuts = np.concatenate([[-np.inf], theta, [np.inf]])
+        upper, lower = (1 / (1 + np.exp(-np.clip(cuts[grades + i] - x @ w, -500, 500))) for i in (1, 0))
+        return np.log(upper - lower).mean() - 0.5e-4 * (w @ w)
+
+    best = likelihood(w, theta)
+    assert theta[0] < theta[1]
+    for step in (0.05, -0.05):
+        for j in range(3):
+            assert likelihood(w + step * np.eye(3)[j], theta) <= best + 1e-4
+        for j in range(2):
+            assert likelihood(w, theta + step * np.eye(2)[j]) <= best + 1e-4
