@@ -9,8 +9,8 @@ what lies within t_i flips of them, and a candidate is verified by its differing
 
 Exact copies share a fingerprint and are one node. A bucket with more than `bucket`
 distinct fingerprints is not paired: its fingerprints are spread over the points
-within one flip. Two fingerprints share such a point exactly if they differ in two bits at
-most, so that tying each one to the point's smallest finds the same links with 65
+within tau / 2 flips. Two fingerprints share such a point exactly if they differ in tau bits at
+most, so that tying each one to the point's smallest finds the same links; with tau 2 these are 65
 rows per fingerprint.
 """
 
@@ -184,9 +184,25 @@ def _keys(plan: Design, near: bool) -> Column:
     return F.explode(F.array(*out))
 
 
+def _points(tau: int) -> Column:
+    """Points that two fingerprints share exactly if they differ in `tau` bits at most.
+
+    For an even tau these are all points within tau / 2 flips. For an odd one, one bit is left out
+    in turn, and the rest may differ in tau - 1 bits. Their number grows with 64 ** (tau / 2 rounded up).
+    """
+    flips = [_signed(mask) for mask in _flips(tuple(range(BITS)), tau // 2)]
+    if tau % 2 == 0:
+        return F.transform(F.array(*[F.lit(m) for m in flips]), lambda m: F.col("fp").bitwiseXOR(m))
+    left = F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(_signed((1 << BITS) - 1 - (1 << b))).alias("mask")) for b in range(BITS)])
+    masks = F.array(*[F.lit(m) for m in flips])
+    return F.array_distinct(F.flatten(F.transform(left, lambda x: F.transform(
+        masks, lambda m: F.xxhash64(F.col("fp").bitwiseXOR(m).bitwiseAND(x["mask"]), x["bit"])
+    ))))
+
+
 def links(nodes: DataFrame, plan: Design, tau: int = TAU, bucket: int = BUCKET) -> DataFrame:
     """(u, v) between fingerprints of `nodes` (fp): enough of the links at most `tau` bits
-    apart to connect all that are connected. tau is 2 at most where buckets are large."""
+    apart to connect all that are connected."""
     index = nodes.select("fp", _keys(plan, False).alias("k")).select("fp", "k.part", "k.key")
     probe = nodes.select("fp", _keys(plan, True).alias("k")).select("fp", "k.part", "k.key")
     sizes = index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -198,16 +214,8 @@ def links(nodes: DataFrame, plan: Design, tau: int = TAU, bucket: int = BUCKET)
     found = small.where((F.col("fp") < F.col("other")) & (apart <= tau)).select(F.col("fp").alias("u"), F.col("other").alias("v"))
     if large.isEmpty():
         return found
-    if tau > 2:
-        raise ValueError("large buckets need tau of 2 at most")
     crowded = probe.join(large, ["part", "key"], "left_semi").select("fp").distinct()
-    points = [0] + [1 << b for b in range(BITS)] if tau == 2 else [0]
-    around = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(p))) for p in points])
-    if tau == 1:
-        # differ in one bit at most: share a key with that bit left out
-        around = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed((1 << 64) - 1 - (1 << b)))) for b in range(BITS)])
-        around = F.transform(around, lambda x, b: F.xxhash64(x, b))
-    spread = crowded.select("fp", F.explode(around).alias("point"))
+    spread = crowded.select("fp", F.explode(_points(tau)).alias("point"))
     least = spread.groupBy("point").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     tied = spread.join(least, "point").where("fp > v").select(F.col("fp").alias("u"), "v").distinct()
     return found.unionByName(tied)

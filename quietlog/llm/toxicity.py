@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quietlog.session import cut
+
 # Labelled documents the model is fitted on: about so many, those with a small hash of their id.
 SAMPLE = 10_000
 # Features kept at most: those whose shares of toxic and clean documents differ most, by
@@ -145,7 +147,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_feature
     """The model from `labels` (doc_id, toxic 0/1) on `documents`.
 
     Null labels and labels without a document don't count; of repeated labels the
-    greatest counts. Without any toxic or any clean document all texts are grade 0.
+    greatest counts, of documents with one id the smallest text. Without any toxic or any clean document all texts are grade 0.
     """
     known = (
         labels.where("doc_id is not null and toxic is not null")
@@ -154,8 +156,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_feature
     )
     share = min(1.0, sample / max(1, known.count()))
     chosen_labels = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * share)))
-    # about `sample` rows
-    picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen_labels), "doc_id")
+    # about `sample` rows, whatever repeats: of documents with one id the smallest text
+    picked = cut(
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen_labels), "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled",
+    )
     frequency = (
         picked.mapInArrow(_document_frequencies, "feature string, clean long, toxic long")
         .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))

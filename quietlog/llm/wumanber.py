@@ -10,8 +10,8 @@ The documents are read once and never shuffled.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,69 +22,105 @@ from quietlog.llm import tokens
 from quietlog.session import cut
 
 WINDOW = 10
-# Benchmark text per search table; a larger benchmark is searched block by block.
-BLOCK_BYTES = 16 << 20
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# Benchmark text per search table; a larger benchmark is searched block by block. A table takes about 25 bytes for
+# every byte of its text.
+BLOCK_BYTES = 8 << 20
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> set[tuple[bytes, ...]]:
-    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    if not found:
-        return set()
-    size = min(window, len(found))
-    return {tuple(found[i:i + size]) for i in range(len(found) - size + 1)}
+@dataclass
+class Words:
+    """All words of some benchmark items, one behind the other, with their hashes."""
+
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i]:self.ends[i]]
 
 
 class SearchTable:
-    """Shift table and buckets for patterns of one length."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
-        self.length = len(next(iter(patterns)))
-        self.block = min(2, self.length)
-        self.farthest = self.length - self.block + 1
-        self.shift: dict[int, int] = {}
-        self.bucket: dict[int, list[tuple[int, tuple[bytes, ...], set[str]]]] = {}
-        for words, items in patterns.items():
-            blocks = block_hashes(list(words), self.block)
-            for place, block in enumerate(blocks):
-                left = len(blocks) - 1 - place
-                self.shift[block] = min(left, self.shift.get(block, self.farthest))
-            self.bucket.setdefault(blocks[-1], []).append((blocks[0], words, items))
-
-    def search(self, blocks: list[int], begin: int, end: int, word) -> Iterator[tuple[int, set[str]]]:
-        """(place of the first word, items) of every occurrence among words begin..end."""
-        shift, farthest, back = self.shift, self.farthest, self.length - self.block
+    """Shift table and buckets for windows of one length, as arrays that are built in bulk.
+
+    `starts` are the places of the windows among the words, `items` the numbers of their items. Windows of
+    equal words are one pattern.
+    """
+
+    def __init__(self, length: int, words: Words, starts: np.ndarray, items: np.ndarray, names: list[str]):
+        self.length, self.words, self.names = length, words, names
+        self.block = min(2, length)
+        blocks = blocks_of(words.hashes, self.block)
+        count = length - self.block + 1
+        self.farthest = count
+        _, first, pattern = np.unique(tokens.span_hashes(words.hashes, starts, starts + length), return_index=True, return_inverse=True)
+        self.starts = starts[first]
+        pairs = np.unique(pattern * len(names) + items)
+        self.items = (pairs % len(names)).astype(np.int32)
+        self.items_first = np.searchsorted(pairs // len(names), np.arange(len(first) + 1))
+        # every block of two words with the smallest number of blocks behind it in a pattern
+        places = self.starts[:, None] + np.arange(count)
+        self.blocks, at = np.unique(blocks[places], return_inverse=True)
+        at = at.reshape(places.shape)
+        self.shift = np.full(len(self.blocks), count, np.int32)
+        for place in range(count):
+            np.minimum.at(self.shift, at[:, place], count - 1 - place)
+        self.heads = blocks[self.starts]
+        self.bucket = np.argsort(at[:, -1], kind="stable")
+        self.bucket_first = np.searchsorted(at[self.bucket, -1], np.arange(len(self.blocks) + 1))
+
+    def shifts(self, blocks: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """How far the window may jump from each block of a text, and the place of the block in the table."""
+        at = np.minimum(np.searchsorted(self.blocks, blocks), len(self.blocks) - 1)
+        return np.where(self.blocks[at] == blocks, self.shift[at], self.farthest).tolist(), at
+
+    def search(self, blocks: np.ndarray, shifts: list[int], at_block: np.ndarray, begin: int, end: int, word) -> Iterator[tuple[int, int]]:
+        """(place of the first word, pattern) of every occurrence among words begin..end."""
+        back = self.length - self.block
         at, last = begin + back, end - self.block
         while at <= last:
-            jump = shift.get(blocks[at], farthest)
+            jump = shifts[at]
             if jump:
                 at += jump
                 continue
-            for head, words, items in self.bucket[blocks[at]]:
-                if head == blocks[at - back] and all(word(at - back + i) == w for i, w in enumerate(words)):
-                    yield at - back, items
+            block = at_block[at]
+            for pattern in self.bucket[self.bucket_first[block]:self.bucket_first[block + 1]].tolist():
+                if self.heads[pattern] == blocks[at - back]:
+                    start = int(self.starts[pattern])
+                    if all(word(at - back + i) == self.words.word(start + i) for i in range(self.length)):
+                        yield at - back, pattern
             at += 1
 
-
-def block_hashes(words: list[bytes], size: int) -> list[int]:
-    """Hash of every `size` consecutive words, as `_scan` computes them for documents."""
-    joined = pa.array([b" ".join(words)], pa.large_binary())
-    (piece,) = tokens.words(joined, tokens.NOT_ALNUM)
-    return blocks_of(piece.hashes(), size)
+    def items_of(self, pattern: int) -> list[str]:
+        return [self.names[i] for i in self.items[self.items_first[pattern]:self.items_first[pattern + 1]]]
 
 
-def blocks_of(hashes: np.ndarray, size: int) -> list[int]:
-    if size == 2:
-        hashes = tokens.mix(hashes[:-1] * np.uint64(3) + hashes[1:])
-    return hashes.tolist()
+def blocks_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every `size` consecutive words."""
+    return tokens.mix(hashes[:-1] * np.uint64(3) + hashes[1:]) if size == 2 else hashes
 
 
 def build_tables(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> list[SearchTable]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item_id, text in items:
-        for words in item_windows(text, window):
-            by_length.setdefault(len(words), {}).setdefault(words, set()).add(str(item_id))
-    return [SearchTable(patterns) for _, patterns in sorted(by_length.items())]
+    """A table per window length. Every word is hashed once."""
+    rows = [(str(i), t) for i, t in items if t]
+    if not rows:
+        return []
+    names = sorted({i for i, _ in rows})
+    number = {name: i for i, name in enumerate(names)}
+    of_item = np.array([number[i] for i, _ in rows], np.int64)
+    (piece,) = tokens.words(pa.array([t for _, t in rows], pa.large_string()), tokens.NOT_ALNUM, lower=True, size=1 << 62)
+    words = Words(piece.data.tobytes(), piece.starts, piece.ends, piece.hashes())
+    counts = np.diff(piece.first)
+    out = []
+    for length in sorted(set(np.minimum(counts[counts > 0], window).tolist())):
+        if length < window:
+            texts = np.flatnonzero(counts == length)
+            starts = piece.first[texts]
+        else:
+            starts = piece.windows(window)
+            texts = piece.owner()[starts]
+        out.append(SearchTable(length, words, starts, of_item[texts], names))
+    return out
 
 
 def _scan(tables: list[SearchTable]):
@@ -104,13 +140,14 @@ def _scan(tables: list[SearchTable]):
                     return data[starts[i]:ends[i]].tobytes()
 
                 blocks = {size: blocks_of(hashes, size) for size in {t.block for t in tables}}
+                jumps = [table.shifts(blocks[table.block]) for table in tables]
                 bounds = piece.first.tolist()
                 for k, row in enumerate(range(piece.rows.start, piece.rows.stop)):
                     hits, found = [], set()
-                    for table in tables:
-                        for at, ids in table.search(blocks[table.block], bounds[k], bounds[k + 1], word):
+                    for table, (shifts, at_block) in zip(tables, jumps):
+                        for at, pattern in table.search(blocks[table.block], shifts, at_block, bounds[k], bounds[k + 1], word):
                             hits.append([at - bounds[k], at - bounds[k] + table.length])
-                            found |= ids
+                            found.update(table.items_of(pattern))
                     if hits:
                         spans[row] = merge(spans[row] + hits)
                         items[row] = sorted(found.union(items[row]))

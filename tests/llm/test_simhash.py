@@ -44,7 +44,7 @@ def test_documents_against_brute_force(documents, rng):
     assert got[101][1] == 100 and got[105][1] == 0
 
 
-@pytest.mark.parametrize("tau,bucket,plan", [(2, 64, None), (2, 3, None), (1, 2, None), (2, 64, (1, 0)), (2, 2, (1, 0)), (3, 64, None)])
+@pytest.mark.parametrize("tau,bucket,plan", [(2, 64, None), (2, 3, None), (1, 2, None), (2, 64, (1, 0)), (2, 2, (1, 0)), (3, 64, None), (3, 2, None)])
 def test_links_connect_what_brute_force_connects(spark, rng, tau, bucket, plan):
     seeds = [rng.getrandbits(64) for _ in range(12)]
     prints = {0, *seeds}

@@ -54,7 +54,7 @@ def test_shift_table_skips_and_confirms():
     table, = wumanber.build_tables([(1, " ".join(f"w{i}" for i in range(10)))])
     assert table.length == 10 and table.farthest == 9
     # blocks at the end, one before it, ..., at the beginning of the only pattern
-    assert sorted(table.shift.values()) == list(range(9))
+    assert sorted(table.shift.tolist()) == list(range(9))
 
 
 def test_empty_tables_and_stage(spark, documents):
@@ -75,3 +75,23 @@ def test_the_stage_judges_rows_at_every_size(spark, documents, block_bytes):
     out = wumanber.decontaminate(df, items, block_bytes=block_bytes)
     assert out.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, "clean"), (None, "clean too"), (None, None), (3, "one two")], key=str)
+
+
+def test_repeated_windows_are_one_pattern_and_hashes_are_confirmed(monkeypatch):
+    """Items that share windows; and blocks that all collide: only equal words are hits."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quietlog.llm import tokens
+
+    text = " ".join(f"w{i}" for i in range(12))
+    items = [(1, text), (2, text), (2, text + " end"), (3, "a b"), (None, None)]
+    long_table = wumanber.build_tables(items)[1]
+    assert len(long_table.starts) == 4 and sorted(len(long_table.items_of(p)) for p in range(4)) == [1, 2, 2, 2]
+    monkeypatch.setattr(wumanber, "blocks_of", lambda hashes, size: np.zeros(len(hashes) - size + 1, np.uint64))
+    for table in wumanber.build_tables(items):
+        (piece,) = tokens.words(pa.array(["x " + text + " y a b z"]), tokens.NOT_ALNUM, lower=True)
+        blocks = wumanber.blocks_of(piece.hashes(), table.block)
+        shifts, at = table.shifts(blocks)
+        hits = list(table.search(blocks, shifts, at, 0, len(piece.starts), lambda i: piece.data[piece.starts[i]:piece.ends[i]].tobytes()))
+        assert sorted(h for h, _ in hits) == ([1, 2, 3] if table.length == 10 else [14])
