@@ -18,15 +18,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row. Null texts have no words; rows that repeat are judged alike; rows without doc_id keep all
+    words. Empty table: no rows."""
     kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
 def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null and empty texts are one token, their end. A row without doc_id is learnt from. Without
+    training texts all words are unknown. Empty table: no rows."""
     return brown.score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page row. Null html is an empty payload; a null page_id is never referred to; rows that repeat the smallest
+    page_id of a payload are all responses. A revisit's size is that of its payload. Empty table: no rows."""
     path = scratch_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path, segment_bytes=OP3_SEGMENT_BYTES)
     back = cut(
@@ -42,6 +48,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null and empty texts fail the base rules. Strata without enough good labels are not certified
+    and only the base rules decide. Empty table: no rows."""
     judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -50,6 +58,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null and empty texts, and empty benchmarks, have no hits. A null item_id reads "None"."""
     found = wumanber.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     covered = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.select(
@@ -62,10 +71,13 @@ def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document row; null and empty texts are one piece of one id. Empty table: no rows."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grade per document row; null and empty texts have no features. Without toxic or without clean labels everything is
+    grade 0. Empty table: no rows."""
     documents = _table(spark, sf_dir, "documents")
     return toxicity.grade(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
 
@@ -80,6 +92,8 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per conversation, and one for the added conversation -7. Null texts and roles are empty; turns that repeat stay,
+    ordered by turn, role and text."""
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -99,6 +113,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null and empty texts share the fingerprint 0 and are linked. A null doc_id is never a
+    component's id unless all are null. Empty table: no rows."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
