@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 # Measured size up to which a lookup side is broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Paths handed out inside the steps that release them.
+_MADE: list[list[str]] = []
 
 
 def build_session(app: str = "quietlog", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,7 +51,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, in the folder of this application."""
-    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -56,9 +63,23 @@ def _own_folder(spark: SparkSession) -> str:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, once their results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _empty(spark, _own_folder(spark))
+
+
+def _empty(spark: SparkSession, path: str) -> None:
+    """Replace whatever lies below a path by an empty table."""
+    spark.createDataFrame([], "nothing int").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def scratch_released(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end: for steps that write their results."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            _empty(spark, path)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -285,3 +285,18 @@ def test_reports_of_tests_that_share_a_log(spark, tmp_path):
     summarize_test_runs(tests, lines, report_path=str(tmp_path / "r"))
     own = spark.read.text(f"{tmp_path}/r/tests").groupBy("report").agg(F.count_if(F.col("value").startswith("<tr><td>")).alias("n"))
     assert {r["report"]: r["n"] for r in own.collect()} == {"report_S_a.html": 30, "report_S_b.html": 30}
+
+
+def test_scratch_is_released(spark):
+    from quietlog.session import cut, drop_scratch, scratch_path, scratch_released
+
+    kept = scratch_path(spark, "kept")
+    with scratch_released(spark):
+        inner = cut(spark.range(9).toDF("x"))
+        inner.write.parquet(kept)
+        where = inner.inputFiles()[0].rsplit("/", 1)[0]
+    assert spark.read.parquet(kept).count() == 9
+    assert spark.read.parquet(where).columns == ["nothing"]
+    drop_scratch(spark)
+    assert not os.path.exists(kept.removeprefix("file://"))
+    assert cut(spark.range(3).toDF("x")).count() == 3
