@@ -18,6 +18,7 @@ from quietlog.functions.text import base_name, decode_bounded, is_blank, pattern
 from quietlog.operators.ordering import row_numbers, running_total
 from quietlog.session import as_lookup, cut
 from quietlog.sources import tarsplits
+from quietlog.sources.lines import literal_path
 
 MEMBER_SCHEMA = (
     "archive string, member_ord bigint, member string, size bigint, status string, piece int, content binary"
@@ -204,13 +205,14 @@ def read_members(
     # Spark's listing of the files is on the driver anyway
     packed = F.col("path").rlike(tarsplits.COMPRESSED_NAME) if max_chars is None else F.lit(True)
     names = listing.select("path", packed.alias("packed")).collect()
-    whole, split = [r["path"] for r in names if r["packed"]], [r["path"] for r in names if not r["packed"]]
+    whole = [literal_path(r["path"]) for r in names if r["packed"]]
+    split = [literal_path(r["path"]) for r in names if not r["packed"]]
     parts = []
     if split:
         states = tarsplits.index_files(spark, split)
         archives = cut(listing.select("file", F.col("path").alias("archive")), "names")
         odd = states.where("kind = 'other'").select("file").distinct().join(archives, "file").collect()
-        whole += [r["archive"] for r in odd]
+        whole += [literal_path(r["archive"]) for r in odd]
         denied = tuple(fv.BINARY_MEMBER_SUFFIXES) if deny else ()
         parts.append(tarsplits.read_splits(
             spark, split, states, archives, PIECE_BYTES, limit, denied, MEMBER_SCHEMA, _BATCH_BYTES

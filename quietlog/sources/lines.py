@@ -43,6 +43,11 @@ def physical_lines(spark: SparkSession, path: str | list[str], glob: str | None
     )
 
 
+def literal_path(path: str) -> str:
+    """A listed path for a reader, which would take some characters for a pattern."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 def real_path(path: Column) -> Column:
     """Path as the user knows it; the text source reports it escaped like a URI. The whole
     path is a file's identity: hosts and folders hold files of equal names."""

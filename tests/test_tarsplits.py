@@ -147,3 +147,12 @@ def test_sparse_and_compressed_files_go_to_the_reader_with_one_task(spark, tmp_p
     assert {(r["archive"].rsplit("/", 1)[1], r["member"], r["status"]) for r in rows if r["status"] == "ok"} >= {
         ("a.log", "a.log", "ok"), ("c.tar", "a.log", "ok")}
     assert arc.read_members(spark, str(tmp_path), glob="*.none").count() == 0
+
+
+def test_names_that_look_like_patterns(spark, tmp_path):
+    raw = tar_of([("a.log", b"x\n", tarfile.REGTYPE)])
+    for name in ("a[1].tar", "b{c,d}.tar", "e f%20+.tar", "g?.tgz", "h[1].log"):
+        (tmp_path / name).write_bytes(gzip.compress(raw) if name.endswith("tgz") else raw if name.endswith("tar") else b"plain\n")
+    rows = arc.read_members(spark, str(tmp_path)).collect()
+    assert sorted((r["archive"].rsplit("/", 1)[1], r["member"]) for r in rows) == [
+        ("a[1].tar", "a.log"), ("b{c,d}.tar", "a.log"), ("e f%20+.tar", "a.log"), ("g?.tgz", "a.log"), ("h[1].log", "h[1].log")]
