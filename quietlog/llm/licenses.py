@@ -7,7 +7,8 @@ notice that a third of all files carry costs one comparison.
 
 A template weighs its terms by their rarity among the templates. Common words, then light ones, are set aside as long as
 all of them together are too light for the least cosine; the terms that are left are its anchors. So a unit
-without any anchor is dropped before its terms are counted, and no match is lost. A template with a version
+without any anchor is dropped before its terms are counted; so is one with too many terms that no template knows
+(`may_match`). Neither loses a match. A template with a version
 matches only units that name this version, and one shared term alone is no match.
 
 A file without a match of its own takes the licence of the licence file in the nearest directory
@@ -158,8 +159,34 @@ def anchors(templates: list[tuple] = TEMPLATES, least: float = LEAST_COSINE) ->
     return sorted(out)
 
 
+def _branches(words: list[str]) -> str:
+    """One pattern for some words, with common beginnings written once."""
+    out = []
+    for head in sorted({w[:1] for w in words}):
+        rest = [w[1:] for w in words if w[:1] == head]
+        out.append(head + (_branches(rest) if any(rest) else "") if head else "")
+    return out[0] if len(out) == 1 else "(?:" + "|".join(sorted(out, reverse=True)) + ")"
+
+
 def anchor_pattern(found: list[str]) -> str:
-    return "(?:^|[^a-z0-9])(?:" + "|".join(found) + ")(?:[^a-z0-9]|$)"
+    return "(?:^|[^a-z0-9])" + _branches(found) + "(?![a-z0-9])"
+
+
+# (1 + ln n) ** 2 / n is never larger for a whole n.
+_GROWTH = 1.47
+
+
+def may_match(unit: Column, vocabulary: list[str], least: float) -> Column:
+    """Whether a unit's terms leave room for the least cosine with any template; native and exact.
+
+    With s terms (repeats counted) that templates know and d different other ones, the cosine's square is at
+    most A / (A + B): A, the weight of the known terms, is at most 1.47 s u ** 2, and B at least d u ** 2, where u is the weight of an
+    unknown term, which no known one exceeds.
+    """
+    terms = _terms(unit)
+    known = F.size(F.filter(terms, lambda t: t.isin(vocabulary)))
+    other = F.size(F.array_distinct(F.filter(terms, lambda t: ~t.isin(vocabulary))))
+    return (known >= LEAST_TERMS) & (_GROWTH * known * (1 - least * least) >= least * least * other)
 
 
 def _terms(text: Column) -> Column:
@@ -195,7 +222,7 @@ def _match_units(spark: SparkSession, units: DataFrame, templates: list[tuple],
         "template", "license", "version", "term", (F.col("w") / F.col("template_norm")).alias("v")
     ), "template-vectors")
     spread = units.select("unit_key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit_key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    of_units = weighted(spread, "unit_key")
+    of_units = cut(weighted(spread, "unit_key"), "unit-vectors")
     # one row per unit with its norm and its products with every template that shares a term
     products = of_units.join(as_lookup(of_templates), "term").groupBy("unit_key", "license", "version", "template").agg(
         F.sum(F.col("w") * F.col("v")).alias("product"), F.count(F.lit(1)).alias("shared")
@@ -234,7 +261,8 @@ def scan(files: DataFrame, templates: list[tuple] = TEMPLATES, least: float = LE
     ))
     anchored = F.filter(units, lambda u: F.lower(u).rlike(pattern))
     found = files.where(F.lower("text").rlike(pattern)).select("path", F.xxhash64("text").alias("text_key"), F.explode(anchored).alias("unit"))
-    notices = cut(found.withColumn("unit_key", F.md5("unit")), "notices")
+    vocabulary = sorted({t for _, _, text in templates for t in re.findall(TERM, text.lower())} - set(STOP_WORDS))
+    notices = cut(found.where(may_match(F.col("unit"), vocabulary, least)).withColumn("unit_key", F.md5("unit")), "notices")
     distinct = notices.groupBy("unit_key").agg(F.first("unit").alias("unit"))
     matched = cut(_match_units(spark, cut(distinct, "units"), templates, least), "matched")
     best = F.struct((-F.col("cosine")).alias("worst"), "license")

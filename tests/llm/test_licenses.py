@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quietlog.llm import licenses
 
@@ -115,3 +116,32 @@ def test_no_text_without_an_anchor_reaches_the_least_cosine(least):
             own = vector(Counter(rng.choices(sorted(rest), k=rng.randrange(1, 30)))) if rest else {}
             size = math.sqrt(sum(w * w for w in own.values()))
             assert not own or sum(w * v.get(t, 0) for t, w in own.items()) / size / norm < least
+
+
+def test_units_near_the_least_cosine_are_never_dropped(spark):
+    """Parts of templates between other words, repeated and mixed: what reaches the cosine passes both gates."""
+    rng = random.Random(11)
+    counted = [Counter(t for t in re.findall(licenses.TERM, text.lower()) if t not in licenses.STOP_WORDS) for _, _, text in licenses.TEMPLATES]
+    frequency = Counter(t for c in counted for t in c)
+    unknown = math.log(1 + len(counted))
+
+    def vector(c):
+        w = {t: (1 + math.log(n)) * (math.log((1 + len(counted)) / frequency[t]) if t in frequency else unknown) for t, n in c.items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    templates = [vector(c) for c in counted]
+    units = []
+    for _ in range(600):
+        terms = list(rng.choice(counted).elements())
+        part = rng.sample(terms, rng.randrange(1, len(terms) + 1)) * rng.choice([1, 1, 2, 9])
+        units.append(" ".join(part + [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(2 * len(part) + 2))]))
+    near = set()
+    for i, unit in enumerate(units):
+        own = vector(Counter(unit.split()))
+        if any(len(own.keys() & t.keys()) >= 2 and sum(w * t.get(x, 0) for x, w in own.items()) >= 0.6 for t in templates):
+            near.add(i)
+    df = spark.createDataFrame(list(enumerate(units)), "i int, unit string")
+    gates = F.col("unit").rlike(licenses.anchor_pattern(licenses.anchors())) & licenses.may_match(F.col("unit"), sorted(frequency), 0.6)
+    passed = {r["i"] for r in df.where(gates).collect()}
+    assert near and near <= passed and len(passed) < len(units)
