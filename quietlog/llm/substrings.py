@@ -40,6 +40,15 @@ PREFIX = 8
 GROUP_LEAVES = 20_000
 # Nodes with more leaves are looked up instead of joined by shuffle.
 HOT_LEAVES = 4_096
+# Rows that are Python objects at a time.
+SLICE_ROWS = 512
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of SLICE_ROWS, and an empty batch as it is."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def _runs(piece: tokens.Texts, window: int, prefix: int):
@@ -102,7 +111,7 @@ def _suffixes(window: int):
     """Word hashes of the wanted leaves of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             wanted = batch.column("wanted").to_pylist()
             doc_ids, text_keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
             for piece in tokens.words(batch.column("text")):
@@ -141,11 +150,13 @@ def repeated_windows(prefixes: np.ndarray, doc_ids: np.ndarray, starts: np.ndarr
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     begin = np.repeat(np.cumsum(counts + window - 1) - (counts + window - 1), counts) + within
     place = starts[leaf].astype(np.int64) + within
-    suffixes = text[begin[:, None] + np.arange(window)]
-    order = np.lexsort((place, doc_ids[leaf], *suffixes.T[::-1], prefixes[leaf]))
-    below, above = suffixes[order[1:]], suffixes[order[:-1]]
-    common = np.cumprod(below == above, axis=1).sum(axis=1) * (prefixes[leaf[order[1:]]] == prefixes[leaf[order[:-1]]])
-    same = np.append(False, common >= window)
+    # word by word: a copy of all suffixes would be the largest array of the task
+    order = np.lexsort((place, doc_ids[leaf], *(text[begin + i] for i in reversed(range(window))), prefixes[leaf]))
+    below, above = begin[order[1:]], begin[order[:-1]]
+    spans = prefixes[leaf[order[1:]]] == prefixes[leaf[order[:-1]]]  # the common prefix spans a window
+    for i in range(window):
+        spans &= text[below + i] == text[above + i]
+    same = np.append(False, spans)
     # sorted: the first suffix of a node is its earliest; texts of one id may share that place
     first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
     later = (doc_ids[leaf[order]] != doc_ids[leaf[first]]) | (place[order] != place[first])
@@ -259,7 +270,7 @@ def _stretches(keep: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n_words, n_removed, kept_words and kept_text for texts and their spans."""
-    for batch in batches:
+    for batch in _slices(batches):
         n_words = np.zeros(batch.num_rows, np.int64)
         n_removed = np.zeros(batch.num_rows, np.int64)
         kept_words: list[str] = []
@@ -292,7 +303,7 @@ def _shortened(column: str):
     """The same rows with the spans of `column` cut out of the text, without this column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts, spans = batch.column("text").to_pylist(), batch.column(column)
             rows = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             (kept,) = _kept(iter([pa.RecordBatch.from_arrays(

@@ -109,3 +109,30 @@ def test_subtree_keeps_the_earliest_leaf_of_a_node():
         np.array([7, 7]), np.array([9, 4]), np.array([0, 10]), [words, words[1:]], window=4
     )
     assert sorted(zip(leaf.tolist(), place.tolist())) == [(0, 1), (0, 2)]
+
+
+def test_subtrees_hold_one_copy_of_the_suffixes():
+    """Memory of a group of leaves: the sort keys and little more."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    leaves, window, n = 2_000, 20, 32
+    words = [r.integers(0, 1 << 60, n).astype(np.uint64) for _ in range(leaves // 2)] * 2
+    ids, starts = np.arange(leaves), np.zeros(leaves, np.int64)
+    tracemalloc.start()
+    leaf, place = substrings.repeated_windows(np.ones(leaves, np.int64), ids, starts, words, window)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(leaf) == leaves // 2 * (n - window + 1) and (leaf >= leaves // 2).all()
+    assert peak < 2 * leaves * (n - window + 1) * window * 8
+
+
+def test_texts_are_objects_a_slice_at_a_time():
+    import pyarrow as pa
+
+    n = 3 * substrings.SLICE_ROWS + 1
+    spans = pa.array([[{"start": 0, "end": 1}] if i % 2 else None for i in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"a{i} b" for i in range(n)]), spans], names=["text", "s"])
+    got = list(substrings._shortened("s")(iter([batch.slice(0, 0), batch])))
+    assert max(b.num_rows for b in got) == substrings.SLICE_ROWS
+    assert [t for b in got for t in b.column("text").to_pylist()] == ["b" if i % 2 else f"a{i} b" for i in range(n)]
