@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,8 @@ TASK_WORDS = 30_000
 FOLDS, HELD_FOLD = 7, 2
 _BETA, _GAMMA = 0.5, 0.5
 _END_WORD = -1  # hash under which text ends are counted
+# Distinct keys that a task counts before it hands them on.
+TALLY = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,12 +63,46 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_FOLD
 
 
-def _endings(piece: tokens.Texts) -> np.ndarray:
-    """The last three bytes of every word as a number."""
-    data, ends, size = piece.data.astype(np.int64), piece.ends, piece.ends - piece.starts
-    out = data[ends - 1]
-    out = out + np.where(size > 1, data[ends - 2] << 8, 0)
-    return out + np.where(size > 2, data[ends - 3] << 16, 0)
+def _endings(piece: tokens.Texts, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The last three bytes of the words at these places as a number."""
+    data, ends = piece.data, piece.ends[at]
+    size = ends - piece.starts[at]
+    out = data[ends - 1].astype(np.int64)
+    out = out + np.where(size > 1, data[ends - 2].astype(np.int64) << 8, 0)
+    return out + np.where(size > 2, data[ends - 3].astype(np.int64) << 16, 0)
+
+
+def _distinct(piece: tokens.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, the place of one of each, the distinct word at every place)."""
+    words, found = pd.factorize(piece.hashes().view(np.int64))
+    at = np.empty(len(found), np.int64)
+    at[words] = np.arange(len(words))
+    return found, at, words
+
+
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(keys, counts, anything that goes with the key) with every key once."""
+    keys, counts, *more = (np.concatenate(x) for x in zip(*held))
+    codes, found = pd.factorize(keys)
+    at = np.empty(len(found), np.int64)
+    at[codes] = np.arange(len(codes))
+    return found, np.bincount(codes, counts, len(found)).astype(np.int64), *(x[at] for x in more)
+
+
+def _tallied(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Parts (keys, counts, ...) added up before they leave the task, about TALLY keys at a time."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > TALLY:
+            held = [_merged(held)]
+            size = len(held[0][0])
+            if size > TALLY // 2:
+                yield held[0]
+                held, size = [], 0
+    if size:
+        yield _merged(held)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,12 +111,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(words, pa.int64()), pa.array(endings, pa.int32()), pa.array(n, pa.int64())], names=["word", "ending", "n"]
         )
 
-    for batch in batches:
-        yield rows([_END_WORD], [-1], [batch.num_rows])
-        for piece in tokens.words(batch.column("text"), lower=True):
-            if len(piece.starts):
-                found, at, n = np.unique(piece.hashes(), return_index=True, return_counts=True)
-                yield rows(found.view(np.int64), _endings(piece)[at], n)
+    def parts():
+        for batch in batches:
+            yield np.array([_END_WORD]), np.array([batch.num_rows]), np.array([-1])
+            for piece in tokens.words(batch.column("text"), lower=True):
+                found, at, words = _distinct(piece)
+                yield found, np.bincount(words, minlength=len(found)), _endings(piece, at)
+
+    for words, n, endings in _tallied(parts()):
+        yield rows(words, endings, n)
 
 
 @dataclass
@@ -101,6 +141,11 @@ class Symbols:
                 out = np.where(table[at] == values, base + at, out)
         return out
 
+    def of_words(self, piece: tokens.Texts) -> np.ndarray:
+        """Symbol of every word; each distinct word is looked up once."""
+        found, at, words = _distinct(piece)
+        return self.of(found, _endings(piece, at))[words]
+
 
 def _with_ends(piece: tokens.Texts, values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(values with one more for every text's end, places of the ends)."""
@@ -123,9 +168,9 @@ def _count_pairs(symbols: Symbols):
         counts = np.zeros(size * size, np.int64)
         for batch in batches:
             for piece in tokens.words(batch.column("text"), lower=True):
-                ids, _ = _with_ends(piece, symbols.of(piece.hashes().view(np.int64), _endings(piece)), 0)
-                pairs, n = np.unique(_before(ids) * size + ids, return_counts=True)
-                counts[pairs] += n
+                ids, _ = _with_ends(piece, symbols.of_words(piece), 0)
+                codes, pairs = pd.factorize(_before(ids) * size + ids)
+                counts[pairs] += np.bincount(codes, minlength=len(pairs))
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["pair", "n"])
 
@@ -193,20 +238,24 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = MOST_SWEEP
 def _count_neighbours(symbols: Symbols, classes: np.ndarray, k: int):
     """(word, cell, n) for words of the vocabulary: cell c after a word, cell k + c before it, c the neighbour's class."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = symbols.size - len(symbols.words)
+    base = symbols.size - len(symbols.words)
+
+    def parts(batches):
         for batch in batches:
             for piece in tokens.words(batch.column("text"), lower=True):
-                ids, _ = _with_ends(piece, symbols.of(piece.hashes().view(np.int64), _endings(piece)), 0)
+                ids, _ = _with_ends(piece, symbols.of_words(piece), 0)
                 own, before = classes[ids], _before(ids)
                 here, behind = ids >= base, before >= base
-                codes = np.concatenate([
+                codes, found = pd.factorize(np.concatenate([
                     (ids[here] - base) * (2 * k) + k + classes[before[here]], (before[behind] - base) * (2 * k) + own[behind]
-                ])
-                found, n = np.unique(codes, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found // (2 * k)), pa.array((found % (2 * k)).astype(np.int32)), pa.array(n)], names=["word", "cell", "n"]
-                )
+                ]))
+                yield found, np.bincount(codes, minlength=len(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, n in _tallied(parts(batches)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found // (2 * k)), pa.array((found % (2 * k)).astype(np.int32)), pa.array(n)], names=["word", "cell", "n"]
+            )
 
     return run
 
@@ -343,7 +392,7 @@ def _count_classes(symbols: Symbols, classes: np.ndarray, k: int):
         counts = np.zeros(k * k, np.int64)
         for batch in batches:
             for piece in tokens.words(batch.column("text"), lower=True):
-                ids, _ = _with_ends(piece, symbols.of(piece.hashes().view(np.int64), _endings(piece)), 0)
+                ids, _ = _with_ends(piece, symbols.of_words(piece), 0)
                 own = classes[ids]
                 counts += np.bincount(_before(own) * k + own, minlength=k * k)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(counts)], names=["pair", "n"])
@@ -487,8 +536,8 @@ def _score(model: Model):
             doc_ids = batch.column("doc_id")
             for piece in tokens.words(batch.column("text"), lower=True):
                 n = len(piece.first) - 1
-                hashes = piece.hashes().view(np.int64)
-                ids, ends = _with_ends(piece, model.symbols.of(hashes, _endings(piece)), 0)
+                hashes, at, words = _distinct(piece)
+                ids, ends = _with_ends(piece, model.symbols.of(hashes, _endings(piece, at))[words], 0)
                 text = np.repeat(np.arange(n), np.diff(piece.first) + 1)
                 classes = model.classes[ids]
                 gain = model.transition[model.classes[_before(ids)], classes] + model.emission[ids] + model.share[ids]
@@ -498,6 +547,7 @@ def _score(model: Model):
                     logs = np.where(in_head, log_head[at], 0.0)
                 else:
                     in_head, logs = np.zeros(len(hashes), bool), np.zeros(len(hashes))
+                hashes, in_head, logs = hashes[words], in_head[words], logs[words]
                 owner = piece.owner()
                 shared = ids[np.delete(np.arange(len(ids)), ends)] < 257 + len(model.symbols.endings)
                 score = np.bincount(text, gain, n) + np.bincount(owner, logs * shared, n)

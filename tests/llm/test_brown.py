@@ -185,3 +185,37 @@ def test_more_words_of_equal_count_than_are_looked_up(documents):
     texts = {i: " ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)}
     rows = {r["doc_id"]: r for r in (lambda m: brown.score(documents(texts), *m).collect())(brown.fit(documents(texts), head=10))}
     assert all(r["n_known"] == 31 and np.isfinite(r["score"]) for r in rows.values())
+
+
+def test_a_task_hands_on_every_key_once():
+    """Not once per piece of the texts, which the exchange would have to add up."""
+    import pyarrow as pa
+
+    def rows(batches, *names):
+        return sorted(r for b in batches for r in zip(*(b.column(n).to_pylist() for n in names)))
+
+    text, texts = "ab cd " * 200_000, 6
+    batch = pa.RecordBatch.from_pydict({"text": [text, None, *[text] * (texts - 1)]})
+    words = rows(brown._count_words(iter([batch, batch])), "n")
+    assert words == [(2 * (texts + 1),), (2 * texts * 200_000,), (2 * texts * 200_000,)]
+    (piece,) = brown.tokens.words(pa.array(["ab cd"]))
+    symbols = brown.Symbols(np.sort(piece.hashes().view(np.int64)), np.zeros(0, np.int64))
+    classes = np.zeros(symbols.size, np.int64)
+    classes[-2:] = 1
+    found = rows(brown._count_neighbours(symbols, classes, 4)(iter([batch, batch])), "cell", "n")
+    inner, edge = 2 * texts * 200_000 - 2 * texts, 2 * texts
+    assert found == [(0, edge), (1, inner), (1, inner + edge), (4, edge), (5, inner), (5, inner + edge)]
+
+
+@pytest.mark.parametrize("tally", [1 << 20, 8])
+def test_tallies_add_up(monkeypatch, tally):
+    monkeypatch.setattr(brown, "TALLY", tally)
+    r = np.random.default_rng(5)
+    parts = [r.integers(-20, 20, 30) for _ in range(9)]
+    total = Counter()
+    for keys, n, other in brown._tallied((p, np.ones(30, np.int64), p * 2) for p in parts):
+        assert len(set(keys.tolist())) == len(keys) and (other == keys * 2).all()
+        for k, x in zip(keys.tolist(), n.tolist()):
+            total[k] += x
+    assert total == Counter(np.concatenate(parts).tolist())
+    assert list(brown._tallied(iter([]))) == []
